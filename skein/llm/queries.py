@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing
+from . import near_dedup, packing, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,3 +29,10 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_pack"] = op2_pack
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("text")
+
+
+QUERIES["op3_suffix_dedup"] = op3_suffix_dedup
