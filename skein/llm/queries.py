@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprint, near_dedup, packing, suffix_dedup
+from . import chat_format, fingerprint, language_id, near_dedup, packing, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -66,3 +66,27 @@ SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(masked) AS loss_c
        CAST(4 + n_turns * 22 + CASE WHEN clash THEN escaped ELSE plain END AS BIGINT) AS formatted_chars
 FROM g
 """
+
+
+def _split(docs: DataFrame, parts: int, held: int) -> DataFrame:
+    """The rows with held_out: the CRC-32 of doc_id as text leaves the remainder ``held``."""
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    return docs.withColumn("held_out", F.coalesce(crc % parts == held, F.lit(False)))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _split(_table(spark, sf_dir, "documents"), 3, 1)
+    return language_id.identify(docs.select("doc_id", "text", "held_out"), docs.filter("not held_out").select("doc_id", "text", "lang"))
+
+
+QUERIES["op1_language_id"] = op1_language_id
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _split(_table(spark, sf_dir, "documents").select("doc_id", "text"), 4, 2)
+    labels = _split(_table(spark, sf_dir, "labels").select("doc_id", "toxic"), 4, 2).filter("not held_out").drop("held_out")
+    learn = docs.drop("held_out").join(labels, "doc_id")
+    return toxicity.score(docs, learn).select("doc_id", "held_out", "score", "predicted", "n_sentences", F.size("offending").alias("n_offending"))
+
+
+QUERIES["op7_toxicity"] = op7_toxicity
