@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .bytetext import mix, prefix_hash, span_hash, text_slices
 
-SAMPLE, MIN_DOCS, STEPS, THRESHOLD = 3000, 3, 300, 0.3
-PREFIXES = (5, 7)
+SAMPLE, MIN_DOCS, STEPS, THRESHOLD, PENALTY, LEAST_WEIGHT = 1200, 5, 600, 0.3, 1e-4, 0.5
+PREFIXES = (4, 5, 6, 7, 8)
 _OUT = "doc_id long, held_out boolean, score double, predicted int, n_sentences int, offending array<struct<start:int,length:int,score:double>>"
 _WORD = np.zeros(256, bool)
 _WORD[128:] = True
@@ -33,9 +33,10 @@ _LOWER[65:91] += 32
 
 
 def sentences(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First bytes of all sentences (one at least for each row) and sentence offsets of the rows."""
+    """First bytes of all sentences (one at least for each row), each behind a run of stops, and offsets of the rows."""
     first = np.zeros(len(data) + 1, bool)
     first[1:] = _STOP[data]
+    first[: len(data)] &= ~_STOP[data]
     first[off[-1] :] = False
     inner = np.flatnonzero(first)
     inner = inner[~np.isin(inner, off)]
@@ -60,7 +61,7 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     owner = np.searchsorted(start, begin, "right") - 1
     hashes, owners = [span_hash(prefix, begin, end)], [owner]
     for k in PREFIXES:
-        long = end - begin >= k
+        long = end - begin > k
         hashes.append(mix(span_hash(prefix, begin[long], begin[long] + k) + np.uint64(k)))
         owners.append(owner[long])
     return np.concatenate(hashes), np.concatenate(owners), start, soff
@@ -88,20 +89,23 @@ class Model:
         if not len(self.keys) or not len(h):
             return np.full(n, self.intercept)
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return self.intercept + np.bincount(s, np.where(self.keys[at] == h, self.weights[at], 0.0), n)
+        hit = np.flatnonzero(self.keys[at] == h)
+        pair = np.unique(s[hit] * len(self.keys) + at[hit])  # a feature counts once in a sentence
+        return self.intercept + np.bincount(pair // len(self.keys), self.weights[pair % len(self.keys)], n)
 
 
 def fit(h: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, y: np.ndarray, steps: int = STEPS) -> Model:
-    """Maximum likelihood of document labels through the noisy-or, with Adam steps and a small L2 penalty."""
+    """Maximum likelihood of document labels through the noisy-or, with Adam steps and a smoothed L1 penalty; weak weights are left out."""
     keys, at = np.unique(h, return_inverse=True)
     pair = np.unique(at.astype(np.int64) * len(y) + doc_of[sentence])
     often = np.bincount(pair // len(y), minlength=len(keys)) >= MIN_DOCS
     number = np.cumsum(often) - 1
     use = often[at]
-    at, sentence = number[at[use]], sentence[use]
     keys, n, docs = keys[often], len(doc_of), len(y)
+    pair = np.unique(sentence[use] * max(1, len(keys)) + number[at[use]])  # a feature counts once in a sentence
+    sentence, at = pair // max(1, len(keys)), pair % max(1, len(keys))
     theta = np.zeros(len(keys) + 1)
-    theta[-1] = -6.0
+    theta[-1] = -9.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
         z = theta[-1] + np.bincount(sentence, theta[at], n)
@@ -110,10 +114,10 @@ def fit(h: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, y: np.ndarray,
         ratio = np.exp(none) / np.maximum(-np.expm1(none), 1e-9)
         dz = np.where(y > 0, -ratio, 1.0)[doc_of] * p
         g = np.append(np.bincount(at, dz[sentence], len(keys)), dz.sum()) / docs
-        g[:-1] += 1e-5 * theta[:-1]
+        g[:-1] += PENALTY * np.tanh(10 * theta[:-1])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    some = np.abs(theta[:-1]) > 1e-3
+    some = np.abs(theta[:-1]) > LEAST_WEIGHT
     return Model(keys[some], theta[:-1][some], float(theta[-1]))
 
 
