@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprint, language_id, near_dedup, packing, suffix_dedup, toxicity
+from . import chat_format, decontam, fingerprint, language_id, lm_score, near_dedup, packing, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -90,3 +90,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_toxicity"] = op7_toxicity
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_split(_table(spark, sf_dir, "documents"), 7, 2).select("doc_id", "text", "held_out"))
+
+
+QUERIES["op8_lm_score"] = op8_lm_score
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op9_decontaminate"] = op9_decontaminate
