@@ -5,6 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import globs, paths, text, vectors
+from .model import EXCLUDES, LANGUAGES, TEXT_SUFFIXES
+from .operators import catalog, chunk, embed, jobs, memory, search, stats, syntax
+from .plans import adapters, settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,3 +31,498 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def store(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return adapters.load(spark, sf_dir, name)
+
+
+# --- vectors -------------------------------------------------------------------------------------------------------
+
+_V = adapters.cte("vectors").replace("embedding from", "CAST(embedding AS DOUBLE[]) AS e from")
+_Q = ", q AS (SELECT e AS qe FROM vectors WHERE vec_id = 0)"
+
+
+def _query_vector(vectors: DataFrame) -> list[float]:
+    return vectors.filter("vec_id = 0").first()["embedding"]
+
+
+def _topk_sql(where: str = "") -> str:
+    return f"{_V}{_Q} SELECT vec_id, repo_name, round(list_cosine_similarity(e, qe), 4) AS score FROM vectors, q {where} ORDER BY list_cosine_similarity(e, qe) DESC NULLS LAST, vec_id LIMIT 10"
+
+
+@query("vector_topk", _topk_sql())
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = store(spark, sf_dir, "vectors")
+    return search.top_k(v, _query_vector(v), 10)
+
+
+@query("vector_topk_filtered", _topk_sql("WHERE repo_name IN ('repo1', 'repo2', 'repo3')"))
+def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = store(spark, sf_dir, "vectors")
+    return search.top_k(v, _query_vector(v), 10, ["repo1", "repo2", "repo3"])
+
+
+@query("vector_topk_empty_filter", _topk_sql())
+def vector_topk_empty_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = store(spark, sf_dir, "vectors")
+    return search.top_k(v, _query_vector(v), 10, [])
+
+
+@query(
+    "vector_topk_batch",
+    f"""{_V} SELECT query_id, CAST(rank AS INT) AS rank, vec_id, round(s, 4) AS score FROM (
+      SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(b.e, a.e) AS s,
+             row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(b.e, a.e) DESC NULLS LAST, b.vec_id) AS rank
+      FROM vectors a, vectors b WHERE a.vec_id < 20) WHERE rank <= 4""",
+)
+def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = store(spark, sf_dir, "vectors")
+    return search.top_k_batch(v, v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 4)
+
+
+@query("group_centroids", f"{_V} SELECT repo_name, CAST(pos AS INT) AS pos, round(avg(x), 6) AS mean FROM (SELECT repo_name, unnest(e) AS x, unnest(range(0, 64)) AS pos FROM vectors) GROUP BY repo_name, pos")
+def group_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = vectors.mean_vectors(store(spark, sf_dir, "vectors"), "repo_name", "embedding")
+    return means.select("repo_name", F.posexplode("mean").alias("pos", "mean")).withColumn("mean", F.round("mean", 6))
+
+
+def _relationships_sql(limit: int, where: str = "") -> str:
+    return f"""{_V}, cells AS (SELECT repo_name, pos, avg(x) AS x FROM (SELECT repo_name, unnest(e) AS x, unnest(range(0, 64)) AS pos FROM vectors) GROUP BY repo_name, pos),
+      m AS (SELECT repo_name, list(x ORDER BY pos) AS e FROM cells GROUP BY repo_name), n AS (SELECT repo_name, count(*) AS n FROM vectors GROUP BY repo_name), c AS (SELECT * FROM m JOIN n USING (repo_name))
+      SELECT a.repo_name AS repo_a, b.repo_name AS repo_b, round(list_cosine_similarity(a.e, b.e), 4) AS similarity, a.n AS chunks_a, b.n AS chunks_b
+      FROM c a JOIN c b ON a.repo_name < b.repo_name {where} ORDER BY similarity DESC, repo_a, repo_b LIMIT {limit}"""
+
+
+@query("relationships_all", _relationships_sql(20))
+def relationships_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.relationships(store(spark, sf_dir, "vectors"), 20)
+
+
+@query("relationships_all_rest", _relationships_sql(25))
+def relationships_all_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.relationships(store(spark, sf_dir, "vectors"), 25)
+
+
+@query("relationships_one", _relationships_sql(20, "WHERE a.repo_name = 'repo3' OR b.repo_name = 'repo3'"))
+def relationships_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.relationships(store(spark, sf_dir, "vectors"), 20, "repo3")
+
+
+_TOP30 = f"{_V}{_Q}, top AS (SELECT vec_id, repo_name, round(list_cosine_similarity(e, qe), 4) AS score FROM vectors, q ORDER BY list_cosine_similarity(e, qe) DESC NULLS LAST, vec_id LIMIT 30)"
+
+
+@query(
+    "unified_groups",
+    f"{_TOP30} SELECT vec_id, repo_name, score, CAST(rank AS INT) AS rank, group_size FROM (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY score DESC, vec_id) AS rank, count(*) OVER (PARTITION BY repo_name) AS group_size FROM top) WHERE rank <= 4",
+)
+def unified_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = store(spark, sf_dir, "vectors")
+    return search.group_results(search.top_k(v, _query_vector(v), 30), 4)
+
+
+@query(
+    "related_edges_for_results",
+    _relationships_sql(20).replace("WITH", "WITH edges AS (WITH", 1)
+    + f"), best AS ({_TOP30.replace('LIMIT 30)', 'LIMIT 3) SELECT DISTINCT repo_name FROM top')}) SELECT * FROM edges WHERE repo_a IN (SELECT repo_name FROM best) OR repo_b IN (SELECT repo_name FROM best) ORDER BY similarity DESC, repo_a, repo_b LIMIT 10",
+)
+def related_edges_for_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = store(spark, sf_dir, "vectors")
+    return search.related_edges(search.relationships(v, 20), search.top_k(v, _query_vector(v), 3), 10)
+
+
+# --- chunks --------------------------------------------------------------------------------------------------------
+
+
+def _chunks_sql(window: int, step: int) -> str:
+    return f"""{adapters.cte("files")}, w AS (SELECT * EXCLUDE (start), start, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS k,
+        substring(content, CAST(start AS INT) + 1, {window}) AS piece FROM (SELECT *, unnest(range(0, length(content), {step})) AS start FROM files)),
+      chunks AS (SELECT repo_name, file_path, doc_id, CAST(k AS INT) AS chunk_index, CAST(start AS INT) AS start,
+        CASE WHEN start + {window} >= length(content) OR strpos(reverse(piece), chr(10)) = 0 OR length(piece) - strpos(reverse(piece), chr(10)) <= 0 THEN piece
+             ELSE left(piece, length(piece) - strpos(reverse(piece), chr(10))) END AS chunk, length(content) AS n FROM w)"""
+
+
+_CHUNKS = _chunks_sql(1600, 1400)
+
+
+def _chunks(spark: SparkSession, sf_dir: str, size: int = 400, overlap: int = 50) -> DataFrame:
+    return chunk.sliding_chunks(store(spark, sf_dir, "files"), size, overlap)
+
+
+def _chunk_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("repo_name", "file_path", "doc_id", "chunk_index", "start", F.length("chunk").cast("long").alias("n_chars"), F.md5("chunk").alias("digest"))
+
+
+_CHUNK_COLUMNS = "SELECT repo_name, file_path, doc_id, chunk_index, start, length(chunk) AS n_chars, md5(chunk) AS digest FROM chunks"
+
+
+@query("sliding_chunks", f"{_CHUNKS} {_CHUNK_COLUMNS}")
+def sliding_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunk_rows(_chunks(spark, sf_dir))
+
+
+@query("sliding_chunks_small", f"{_chunks_sql(400, 320)} {_CHUNK_COLUMNS}")
+def sliding_chunks_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunk_rows(_chunks(spark, sf_dir, 100, 20))
+
+
+@query(
+    "chunk_coverage_gaps",
+    f"""{_CHUNKS} SELECT repo_name, CAST(sum(gap) AS BIGINT) AS uncovered FROM (
+      SELECT repo_name, greatest(0, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY chunk_index), n) - (start + length(chunk))) AS gap FROM chunks) GROUP BY repo_name""",
+)
+def chunk_coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The next window begins a fixed step later, so no window function is needed.
+    following = F.least(F.col("start") + 1400, F.length("content"))
+    gap = F.greatest(F.lit(0), following - (F.col("start") + F.length("chunk")))
+    return _chunks(spark, sf_dir).groupBy("repo_name").agg(F.sum(gap).cast("long").alias("uncovered"))
+
+
+@query("chunk_metadata_json", f"""{_CHUNKS} SELECT doc_id, chunk_index, '{{"start_line":0}}' AS metadata, CAST(0 AS INT) AS start_line, '{{"name":null,"start_line":' || start || '}}' AS named FROM chunks""")
+def chunk_metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _chunks(spark, sf_dir).withColumn("metadata", chunk.text_metadata())
+    return rows.select("doc_id", "chunk_index", "metadata", F.get_json_object("metadata", "$.start_line").cast("int").alias("start_line"), chunk.metadata(F.lit(None).cast("string"), F.col("start")).alias("named"))
+
+
+_TYPED = f"{_CHUNKS}, typed AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'function_definition' ELSE 'class_definition' END AS chunk_type FROM chunks)"
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("doc_id") % 3 == 0, "text").when(F.col("doc_id") % 3 == 1, "function_definition").otherwise("class_definition")
+    return _chunks(spark, sf_dir).withColumn("chunk_type", kind)
+
+
+@query("stats_chunk_types", f"{_TYPED} SELECT repo_name, chunk_type, count(*) AS count FROM typed GROUP BY ALL")
+def stats_chunk_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.chunk_types(_typed(spark, sf_dir))
+
+
+@query(
+    "stats_extensions",
+    f"{adapters.cte('files')} SELECT CASE WHEN ext = '' THEN '(none)' ELSE '.' || ext END AS extension, count(*) AS count FROM (SELECT lower(split_part(file_path, '.', -1)) AS ext FROM files WHERE strpos(file_path, '.') > 0) GROUP BY ext ORDER BY count DESC, extension LIMIT 8",
+)
+def stats_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.extensions(store(spark, sf_dir, "files"), 8)
+
+
+@query(
+    "stats_percent",
+    f"{_TYPED}, repos AS ({adapters.REPOS}) SELECT t.repo_name, chunk_type, t.count, total_chunks, CASE WHEN total_chunks > 0 THEN round(t.count * 100.0::DOUBLE / total_chunks, 4) ELSE 0.0::DOUBLE END AS percent FROM (SELECT repo_name, chunk_type, count(*) AS count FROM typed GROUP BY ALL) t JOIN repos r ON r.name = t.repo_name",
+)
+def stats_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.type_shares(stats.chunk_types(_typed(spark, sf_dir)), store(spark, sf_dir, "repos"))
+
+
+@query(
+    "chunks_upsert",
+    f"""{_TYPED}, old AS (SELECT doc_id, chunk_index, chunk_type, chunk FROM typed WHERE doc_id % 4 <> 0), new AS (SELECT doc_id, chunk_index, 'text' AS chunk_type, '+' || chunk AS chunk FROM typed WHERE doc_id % 3 = 0)
+      SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.chunk_index, o.chunk_index) AS chunk_index, coalesce(o.chunk_type, n.chunk_type) AS chunk_type, md5(coalesce(n.chunk, o.chunk)) AS digest
+      FROM old o FULL JOIN new n ON o.doc_id = n.doc_id AND o.chunk_index = n.chunk_index""",
+)
+def chunks_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _typed(spark, sf_dir).select("doc_id", "chunk_index", "chunk_type", "chunk")
+    new = rows.filter("doc_id % 3 = 0").withColumn("chunk_type", F.lit("text")).withColumn("chunk", F.concat(F.lit("+"), "chunk"))
+    return catalog.upsert_chunks(rows.filter("doc_id % 4 <> 0"), new, ("doc_id", "chunk_index")).select("doc_id", "chunk_index", "chunk_type", F.md5("chunk").alias("digest"))
+
+
+@query("repo_delete", f"{_CHUNKS} SELECT repo_name, count(*) AS chunks FROM chunks WHERE repo_name NOT IN ('src0', 'src7') GROUP BY repo_name")
+def repo_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = spark.createDataFrame([("src0",), ("src7",)], "name string")
+    return catalog.delete(_chunks(spark, sf_dir), gone).groupBy("repo_name").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+@query("orphan_chunks", f"{_CHUNKS}, repos AS ({adapters.REPOS}) SELECT repo_name, doc_id, chunk_index FROM chunks WHERE repo_name NOT IN (SELECT name FROM repos WHERE type <> 'gitlab')")
+def orphan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = store(spark, sf_dir, "repos").filter("type <> 'gitlab'")
+    return catalog.orphans(_chunks(spark, sf_dir), kept).select("repo_name", "doc_id", "chunk_index")
+
+
+# --- files ---------------------------------------------------------------------------------------------------------
+
+_F = adapters.cte("files")
+_SUFFIX = r"lower(regexp_extract(split_part(file_path, '/', -1), '(?s)\A.+(\.[^.]+)\z', 1))"
+_ALLOWED = ", ".join(f"'{s}'" for s in (*LANGUAGES, *TEXT_SUFFIXES))
+_WHOLE, _PART = (r.replace(r"\Z", r"\z") for r in globs.compile_globs(EXCLUDES))
+_EXCLUDED = "(regexp_matches({p}, '{w}') OR regexp_matches('/' || {p}, '{w}') OR len(list_filter(string_split({p}, '/'), lambda c: regexp_matches(c, '{c}'))) > 0)"
+_SELF = _EXCLUDED.format(p="file_path", w=_WHOLE, c=_PART)
+_PRUNED = f"len(list_filter(list_transform(range(1, len(string_split(file_path, '/')) + 1), lambda n: array_to_string(string_split(file_path, '/')[1:n], '/')), lambda p: {_EXCLUDED.format(p='p', w=_WHOLE, c=_PART)})) > 0"
+_LANG = "CASE " + " ".join(f"WHEN {_SUFFIX} = '{s}' THEN '{v}'" for s, v in LANGUAGES.items()) + " ELSE 'text' END"
+
+
+@query("detect_language", f"{_F} SELECT doc_id, file_path, {_LANG} AS language, CASE WHEN lang IN ('auto', '', 'en') THEN {_LANG} ELSE lang END AS overridden FROM files")
+def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    override = F.when(F.col("lang") == "en", "auto").otherwise(F.col("lang"))
+    return store(spark, sf_dir, "files").select("doc_id", "file_path", paths.detect_language(F.col("file_path")).alias("language"), paths.detect_language(F.col("file_path"), override).alias("overridden"))
+
+
+@query("suffix_filter", f"{_F} SELECT doc_id, file_path, {_SUFFIX} AS suffix FROM files WHERE {_SUFFIX} IN ({_ALLOWED})")
+def suffix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = store(spark, sf_dir, "files").filter(paths.indexable(F.col("file_path")))
+    return files.select("doc_id", "file_path", paths.suffix(F.col("file_path")).alias("suffix"))
+
+
+@query("glob_exclude", f"{_F} SELECT doc_id, file_path, {_SELF} AS excluded, {_PRUNED} AS pruned FROM files")
+def glob_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("file_path")
+    return store(spark, sf_dir, "files").select("doc_id", "file_path", globs.excluded(path, EXCLUDES).alias("excluded"), globs.pruned(path, EXCLUDES).alias("pruned"))
+
+
+@query("size_cap", f"{_F} SELECT doc_id, file_path, size FROM files WHERE size <= 2 * 1024")
+def size_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store(spark, sf_dir, "files").filter(F.col("size") <= 2 * 1024).select("doc_id", "file_path", "size")
+
+
+@query("indexable_files", f"{_F} SELECT repo_name, doc_id, file_path, {_LANG} AS language FROM files WHERE size <= 500 * 1024 AND {_SUFFIX} IN ({_ALLOWED}) AND NOT ({_PRUNED})")
+def indexable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("file_path")
+    kept = store(spark, sf_dir, "files").filter((F.col("size") <= 500 * 1024) & paths.indexable(path) & ~globs.pruned(path, EXCLUDES))
+    return kept.select("repo_name", "doc_id", "file_path", paths.detect_language(path).alias("language"))
+
+
+@query(
+    "list_dir",
+    f"""{_F}, r AS (SELECT substring(file_path, 10) AS rest, size FROM files WHERE file_path LIKE 'docs/a.b/%'), c AS (SELECT split_part(rest, '/', 1) AS name, contains(rest, '/') AS deep, size FROM r)
+      SELECT name, CASE WHEN deep THEN 'directory' ELSE 'file' END AS type, CASE WHEN NOT deep THEN max(size) END AS size, 'docs/a.b/' || name AS path FROM c GROUP BY name, deep""",
+)
+def list_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.list_dir(store(spark, sf_dir, "files"), "docs/a.b")
+
+
+@query(
+    "breadcrumbs",
+    f"""{_F}, p AS (SELECT doc_id, list_filter(string_split(file_path, '/'), lambda x: x <> '') AS parts FROM files)
+      SELECT doc_id, CAST(n - 1 AS INT) AS pos, parts[n] AS name, array_to_string(parts[1:n], '/') AS path FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS n FROM p)""",
+)
+def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store(spark, sf_dir, "files").select("doc_id", F.posexplode(paths.breadcrumbs(F.col("file_path"))).alias("pos", "c"))
+    return rows.select("doc_id", "pos", "c.name", "c.path")
+
+
+@query("get_file", f"{_F} SELECT repo_name, file_path, content, size FROM files WHERE repo_name = 'src14' AND file_path = 'en/f14.MD'")
+def get_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = "/en/f14.MD".lstrip("/")
+    return store(spark, sf_dir, "files").filter((F.col("repo_name") == "src14") & (F.col("file_path") == wanted)).select("repo_name", "file_path", "content", "size")
+
+
+def _flat(n: int) -> str:
+    flat = r"trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+    return f"CASE WHEN length({flat}) > {n} THEN left({flat}, {n}) || '...' ELSE {flat} END"
+
+
+@query("snippets", f"SELECT doc_id, {_flat(260)} AS snippet, {_flat(140)} AS short FROM documents")
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text"), 260).alias("snippet"), text.snippet(F.col("text"), 140).alias("short"))
+
+
+@query(
+    "human_bytes",
+    """SELECT doc_id, CASE WHEN b IS NULL OR b = 0 THEN '—' WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f', round(b / 1024.0::DOUBLE, 1)) || ' KB' ELSE printf('%.1f', round(b / 1048576.0::DOUBLE, 1)) || ' MB' END AS label
+      FROM (SELECT doc_id, n_chars * (doc_id % 5) * (1 + doc_id % 7 * 100) AS b FROM documents)""",
+)
+def human_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_chars") * (F.col("doc_id") % 5) * (1 + F.col("doc_id") % 7 * 100)
+    return table(spark, sf_dir, "documents").select("doc_id", text.human_bytes(n).alias("label"))
+
+
+# --- repositories --------------------------------------------------------------------------------------------------
+
+_R = adapters.cte("repos")
+
+
+@query("repo_list", f"{_R} SELECT name, type, status, total_chunks FROM repos")
+def repo_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store(spark, sf_dir, "repos").orderBy("name")
+
+
+@query("repo_totals", f"{_R} SELECT CAST(sum(total_chunks) AS BIGINT) AS total_chunks, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (type <> 'local') AS remote FROM repos")
+def repo_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.repo_totals(store(spark, sf_dir, "repos"))
+
+
+@query("pending_repos", f"{_R} SELECT name, type, status, total_chunks FROM repos WHERE status = 'pending' AND type <> 'local'")
+def pending_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repos = store(spark, sf_dir, "repos")
+    return catalog.pending_repos(repos, repos.filter("type <> 'local'"))
+
+
+@query(
+    "catalog_upsert",
+    f"""{_R}, n AS (SELECT CASE WHEN total_chunks % 2 = 0 THEN name ELSE name || '-new' END AS name, 'local' AS type FROM repos)
+      SELECT coalesce(n.name, c.name) AS name, CASE WHEN n.name IS NOT NULL THEN n.type ELSE c.type END AS type, coalesce(c.status, 'pending') AS status, coalesce(c.total_chunks, 0) AS total_chunks FROM repos c FULL JOIN n ON c.name = n.name""",
+)
+def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repos = store(spark, sf_dir, "repos")
+    new = repos.select(F.when(F.col("total_chunks") % 2 == 0, F.col("name")).otherwise(F.concat("name", F.lit("-new"))).alias("name"), F.lit("local").alias("type"))
+    return catalog.upsert(repos, new)
+
+
+# --- jobs and queue ------------------------------------------------------------------------------------------------
+
+_J = adapters.cte("jobs")
+_LATEST = "SELECT job_id, s.status AS status, s.tool AS tool, s.error_message AS error_message, s.params AS params, first_at, updated_at, transitions FROM (SELECT job_id, arg_max({'status': status, 'tool': tool, 'error_message': error_message, 'params': params}, created_at) AS s, min(created_at) AS first_at, max(created_at) AS updated_at, count(*) AS transitions FROM jobs GROUP BY job_id)"
+
+
+@query("jobs_recent", f"{_J} SELECT * FROM jobs ORDER BY created_at DESC, event_id LIMIT 50")
+def jobs_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.recent(store(spark, sf_dir, "jobs"))
+
+
+@query("jobs_by_status", f"{_J} SELECT * FROM jobs WHERE status = 'error' ORDER BY created_at DESC, event_id LIMIT 50")
+def jobs_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.recent(store(spark, sf_dir, "jobs"), 50, "error")
+
+
+@query("job_latest_state", f"{_J} {_LATEST}")
+def job_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.latest(store(spark, sf_dir, "jobs"))
+
+
+@query("job_result_view", f"{_J} SELECT job_id, v AS view, CASE WHEN v = 'error' THEN coalesce(error_message, 'unknown error') END AS message FROM (SELECT *, CASE WHEN status IN ('pending', 'running') THEN 'not_ready' WHEN status = 'error' THEN 'error' ELSE 'done' END AS v FROM ({_LATEST}))")
+def job_result_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.result_view(jobs.latest(store(spark, sf_dir, "jobs")))
+
+
+@query(
+    "job_durations",
+    f"""{_J} SELECT job_id, ms, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN printf('%.1f', round(ms / 1000.0::DOUBLE, 1)) || 's' ELSE printf('%.1f', round(ms / 60000.0::DOUBLE, 1)) || 'm' END AS label
+      FROM (SELECT job_id, (epoch_us(updated_at) // 1000 - epoch_us(first_at) // 1000) % 200000 AS ms FROM ({_LATEST}))""",
+)
+def job_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms = (F.unix_millis(F.col("updated_at").cast("timestamp")) - F.unix_millis(F.col("first_at").cast("timestamp"))) % 200000
+    return jobs.latest(store(spark, sf_dir, "jobs")).select("job_id", ms.alias("ms")).select("job_id", "ms", text.duration_label(F.col("ms")).alias("label"))
+
+
+@query("job_active_count", f"{_J} SELECT count(*) FILTER (status IN ('pending', 'running')) AS active FROM ({_LATEST})")
+def job_active_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.latest(store(spark, sf_dir, "jobs")).agg(F.count_if(F.col("status").isin("pending", "running")).alias("active"))
+
+
+@query("job_search", f"{_J} SELECT job_id, status, tool, error_message FROM ({_LATEST}) WHERE contains(lower(job_id), '50') OR contains(lower(tool), '50') OR contains(lower(status), '50') OR contains(lower(coalesce(error_message, '')), '50') ORDER BY job_id LIMIT 8")
+def job_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.latest(store(spark, sf_dir, "jobs")).filter(jobs.matches(" 50 ")).select("job_id", "status", "tool", "error_message").orderBy("job_id").limit(8)
+
+
+@query("job_params_json", f"{_J} SELECT event_id, CAST(json_extract(params, '$.k') AS BIGINT) AS k FROM jobs")
+def job_params_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store(spark, sf_dir, "jobs").select("event_id", F.get_json_object("params", "$.k").cast("long").alias("k"))
+
+
+@query("job_stale", f"{_J} SELECT job_id, status, updated_at FROM ({_LATEST}) WHERE status IN ('pending', 'running') AND updated_at < (SELECT max(created_at) FROM jobs) - INTERVAL 1 DAY")
+def job_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store(spark, sf_dir, "jobs")
+    now = rows.agg(F.max("created_at")).first()[0]
+    return jobs.stale(rows, F.lit(now), "1 DAY").select("job_id", "status", "updated_at")
+
+
+@query("queue_pending", f"{adapters.cte('queue')} SELECT * FROM queue WHERE processed_at IS NULL ORDER BY requested_at, id LIMIT 10")
+def queue_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.pending(store(spark, sf_dir, "queue"))
+
+
+@query("queue_resolve", f"{adapters.cte('queue', 'repos')} SELECT q.id, r.name FROM queue q JOIN repos r ON q.repo_name IS NULL OR q.repo_name = r.name WHERE q.processed_at IS NULL")
+def queue_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.resolve(store(spark, sf_dir, "queue"), store(spark, sf_dir, "repos"))
+
+
+@query(
+    "session_ttl",
+    "SELECT sha256(CAST(event_id AS VARCHAR)) AS token_hash, user_id, ts + INTERVAL 24 HOUR AS expires_at FROM events WHERE ts + INTERVAL 24 HOUR > (SELECT max(ts) FROM events) - INTERVAL 6 HOUR",
+)
+def session_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    sessions = events.select(F.sha2(F.col("event_id").cast("string"), 256).alias("token_hash"), "user_id", F.expr("ts + INTERVAL '24' HOUR").alias("expires_at"))
+    now = events.agg(F.expr("max(ts) - INTERVAL '6' HOUR")).first()[0]
+    return jobs.live_sessions(sessions, F.lit(now))
+
+
+# --- remote catalogues, memories, settings -------------------------------------------------------------------------
+
+_M = adapters.cte("remote")
+
+
+@query("remote_map", f"{_M} SELECT id, full_name, replace(full_name, '/', '-') AS slug, coalesce(visibility, 'private') <> 'public' AS private, 'main' AS default_branch FROM remote")
+def remote_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.map_remote(store(spark, sf_dir, "remote"))
+
+
+@query("remote_search", f"{_M} SELECT id, host, full_name, visibility FROM remote WHERE contains(lower(full_name), 'en/') ORDER BY full_name, id LIMIT 30")
+def remote_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.search_remote(store(spark, sf_dir, "remote"), " EN/ ")
+
+
+_CONFIGURED = f"{_M}, names AS (SELECT DISTINCT replace(full_name, '/', '-') AS name FROM remote WHERE id % 2 = 0)"
+
+
+def _configured(rows: DataFrame) -> DataFrame:
+    return rows.filter("id % 2 = 0").select(text.slug(F.col("full_name")).alias("name")).distinct()
+
+
+@query("remote_not_configured", f"{_CONFIGURED} SELECT id, full_name FROM remote WHERE replace(full_name, '/', '-') NOT IN (SELECT name FROM names)")
+def remote_not_configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store(spark, sf_dir, "remote")
+    return catalog.not_configured(rows, _configured(rows)).select("id", "full_name")
+
+
+@query("remote_not_configured_first_slash", f"{_CONFIGURED} SELECT id, full_name FROM remote WHERE regexp_replace(full_name, '/', '-') NOT IN (SELECT name FROM names)")
+def remote_not_configured_first_slash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store(spark, sf_dir, "remote")
+    return catalog.not_configured(rows, _configured(rows), first_slash=True).select("id", "full_name")
+
+
+@query("memory_list", f"{adapters.cte('memories')} SELECT memory_id, user_id, memory, role FROM memories WHERE user_id = 'u3' ORDER BY memory_id LIMIT 20")
+def memory_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.listing(store(spark, sf_dir, "memories"), "u3", 20)
+
+
+_META = "CASE conv_id % 5 WHEN 0 THEN NULL WHEN 1 THEN concat('{\"turn\":', cast(turn as varchar(9)), '}') WHEN 2 THEN '[1]' WHEN 3 THEN '5' ELSE '{broken' END"
+
+
+@query(
+    "memory_metadata",
+    f"""SELECT conv_id, turn, CASE WHEN m IS NULL THEN 'empty' WHEN json_valid(m) AND json_type(m) = 'OBJECT' THEN 'object' ELSE 'error' END AS kind,
+        CASE WHEN m IS NULL THEN '{{}}' WHEN json_valid(m) AND json_type(m) = 'OBJECT' THEN m END AS metadata FROM (SELECT conv_id, turn, {_META} AS m FROM conversations)""",
+)
+def memory_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_META} AS m")
+    return rows.select("conv_id", "turn", memory.metadata_kind(F.col("m")).alias("kind"), memory.normalize_metadata(F.col("m")).alias("metadata"))
+
+
+_LAYERS = [("model", 1, None), ("model", 2, ""), ("model", 3, "small"), ("dims", 1, "1024"), ("dims", 3, "1536"), ("key", 2, "k2"), ("key", 3, "k3"), ("base_url", 1, None)]
+_LAYERS_SQL = "WITH l(key, rank, value) AS (VALUES " + ", ".join(f"('{k}', {r}, {'NULL' if v is None else repr(v)})" for k, r, v in _LAYERS) + ")"
+
+
+@query("settings_resolve", f"{_LAYERS_SQL} SELECT key, arg_min(value, rank) AS value FROM l WHERE nullif(value, '') IS NOT NULL GROUP BY key")
+def settings_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settings.resolve(spark.createDataFrame(_LAYERS, "key string, rank int, value string"))
+
+
+@query("override_diff", f"{_LAYERS_SQL} SELECT c.key, c.value, d.value AS default_value FROM l c LEFT JOIN (SELECT * FROM l WHERE rank = 3) d ON c.key = d.key WHERE c.rank = 1 AND c.value IS DISTINCT FROM d.value")
+def override_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(_LAYERS, "key string, rank int, value string")
+    return settings.overrides(rows.filter("rank = 1"), rows.filter("rank = 3"))
+
+
+@query(
+    "text_search_hash",
+    r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS word FROM documents),
+      c AS (SELECT doc_id, CAST('0x' || md5(word)[1:2] AS INT) % 16 AS place, count(*) AS n FROM w GROUP BY ALL),
+      v AS (SELECT doc_id, list(n::DOUBLE) AS ns, sum(n * n)::DOUBLE AS nn FROM c GROUP BY doc_id),
+      d AS (SELECT a.doc_id, sum(a.n * q.n)::DOUBLE AS dot FROM c a JOIN c q ON a.place = q.place WHERE q.doc_id = 3 GROUP BY a.doc_id)
+      SELECT v.doc_id, round(coalesce(dot, 0) / sqrt(nn * (SELECT nn FROM v WHERE doc_id = 3)), 4) AS score FROM v LEFT JOIN d USING (doc_id) ORDER BY coalesce(dot, 0) / sqrt(nn * (SELECT nn FROM v WHERE doc_id = 3)) DESC, doc_id LIMIT 10""",
+)
+def text_search_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    wanted = embed.hashed_columns(docs.filter("doc_id = 3"), "doc_id", "text").first()["embedding"]
+    found = embed.hashed_columns(docs, "doc_id", "text").withColumn("repo_name", F.lit(""))
+    return search.top_k(found, wanted, 10, keys=("doc_id",)).select("doc_id", "score")
+
+
+@query("syntax_chunks")
+def syntax_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.chunk_files(store(spark, sf_dir, "files").select("repo_name", F.concat("file_path", F.lit("."), F.col("doc_id").cast("string"), F.lit(".go")).alias("file_path"), "content"))
+
+
+@query("embedded_chunks")
+def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _chunks(spark, sf_dir).select("repo_name", "doc_id", "chunk_index", F.col("chunk").alias("content"))
+    return embed.with_embeddings(rows, embed.hashing_client).select("repo_name", "doc_id", "chunk_index", F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
