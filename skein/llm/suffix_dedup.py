@@ -264,7 +264,7 @@ def remove_repeats(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
     other = [c for c in docs.columns if c not in ("doc_id", "text")] if keep_columns else []
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    buckets = max(1, blocks // 2)
+    buckets = 2 * blocks
     cols = [F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("_block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     if other:
         cols.append(F.struct(*[F.col(f"`{c}`") for c in other]).alias("_row"))
