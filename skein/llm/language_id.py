@@ -17,6 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,27 +160,46 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return Model(np.ascontiguousarray(table), np.array(intercepts), np.array(slopes), sides, families)
 
 
+def predict(model: Model | None, data: np.ndarray, off: np.ndarray, letters: list[bool]) -> list[tuple[str, float]]:
+    """Language and score of every row of a slice; a row without a letter is ``und``."""
+    machines = len(model.sides) if model else 0
+    margins = np.zeros((len(off) - 1, machines))
+    if machines:
+        found, lead = positions(data, off)
+        for f in found:
+            part = model.weights[f]
+            part[f < 0] = 0
+            total = np.concatenate((np.zeros((1, machines)), np.cumsum(part, axis=0, dtype=np.float64)))
+            margins += total[lead[1:]] - total[lead[:-1]]
+        margins = margins / np.maximum(np.diff(lead), 1)[:, None] + model.intercepts
+    return [model.decide(m) if model and has else ("und", 0.0) for m, has in zip(margins, letters, strict=True)]
+
+
 def identify(docs: DataFrame, learn: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, held_out); ``learn`` has lang too."""
     model = train(learn, sample)
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select("doc_id", "text", "held_out", letter.alias("letter"))
+    letter = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "held_out", letter.alias("letter"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = len(model.sides) if model else 0
         for batch, lo, hi, data, off in text_slices(batches):
             n = hi - lo
-            letters = batch.column(3).slice(lo, n).to_pylist()
-            margins = np.zeros((n, machines))
-            if machines:
-                found, lead = positions(data, off)
-                for f in found:
-                    part = model.weights[f]
-                    part[f < 0] = 0
-                    total = np.concatenate((np.zeros((1, machines)), np.cumsum(part, axis=0, dtype=np.float64)))
-                    margins += total[lead[1:]] - total[lead[:-1]]
-                margins = margins / np.maximum(np.diff(lead), 1)[:, None] + model.intercepts
-            picks = [model.decide(m) if model and has else ("und", 0.0) for m, has in zip(margins, letters, strict=True)]
+            picks = predict(model, data, off, batch.column(3).slice(lo, n).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array([p[0] for p in picks], pa.string()), pa.array([float(p[1]) for p in picks], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.mapInArrow(run, _OUT)
+
+
+def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang and others) for which a language is found; nothing is shuffled."""
+    model = train(docs, sample)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, lo, hi, data, off in text_slices(batches):
+            part = batch.slice(lo, hi - lo)
+            letters = pc.fill_null(pc.match_substring_regex(part.column(at).cast(pa.large_string()), r"\p{L}"), False).to_pylist()
+            keep = [lang != "und" for lang, _ in predict(model, data, off, letters)]
+            yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
