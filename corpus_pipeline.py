@@ -27,7 +27,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that an earlier document has are cut out; n_chars follows the text."""
     cut = suffix_dedup.remove_repeats(docs, keep_columns=True)
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        cut = cut.withColumn("n_chars", F.when(F.col("_dedup.n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)
 
 

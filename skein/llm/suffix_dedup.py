@@ -27,6 +27,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .bytetext import column_bytes, mix, powers, prefix_hash, slices, span_hash
 from .rlindex import RunLengthIndex
@@ -250,7 +252,7 @@ def _mark(buckets: int, names: list[str], schema: pa.Schema):
             texts_left.append(left.decode("utf-8", "ignore"))
         cols = {"doc_id": texts.column("doc_id"), "text": pa.array(texts_left, pa.string()), "n_bytes": pa.array(np.diff(b.off)), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept_sha256": pa.array(digests, pa.string())}
         if "_row" in names:
-            cols["_row"] = texts.column("_row")
+            cols["_row"] = texts.column("_row").cast(schema.field("_row").type)  # the struct comes with required fields
         return pa.Table.from_arrays([cols[c] for c in names], names)
 
     return run
@@ -259,7 +261,8 @@ def _mark(buckets: int, names: list[str], schema: pa.Schema):
 def remove_repeats(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
     """doc_id, text (what is kept, broken characters at a cut left out), n_bytes, n_removed, n_spans, kept_sha256.
 
-    With ``keep_columns`` the further columns follow.  ``kept_sha256`` is taken of the remaining bytes themselves.
+    With ``keep_columns`` the further columns follow doc_id and text, and the figures are in one struct, ``_dedup``.
+    ``kept_sha256`` is taken of the remaining bytes themselves.
     """
     other = [c for c in docs.columns if c not in ("doc_id", "text")] if keep_columns else []
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
@@ -274,13 +277,12 @@ def remove_repeats(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
     row_type = texts.schema["_row"].dataType if other else None
     if other:
         out += f", _row {row_type.simpleString()}"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     by_block = texts.groupBy("_block")
     answers = by_block.applyInArrow(_send_phrases(buckets), _PHRASES).groupBy("_bucket").applyInArrow(_answer_phrases, _REPLY)
     sent = by_block.cogroup(answers.groupBy("_block")).applyInArrow(_send_bytes(buckets), _DICT)
     windows = sent.groupBy("_bucket").applyInArrow(_answer_windows, _REPLY)
     arrow = to_arrow_schema(StructType.fromDDL(out))
     marked = by_block.cogroup(answers.union(windows).groupBy("_block")).applyInArrow(_mark(buckets, names, arrow), out)
-    return marked.select(*names[:6], *[F.col(f"_row.`{c}`").alias(c) for c in other])
+    if not keep_columns:
+        return marked.drop("_row")
+    return marked.select("doc_id", "text", *[F.col(f"_row.`{c}`").alias(c) for c in other], F.struct(*names[2:6]).alias("_dedup"))

@@ -123,7 +123,7 @@ def fit(h: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, y: np.ndarray,
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on a bounded sample of ``labelled`` (doc_id, text, toxic)."""
-    rows = labelled.filter("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    rows = labelled.filter("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), F.col("text").cast("string").alias("text"))
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.select("doc_id", "toxic").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).select("doc_id").distinct()
     got = rows.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, toxic int, h binary, s binary, n int").toPandas()
@@ -156,4 +156,4 @@ def score(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataFra
             cols = [batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(total), pa.array((total >= THRESHOLD).astype(np.int32)), pa.array(np.diff(soff).astype(np.int32)), pa.ListArray.from_arrays(pa.array(cut), spans)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted", "n_sentences", "offending"])
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, _OUT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "held_out").mapInArrow(run, _OUT)
