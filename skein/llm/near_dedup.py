@@ -28,6 +28,8 @@ from .components import connected_components
 from .staging import stage
 
 SHINGLE_WORDS, BANDS, ROWS, PERCENT = 5, 24, 3, 75
+#: Words of 64 bits in the parity map of a set; the maps of two sets differ in no more bits than the sets in shingles.
+PARITY_WORDS = 16
 #: Ids of so many candidate documents (8 bytes each) are broadcast at most; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _FEATURES = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
@@ -77,22 +79,29 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(digest[:, 0].copy().view(np.int64)), pa.array(digest[:, 1].copy().view(np.int64)), lists], ["doc_id", "n_shingles", "set_hi", "set_lo", "bands"])
 
 
+def _parity(unique: np.ndarray) -> np.ndarray:
+    """For each bit of the map, whether an odd number of shingles falls on it."""
+    odd = np.bincount((unique >> np.uint64(20)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, lo, hi, data, off in text_slices(batches):
         _, _, h, woff = words(data, off)
         sh, soff = shingles(h, woff, SHINGLE_WORDS)
-        sets = [np.unique(sh[soff[r] : soff[r + 1]]).view(np.int64) for r in range(hi - lo)]
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        sets = [np.unique(sh[soff[r] : soff[r + 1]]) for r in range(hi - lo)]
+        flat = np.concatenate(sets).view(np.int64)
+        maps = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * PARITY_WORDS), pa.array(np.concatenate([_parity(s) for s in sets])))
         cut = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
         ids = batch.column(batch.schema.get_field_index("doc_id")).slice(lo, hi - lo)
-        yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))], ["doc_id", "set"])
+        yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)), maps], ["doc_id", "set", "parity"])
 
 
 def _sets_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The full shingle sets of all documents in ``pairs`` (a, b)."""
     ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return stage(texts.join(side, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set array<long>"), "sets")
+    return stage(texts.join(side, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set array<long>, parity array<long>"), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -133,6 +142,16 @@ def _possible(x: str, y: str) -> Column:
     return (F.col(f"{x}.item") == F.col(f"{y}.item")) & (F.col(f"{x}.component") != F.col(f"{y}.component")) & room
 
 
+def _alike(x: str, y: str) -> Column:
+    """Whether the parity maps leave room for a link: it allows one difference for seven shingles of the two sets.
+
+    |A ^ B| <= 25 % of |A | B|, and |A | B| = (|A| + |B| + |A ^ B|) / 2; the maps show no more differences than there are.
+    """
+    differ = sum((F.bit_count(F.col(f"{x}.parity")[k].bitwiseXOR(F.col(f"{y}.parity")[k])) for k in range(PARITY_WORDS)), F.lit(0))
+    both = F.col(f"{x}.shared") + F.col(f"{x}.own") + F.col(f"{y}.shared") + F.col(f"{y}.own")
+    return differ * (100 + PERCENT) <= both * (100 - PERCENT)
+
+
 def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Edges (a, b) that give the same components as all links of ``nodes`` (doc_id, bands)."""
     rows = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
@@ -151,7 +170,9 @@ def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     # Of a large group of alike nodes one profile is compared first; what no profile leaves room for is done.
     profiles = prefixes.select("item", "component", "shared", "own").distinct()
     left = stage(prefixes.alias("x").join(profiles.alias("y"), _possible("x", "y"), "left_semi"), "left")
-    tried = left.alias("x").join(left.alias("y"), _possible("x", "y") & (F.col("x.node") < F.col("y.node")))
+    maps = sets.select(F.col("doc_id").alias("node"), "parity")
+    left = stage(left.join(maps, "node"), "left")
+    tried = left.alias("x").join(left.alias("y"), _possible("x", "y") & (F.col("x.node") < F.col("y.node")) & _alike("x", "y"))
     pairs = stage(tried.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
     return stage(edges.union(_verified(pairs, sets)), "edges")
 
