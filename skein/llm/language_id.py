@@ -2,7 +2,7 @@
 
 Features are relative frequencies of hashed runs of one to three lower-cased characters over the whole text.  All
 machines are linear in them, so a text's margins are means of per-position weights and need no vectors.  The machines
-are fitted on at most ``SAMPLE`` labelled documents of each language, chosen by a hash of doc_id.
+are fitted on at most ``SAMPLE`` labelled documents with a letter of each language, chosen by a hash of doc_id.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0; with no labelled document everything is
 ``und``; with one language every text with a letter is of it, with score 1; rows that share a doc_id are scored each; an
@@ -79,14 +79,16 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 30) -> np.ndarray:
-    """Squared-hinge linear SVM by dual coordinate descent; the last weight is the intercept."""
+    """Squared-hinge linear SVM by dual coordinate descent, both classes of equal weight; the last weight is the intercept."""
+    share = np.where(y > 0, (y > 0).mean(), (y < 0).mean())
+    slack = share / cost  # 1 / (2 cost), where a class of half the rows counts once
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
-    norm = np.einsum("ij,ij->i", x, x) + 1 / (2 * cost)
+    norm = np.einsum("ij,ij->i", x, x) + slack
     order = np.random.default_rng(0)
     for _ in range(epochs):
         for i in order.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1 + alpha[i] / (2 * cost)
+            g = y[i] * (x[i] @ w) - 1 + alpha[i] * slack[i]
             new = max(alpha[i] - g / norm[i], 0.0)
             if new != alpha[i]:
                 w += (new - alpha[i]) * y[i] * x[i]
@@ -129,7 +131,7 @@ class Model:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on a bounded sample of the labelled rows of ``docs`` (doc_id, text, lang)."""
-    known = docs.filter("lang is not null and text is not null")
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).select("doc_id")
     rows = known.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "lang", "text")
