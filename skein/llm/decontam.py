@@ -9,7 +9,8 @@ quarters of a shorter item's.
 Documents never move: the items travel to the tasks in blocks of at most ``BLOCK_WORDS`` words (16 bytes each for a
 mask), one scan of the documents for each block, so any number of items is handled the same way.
 
-Defined results: items of fewer than six words match nothing, items under a mask's span match only whole; items with
+Defined results: items of fewer than six words match nothing, items under a mask's span are looked up by runs of half
+their words; items with
 equal words count as the one of the least item_id; null or empty texts contain nothing; rows that share a doc_id are
 compared each; an empty table on either side gives no overlaps; further columns are ignored.
 """
@@ -66,7 +67,7 @@ def seeds(h: np.ndarray, woff: np.ndarray, mask: str) -> tuple[np.ndarray, np.nd
 
 
 class Items:
-    """A block of benchmark items: their words, and sorted seeds for every mask (whole runs for short items)."""
+    """A block of benchmark items: their words, and sorted seeds for every mask (runs of half the words for short items)."""
 
     def __init__(self, ids: list[int], texts: list[str | None]) -> None:
         data, off = column_bytes(pa.array(texts, pa.string()))
@@ -82,11 +83,12 @@ class Items:
         cut = np.concatenate(([0], np.cumsum(size)))
         span = min(len(m) for m in MASKS)
         self.tables = []
-        for mask in (*MASKS, *("1" * n for n in sorted(set(size[size < span].tolist())))):
+        short = sorted(set(size[size < span].tolist()))
+        for mask, words in (*((m, 0) for m in MASKS), *(("1" * (n // 2), n) for n in short)):
             at, s = seeds(flat, cut, mask)
             item = np.searchsorted(cut, at, "right") - 1
-            if "0" not in mask:
-                own = size[item] == len(mask)
+            if words:
+                own = size[item] == words
                 at, s, item = at[own], s[own], item[own]
             order = np.argsort(s, kind="stable")
             bitmap = np.zeros(1 << 22, bool)
