@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 2000
+#: Words or tags that each element is taken to have inside and outside the content before any page is read.
+PRIOR = 0.25
 _OUT = "page_id long, url string, text string, n_chars long"
 #: Elements whose tags and words have weights of their own.
 _ELEMENTS = frozenset(
@@ -119,7 +121,7 @@ class Weights:
     def __init__(self, counts: Counter) -> None:
         def share(kind: str, element: str) -> float:
             a, b = counts[kind, element, True], counts[kind, element, False]
-            return (a + 1) / (a + b + 2)
+            return (a + PRIOR) / (a + b + 2 * PRIOR)
 
         names = (*_ELEMENTS, "other")
         self.word = {e: max(0.02, share("word", e)) for e in names}
