@@ -18,10 +18,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import text_slices
+from .sampling import sample_ids
 
 SAMPLE = 400
 BITS = (10, 12, 13)
@@ -64,34 +65,50 @@ def positions(data: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.n
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    width = sum(1 << b for b in BITS)
+    """Feature numbers of each text (unsigned 16-bit) and their frequencies (32-bit floats)."""
     for batch, lo, hi, data, off in text_slices(batches):
         found, lead = positions(data, off)
-        rows = []
+        at, freq = [], []
         for r in range(hi - lo):
             own = np.concatenate([f[lead[r] : lead[r + 1]] for f in found])
-            own = own[own >= 0]
-            counts = np.bincount(own, minlength=width) / max(1, lead[r + 1] - lead[r])
-            rows.append(counts.astype(np.float32).tobytes())
+            number, count = np.unique(own[own >= 0], return_counts=True)
+            at.append(number.astype(np.uint16).tobytes())
+            freq.append((count / max(1, lead[r + 1] - lead[r])).astype(np.float32).tobytes())
         lang = batch.column(batch.schema.get_field_index("lang")).slice(lo, hi - lo)
         ids = batch.column(batch.schema.get_field_index("doc_id")).slice(lo, hi - lo)
-        yield pa.RecordBatch.from_arrays([ids, lang, pa.array(rows, pa.binary())], ["doc_id", "lang", "x"])
+        yield pa.RecordBatch.from_arrays([ids, lang, pa.array(at, pa.binary()), pa.array(freq, pa.binary())], ["doc_id", "lang", "at", "freq"])
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 30) -> np.ndarray:
+@dataclass
+class Rows:
+    """Sparse rows: row r has the features at[cut[r]:cut[r+1]] with the values of the same places of x."""
+
+    at: np.ndarray
+    x: np.ndarray
+    cut: np.ndarray
+
+    def margins(self, w: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """w . row + intercept (the last weight)."""
+        return np.array([self.x[a:b] @ w[self.at[a:b]] for a, b in zip(self.cut[rows], self.cut[rows + 1], strict=True)]) + w[-1]
+
+
+def fit_svm(data: Rows, rows: np.ndarray, y: np.ndarray, width: int, cost: float = 1.0, epochs: int = 30) -> np.ndarray:
     """Squared-hinge linear SVM by dual coordinate descent, both classes of equal weight; the last weight is the intercept."""
     share = np.where(y > 0, (y > 0).mean(), (y < 0).mean())
     slack = share / cost  # 1 / (2 cost), where a class of half the rows counts once
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
-    norm = np.einsum("ij,ij->i", x, x) + slack
+    w, alpha = np.zeros(width + 1), np.zeros(len(rows))
+    own = [(data.at[a:b], data.x[a:b]) for a, b in zip(data.cut[rows], data.cut[rows + 1], strict=True)]
+    norm = np.array([x @ x for _, x in own]) + 1 + slack
     order = np.random.default_rng(0)
     for _ in range(epochs):
-        for i in order.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1 + alpha[i] * slack[i]
+        for i in order.permutation(len(rows)):
+            at, x = own[i]
+            g = y[i] * (x @ w[at] + w[-1]) - 1 + alpha[i] * slack[i]
             new = max(alpha[i] - g / norm[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w[at] += step * x
+                w[-1] += step
                 alpha[i] = new
     return w
 
@@ -132,16 +149,16 @@ class Model:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on a bounded sample of the labelled rows of ``docs`` (doc_id, text, lang)."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).select("doc_id")
-    rows = known.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "lang", "text")
-    got = rows.mapInArrow(_vectors, "doc_id long, lang string, x binary").toPandas().sort_values(["lang", "doc_id"])
+    rows = known.join(F.broadcast(sample_ids(known, "lang", sample)), "doc_id", "left_semi").select("doc_id", "lang", "text")
+    got = rows.mapInArrow(_vectors, "doc_id long, lang string, at binary, freq binary").toPandas().sort_values(["lang", "doc_id"])
     if not len(got):
         return None
-    x = np.stack([np.frombuffer(b, np.float32) for b in got.x])
-    lang = got.lang.to_numpy()
-    scale = 1 / (x.std(0) + 1e-4) / np.sqrt(x.shape[1])
-    x *= scale
+    lang, width = got.lang.to_numpy(), sum(1 << b for b in BITS)
+    data = Rows(np.frombuffer(b"".join(got["at"]), np.uint16), np.frombuffer(b"".join(got["freq"]), np.float32).astype(np.float64), np.concatenate(([0], np.cumsum(got["at"].map(len)) // 2)))
+    del got
+    mean, square = (np.bincount(data.at, v, width) / len(lang) for v in (data.x, data.x**2))
+    scale = 1 / (np.sqrt(np.maximum(square - mean**2, 0)) + 1e-4) / np.sqrt(width)
+    data.x *= scale[data.at]
     families: dict[str, list[str]] = {}
     for name in sorted(set(lang)):
         families.setdefault(family_of(name), []).append(name)
@@ -150,15 +167,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     tasks += [(f, a, b, lang) for f, langs in families.items() for a, b in combinations(langs, 2)]
     weights, intercepts, slopes, sides = [], [], [], []
     for level, a, b, label in tasks:
-        own = (label == a) | (label == b)
+        own = np.flatnonzero((label == a) | (label == b))
         y = np.where(label[own] == a, 1.0, -1.0)
-        w = fit_svm(x[own], y)
-        margin = y * (x[own] @ w[:-1] + w[-1])
+        w = fit_svm(data, own, y, width)
+        margin = y * data.margins(w, own)
         weights.append(w[:-1] * scale)
         intercepts.append(w[-1])
         slopes.append(3 / max(float(np.median(margin)), 1e-6))  # a typical training margin is 95 % sure
         sides.append((level, a, b))
-    table = np.array(weights, np.float32).T if weights else np.zeros((x.shape[1], 0), np.float32)
+    table = np.array(weights, np.float32).T if weights else np.zeros((width, 0), np.float32)
     return Model(np.ascontiguousarray(table), np.array(intercepts), np.array(slopes), sides, families)
 
 
