@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import mix, prefix_hash, span_hash, text_slices
+from .sampling import sample_ids
 
 SAMPLE, MIN_DOCS, STEPS, THRESHOLD, PENALTY, LEAST_WEIGHT = 1200, 5, 600, 0.3, 1e-4, 0.5
 PREFIXES = (4, 5, 6, 7, 8)
@@ -124,8 +125,7 @@ def fit(h: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, y: np.ndarray,
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on a bounded sample of ``labelled`` (doc_id, text, toxic)."""
     rows = labelled.filter("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), F.col("text").cast("string").alias("text"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "toxic").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).select("doc_id").distinct()
+    ids = sample_ids(rows, "toxic", sample)
     got = rows.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, toxic int, h binary, s binary, n int").toPandas()
     if not len(got):
         return None
