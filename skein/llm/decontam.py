@@ -1,23 +1,28 @@
 """Benchmark decontamination by spaced seeds.
 
-Words are runs of letters and digits, A-Z lower-cased.  Fixed masks pick some of the words in a window and ignore the
-others, so a substituted word does not hide a passage.  Hashes of the picked words of all benchmark items are joined to
-those of every document; around a hit, the item is laid over the document and the best substitution-tolerant overlap is
-measured (one for an equal word, minus two for another).  An overlap counts with ``MATCHED`` equal words, or with three
-quarters of a shorter item's.
+Words are runs of letters and digits, A-Z lower-cased; in scripts that put no space between words, each character is a
+word.  Masks pick some of the words in a window and ignore the others, so a substituted word does not hide a passage.
+Hashes of the picked words of all benchmark items are joined to those of every document; around a hit, the item is laid
+over the document and the best substitution-tolerant overlap is measured (one for an equal word, minus two for another).
+An overlap counts with ``MATCHED`` equal words, or with three quarters of a shorter item's.
 
-Documents never move: the items travel to the tasks in blocks of at most ``BLOCK_WORDS`` words (16 bytes each for a
+The masks follow from this rule and miss no overlap that counts: the best overlap ends at its first highest sum, so each
+of its ends sums to more than zero, and read from the end n equal words come with fewer than n / 2 substitutions.  All
+ways in which its last ``SEED`` equal words (fewer for an item that needs fewer) can lie under that bound are looked up.
+
+Documents never move: the items travel to the tasks in blocks of at most ``BLOCK_WORDS`` words (12 bytes each for a
 mask), one scan of the documents for each block, so any number of items is handled the same way.
 
-Defined results: items of fewer than six words match nothing, items under a mask's span are looked up by runs of half
-their words; items with
-equal words count as the one of the least item_id; null or empty texts contain nothing; rows that share a doc_id are
+Defined results: items of fewer than six words match where all their words follow each other, items without a word
+match nothing; items with equal words count as the one of the least item_id; null or empty texts contain nothing; rows that share a doc_id are
 compared each; an empty table on either side gives no overlaps; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .bytetext import column_bytes, mix, prefix_hash, span_hash, text_slices
 
-#: The positions of a window that are compared.
-MASKS = ("111011010111", "110110111011", "1110010110111")
+#: Fixed value: so many equal words are compared at most in a window.
+SEED = 7
 MATCHED, SHORTEST, SHARE, MISMATCH = 13, 6, 0.75, 2
 BLOCK_WORDS = 1 << 20
 _OUT = "doc_id long, item_id long, matched int, item_words int, start_word int"
@@ -36,9 +41,36 @@ _WORD[128:] = True
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Scripts without spaces between words (Thai to Tibetan, Myanmar, Khmer, Kana and Bopomofo, Han, Yi, half-width Kana, Han beyond 16 bits).
+_ALONE = ((0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA48F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x323AF))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def endings(n: int) -> list[str]:
+    """Every mask of the last ``n`` equal words that an overlap can end in: before its (k + 1)-th from the end, k > ``MISMATCH`` times the substitutions."""
+    found = [("1", 0)]
+    for k in range(1, n):
+        found = [("1" + "0" * more + mask, gone + more) for mask, gone in found for more in range((k - 1) // MISMATCH - gone + 1)]
+    return [mask for mask, _ in found]
+
+
+def needed(size: int) -> int:
+    """Equal words that make an overlap with an item of ``size`` words count."""
+    return size if size < SHORTEST else min(MATCHED, math.ceil(SHARE * size))
+
+
+def _alone(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each character that is a word of its own."""
+    wide = np.flatnonzero(data >= 0xE0)
+    b = [data[np.minimum(wide + k, len(data) - 1)].astype(np.int64) for k in range(4)]
+    far = b[0] >= 0xF0
+    cp = np.where(far, ((b[0] & 7) << 18) | ((b[1] & 63) << 12) | ((b[2] & 63) << 6) | (b[3] & 63), ((b[0] & 15) << 12) | ((b[1] & 63) << 6) | (b[2] & 63))
+    own = np.zeros(len(wide), bool)
+    for lo, hi in _ALONE:
+        own |= (cp >= lo) & (cp <= hi)
+    return wide[own], wide[own] + 3 + far[own]
+
+
 def plain_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and word offsets of the rows."""
     n = len(data)
@@ -47,6 +79,8 @@ def plain_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ink = _WORD[data]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
+    first, end = _alone(data)
+    edge[first] = edge[end] = True
     start = np.flatnonzero(ink & (edge[:n] | np.concatenate(([True], ~ink[:-1]))))
     end = np.flatnonzero(ink & (edge[1:] | np.concatenate((~ink[1:], [True])))) + 1
     return span_hash(prefix_hash(_LOWER[data]), start, end), np.searchsorted(start, off)
@@ -67,7 +101,7 @@ def seeds(h: np.ndarray, woff: np.ndarray, mask: str) -> tuple[np.ndarray, np.nd
 
 
 class Items:
-    """A block of benchmark items: their words, and sorted seeds for every mask (runs of half the words for short items)."""
+    """A block of benchmark items: their words, and sorted seeds for every mask."""
 
     def __init__(self, ids: list[int], texts: list[str | None]) -> None:
         data, off = column_bytes(pa.array(texts, pa.string()))
@@ -75,40 +109,54 @@ class Items:
         kept: dict[bytes, int] = {}
         for k in np.argsort(np.array(ids), kind="stable").tolist():
             kept.setdefault(h[woff[k] : woff[k + 1]].tobytes(), k)
-        use = [k for words, k in kept.items() if len(words) >= 8 * SHORTEST]
+        use = [k for words, k in kept.items() if words]
         self.ids = np.array([ids[k] for k in use], np.int64)
-        self.words = [h[woff[k] : woff[k + 1]] for k in use]
-        size = np.array([len(w) for w in self.words], np.int64)
-        flat = np.concatenate([np.zeros(0, np.uint64), *self.words])
-        cut = np.concatenate(([0], np.cumsum(size)))
-        span = min(len(m) for m in MASKS)
-        self.tables = []
-        short = sorted(set(size[size < span].tolist()))
-        for mask, words in (*((m, 0) for m in MASKS), *(("1" * (n // 2), n) for n in short)):
-            at, s = seeds(flat, cut, mask)
-            item = np.searchsorted(cut, at, "right") - 1
-            if words:
-                own = size[item] == words
-                at, s, item = at[own], s[own], item[own]
+        size = np.diff(woff)[use]
+        self.flat = np.concatenate([np.zeros(0, np.uint64), *(h[woff[k] : woff[k + 1]] for k in use)])
+        self.cut = np.concatenate(([0], np.cumsum(size)))
+        self.owner = np.repeat(np.arange(len(use), dtype=np.int32), size)
+
+    @cached_property
+    def tables(self) -> list[tuple[str, bool, np.ndarray, np.ndarray, np.ndarray]]:
+        """(mask, whole items, sorted seeds, their places, bitmap of seeds), made in the task, so that only words travel."""
+        size = np.diff(self.cut)
+        # Items under SHORTEST words are compared whole, by the mask of all their words.
+        weight = np.array([n if n < SHORTEST else min(SEED, needed(n)) for n in size.tolist()], np.int64)
+        kinds = sorted(set(zip(weight.tolist(), (size < SHORTEST).tolist(), strict=True)))
+        out = []
+        for n, whole, mask in ((n, whole, m) for n, whole in kinds for m in (["1" * n] if whole else endings(n))):
+            at, s = seeds(self.flat, self.cut, mask)
+            own = (weight[self.owner[at]] == n) & ((size[self.owner[at]] < SHORTEST) == whole)
+            at, s = at[own].astype(np.int32), s[own]
             order = np.argsort(s, kind="stable")
-            bitmap = np.zeros(1 << 22, bool)
-            bitmap[s & np.uint64((1 << 22) - 1)] = True
-            self.tables.append((mask, s[order], item[order], (at - cut[item])[order], bitmap))
+            bitmap = np.zeros(1 << min(22, max(10, (16 * len(s)).bit_length())), bool)
+            bitmap[s & np.uint64(len(bitmap) - 1)] = True
+            out.append((mask, whole, s[order], at[order], bitmap))
+        return out
 
     def overlaps(self, h: np.ndarray, woff: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, equal words, words of the item, first word) of the best counting overlap of each row and item."""
         found = []
-        for mask, keys, item, place, bitmap in self.tables:
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for mask, whole, keys, place, bitmap in self.tables:
             at, s = seeds(h, woff, mask)
-            maybe = np.flatnonzero(bitmap[s & np.uint64((1 << 22) - 1)])
+            maybe = np.flatnonzero(bitmap[s & np.uint64(len(bitmap) - 1)])
             lo, hi = np.searchsorted(keys, s[maybe]), np.searchsorted(keys, s[maybe], "right")
             n = hi - lo
             k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            found.append(np.stack([np.repeat(at[maybe], n) - place[k], item[k]], 1))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+            item = self.owner[place[k]].astype(np.int64)
+            pairs = np.stack([np.repeat(at[maybe], n) - (place[k] - self.cut[item]), item], 1)
+            if not whole:
+                found.append(pairs)
+                continue
+            # A hit is the overlap; the first of each row and item stays.
+            row = np.searchsorted(woff, pairs[:, 0], "right") - 1
+            _, one = np.unique(np.stack([row, pairs[:, 1]], 1), axis=0, return_index=True)
+            for r, start, i in zip(row[one].tolist(), pairs[one, 0].tolist(), pairs[one, 1].tolist(), strict=True):
+                best[r, i] = (len(mask), len(mask), start - int(woff[r]))
         every = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         for start, i in every.tolist():
-            words = self.words[i]
+            words = self.flat[self.cut[i] : self.cut[i + 1]]
             # A diagonal may begin before its row; a hit lies on it, which tells the row.
             for row in self._rows(start, len(words), woff):
                 a, b = max(start, int(woff[row])), min(start + len(words), int(woff[row + 1]))
@@ -117,7 +165,7 @@ class Items:
                 top = int(np.argmax(gain - np.minimum.accumulate(gain)))
                 begin = int(np.argmin(gain[: top + 1]))
                 equal = int(same[begin:top].sum())
-                if equal >= min(MATCHED, int(np.ceil(SHARE * len(words)))) and best.get((row, i), (0,))[0] < equal:
+                if equal >= needed(len(words)) and best.get((row, i), (0,))[0] < equal:
                     best[row, i] = (equal, len(words), a + begin - int(woff[row]))
         return [(row, i, *v) for (row, i), v in best.items()]
 

@@ -14,6 +14,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -187,6 +188,44 @@ def test_overlaps_of_a_benchmark_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in queries.op9_decontaminate(spark, SF).collect()} == whole and whole
 
 
+def brute_overlap(doc, item):
+    """Whether some diagonal's best segment (+1 / -2, first end, first begin) counts."""
+    need = len(item) if len(item) < 6 else min(13, math.ceil(0.75 * len(item)))
+    for shift in range(1 - len(item), len(doc)):
+        a, b = max(0, shift), min(len(doc), shift + len(item))
+        gain = [0, *itertools.accumulate(1 if doc[k] == item[k - shift] else -2 for k in range(a, b))]
+        least = list(itertools.accumulate(gain, min))
+        top = max(range(len(gain)), key=lambda k: (gain[k] - least[k], -k))
+        begin = gain.index(least[top])
+        if sum(doc[a + k] == item[a + k - shift] for k in range(begin, top)) >= need:
+            return True
+    return False
+
+
+def test_overlaps_miss_nothing():
+    """Each way to substitute words of a short item, and random ways for longer ones, against the rule itself."""
+    rng = random.Random(4)
+    for size in (*range(1, 16), 17, 18, 20, 25, 40):
+        item = [f"a{k}" for k in range(size)]
+        items = decontam.Items([size], [" ".join(item)])
+        ways = [gone for n in range(3) for gone in itertools.combinations(range(size), n)] if size < 16 else []
+        ways += [rng.sample(range(size), rng.randint(0, size // 2)) for _ in range(300)]
+        ways += [[*range(0, size, 3)], [*range(2, size, 3)], [k for k in range(2, size - 3, 3)], [*range(0, size - 13)], [*range(13, size)]]
+        docs = [["x", *("y" if k in gone else w for k, w in enumerate(item)), "z"] for gone in ways]
+        data, off = decontam.column_bytes(pa.array([" ".join(d) for d in docs]))
+        got = {f[0] for f in items.overlaps(*decontam.plain_words(data, off))}
+        assert got == {k for k, d in enumerate(docs) if brute_overlap(d, item)}, size
+
+
+def test_overlaps_of_short_items_and_of_scripts_without_spaces(spark):
+    bench = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "日本の首都はどこですか"), (3, "!?"), (4, "𠀀𠀁")], "item_id long, text string")
+    docs = [(1, "so who wrote, Hamlet"), (2, "who wrote of Hamlet"), (3, "問い：日本の首都はどこですか。東京です"), (4, "日本の首都"), (5, "x𠀀𠀁y"), (6, "𠀁𠀀"), (7, "who"), (7, "wrote Hamlet")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["matched"], r["start_word"]) for r in decontam.contaminated(frame, bench).collect()}
+    assert got == {(1, 1, 3, 1), (3, 2, 11, 3), (5, 4, 2, 1)}
+    assert [r["doc_id"] for r in decontam.decontaminate(frame, bench).collect()] == [2, 4, 6, 7, 7]
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").toPandas().set_index("page_id")
     for r in queries.op10_html_extract(spark, SF).collect():
