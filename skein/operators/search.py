@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 
+#: So many queries are broadcast at most, or meet the rows in one task; pairs that a task reads before it drops the far ones.
+BLOCK_QUERIES, HELD_PAIRS = 4096, 1 << 17
+
 
 def in_repos(column: Column, repos: Sequence[str] | None) -> Column:
     """Membership; no repositories mean no filter."""
@@ -28,11 +35,43 @@ def top_k(chunks: DataFrame, query: Sequence[float], k: int = 10, repos: Sequenc
     return found.withColumn("similarity", sim).orderBy(*order).limit(k).withColumn("score", F.round("similarity", 4)).drop("similarity", vector)
 
 
+def _first_k(k: int, key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first k pairs of each query in one task, in the order of top_k_batch; only these are held."""
+    order = [("query", "ascending"), ("kind", "ascending"), ("similarity", "descending"), ("absent", "descending"), (key, "ascending")]
+
+    def cut(parts: list[pa.Table]) -> pa.Table:
+        table = pa.concat_tables(parts).combine_chunks()
+        query = pc.fill_null(table["query_id"].combine_chunks().dictionary_encode().indices, -1)
+        # As Spark sorts: NaN before the numbers, null similarities last, null keys first.
+        kind = pc.fill_null(pc.if_else(pc.is_nan(table["similarity"]), 0, 1), 2)
+        at = pc.sort_indices(pa.table([query, kind, table["similarity"], pc.is_null(table[key]).cast(pa.int8()), table[key]], ["query", "kind", "similarity", "absent", key]), sort_keys=order)
+        run = query.take(at).to_numpy()
+        first = np.concatenate(([True], run[1:] != run[:-1]))[: len(run)]
+        place = np.arange(len(run)) - np.maximum.accumulate(np.where(first, np.arange(len(run)), 0))
+        return table.take(at.filter(pa.array(place < k)))
+
+    parts, rows = [], 0
+    for batch in batches:
+        parts.append(pa.Table.from_batches([batch]))
+        rows += batch.num_rows
+        if rows >= HELD_PAIRS:
+            parts, rows = [cut(parts)], 0
+    if parts:
+        yield from cut(parts).to_batches()
+
+
 def top_k_batch(chunks: DataFrame, queries: DataFrame, k: int = 4, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, key, score): the k nearest rows of a stated set of queries (query_id, query)."""
-    pairs = chunks.crossJoin(F.broadcast(queries)).select("query_id", key, vectors.cosine(F.col(vector), F.col("query")).alias("similarity"))
+    """(query_id, rank, key, score): the k nearest rows of a stated set of queries (query_id, query).
+
+    A few queries are broadcast; more are dealt into blocks of about ``BLOCK_QUERIES``, each met by each part of the rows in
+    a task of its own.  A task hands on the k nearest rows of each of its queries only.
+    """
+    n = queries.count()
+    side = F.broadcast(queries) if n <= BLOCK_QUERIES else queries.repartition(-(-n // BLOCK_QUERIES)).hint("shuffle_replicate_nl")
+    pairs = chunks.crossJoin(side).select("query_id", key, vectors.cosine(F.col(vector), F.col("query")).alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), key)
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", key, F.round("similarity", 4).alias("score"))
+    near = pairs.mapInArrow(partial(_first_k, k, key), pairs.schema)
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", key, F.round("similarity", 4).alias("score"))
 
 
 def relationships(chunks: DataFrame, limit: int = 20, repo: str | None = None, vector: str = "embedding") -> DataFrame:
