@@ -210,7 +210,10 @@ def identify(docs: DataFrame, learn: DataFrame, sample: int = SAMPLE) -> DataFra
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, lang and others) for which a language is found; nothing is shuffled."""
+    """The rows of ``docs`` (doc_id, text, lang and others) for which a language is found; nothing is shuffled.
+
+    Where no row is labelled there is no model that could reject a text, and every row with a letter stays.
+    """
     model = train(docs, sample)
     at = docs.columns.index("text")
 
@@ -218,7 +221,7 @@ def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         for batch, lo, hi, data, off in text_slices(batches):
             part = batch.slice(lo, hi - lo)
             letters = pc.fill_null(pc.match_substring_regex(part.column(at).cast(pa.large_string()), r"\p{L}"), False).to_pylist()
-            keep = [lang != "und" for lang, _ in predict(model, data, off, letters)]
+            keep = [lang != "und" for lang, _ in predict(model, data, off, letters)] if model else letters
             yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -45,6 +45,12 @@ def test_language(spark, odd, none):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {4, 5, 6, 7, 9, 10, 11, None}
 
 
+def test_unlabelled_documents_with_a_letter_stay(spark, odd):
+    plain = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in language_id.keep_identified(plain).collect()} == {4, 5, 6, 7, 9, 10, 11, None}
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, odd.filter("lang is null"), SF).collect()} == {7}
+
+
 def test_toxicity(spark, odd, none):
     got = queries.op7_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic"), "doc_id").toPandas()
     held = got[got.held_out]
