@@ -4,7 +4,7 @@ A page is a sequence of tags and words.  A tag scores negative and a word positi
 are learned from labelled pages: pages that mark their content with an ``article`` or ``main`` element tell how often
 words and tags of each element are content.  A linear scan finds the contiguous run of the highest score; inside it,
 elements that hold no prose (menus, forms, scripts, notices, comments of readers and so on, by element or by name) are
-left out.  References are decoded, white space inside a block becomes one space, and blocks are joined by line feeds.
+left out; doubtful names and forms only where they hold neither most of the page nor paragraphs of an article.  References are decoded, white space inside a block becomes one space, and blocks are joined by line feeds.
 
 The weights are fitted on at most ``SAMPLE`` labelled pages, chosen by a hash of page_id; the table has an entry for each
 element of ``_ELEMENTS`` and one for all others.
@@ -39,23 +39,78 @@ _BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul o
 #: Elements without an end tag, elements whose content is not text, and elements that hold no prose.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _RAW = frozenset("script style noscript template svg iframe object textarea".split())
-_BARE = frozenset("head title nav footer aside form button select menu dialog audio video canvas".split())
-#: Parts of class, id and role names of boilerplate.
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|pager|pagination|sidebar|side|footer|header|masthead|cookie\w*|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|respond|discussion|disqus|widget|toolbar|search|copyright|legal|skip)(?:$|[\s_-])",
-    re.I,
+_BARE = frozenset("head title nav footer aside button select menu dialog audio video canvas".split())
+#: Class, id and role names of boilerplate: sure as a whole name, to be weighed as a part of one.
+_SURE = r"ad|ads|adv|advert\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|pager|pagination|footer|masthead|cookie\w*|consent|popup|modal|newsletter|subscribe|signup|login|sharing|comments?|commentlist|replies|respond|disqus|toolbar|copyright"
+#: Names that articles use as well; they are weighed as a whole name or with a part that makes them plain.
+_OPEN = r"banner|sidebar|side|header|notice|alert|share|social|related|recommend\w*|discussion|widget|search|legal|skip"
+_SURE_NAMES = re.compile(rf"(?:^|\s)(?:{_SURE})(?:$|\s)", re.I)
+_OPEN_NAMES = re.compile(
+    rf"(?:^|[\s_-])(?:{_SURE})(?:$|[\s_-])|(?:^|\s)(?:(?:site|page|left|right|main|primary|secondary)[_-])?(?:{_OPEN})(?:[_-](?:buttons?|bar|box|area|links?|icons?|form|widget|list|posts|articles|nav))?(?:$|\s)", re.I
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of a paragraph that make it prose.
+PROSE = 10
 #: What an opening tag closes when it is still open.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|<", re.S | re.I)
-_ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PHRASING_END = _BLOCKS - {"html", "body"}
 
 
+def _names(attrs: str) -> list[str]:
+    return [a or b or c for name, a, b, c in _ATTR.findall(attrs) if name.lower() in ("class", "id", "role")]
+
+
+class _Weighed:
+    """Elements whose name or kind may be boilerplate, in the order of their start, and the prose that they hold."""
+
+    def __init__(self) -> None:
+        self.parent, self.inside, self.words, self.longest = [], [], [], []
+        self.total, self.paragraphs = 0, []
+
+    def add(self, parent: int, inside: bool) -> int:
+        self.parent.append(parent)
+        self.inside.append(inside)
+        self.words.append(0)
+        self.longest.append(0)
+        return len(self.parent) - 1
+
+    def read(self, n: int, at: int, paragraph: int) -> None:
+        self.total += n
+        if at >= 0:
+            self.words[at] += n
+            if paragraph >= 0:
+                self.paragraphs[paragraph] += n
+                self.longest[at] = max(self.longest[at], self.paragraphs[paragraph])
+
+    def bare(self) -> list[bool]:
+        """Whether each element is left out, by itself or with one around it; the last entry is for no element."""
+        for k in range(len(self.parent) - 1, -1, -1):
+            if (up := self.parent[k]) >= 0:
+                self.words[up] += self.words[k]
+                self.longest[up] = max(self.longest[up], self.longest[k])
+        out: list[bool] = []
+        for up, inside, words, longest in zip(self.parent, self.inside, self.words, self.longest, strict=True):
+            prose = (words >= PROSE and 2 * words > self.total) or (inside and longest >= PROSE)
+            out.append((up >= 0 and out[up]) or not prose)
+        return [*out, False]
+
+
 def scan(page: str) -> list[tuple[str, str, str | None, bool, bool]]:
-    """Tokens (kind, value, element, bare, labelled): kind is ``tag`` or ``text``; bare is inside an element without prose."""
+    """Tokens (kind, value, element, bare, labelled): kind is ``tag`` or ``text``; bare is inside an element without prose.
+
+    Elements with a name that articles use as well, and forms, are weighed once their end is known: one that holds most of the
+    page's words, or a paragraph of prose inside ``article`` or ``main``, is not bare.
+    """
     out: list[tuple[str, str, str | None, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, bare, content element
+    stack: list[tuple[str, bool, bool, int, int]] = []  # name, bare, content element, weighed element, paragraph
+    none = ("", False, False, -1, -1)
+    weighed, at = _Weighed(), []
+
+    def put(kind: str, value: str, element: str | None, bare: bool, inside: bool, weigh: int) -> None:
+        out.append((kind, value, element, bare, inside))
+        at.append(weigh)
 
     def pop(names: set[str] | frozenset[str], stop: frozenset[str] = frozenset()) -> None:
         for k in range(len(stack) - 1, -1, -1):
@@ -67,34 +122,41 @@ def scan(page: str) -> list[tuple[str, str, str | None, bool, bool]]:
 
     for m in _TOKEN.finditer(page):
         text, name = m.group(5), m.group(3)
+        top = stack[-1] if stack else none
         if text is not None:
-            top = stack[-1] if stack else ("", False, False)
-            out.append(("text", text, top[0], top[1], top[2]))
+            put("text", text, *top[:4])
+            if not top[1]:
+                weighed.read(len(text.split()), top[3], top[4])
         elif name is not None:
             name = name.lower()
             if m.group(2):
                 if any(s[0] == name for s in stack):
-                    bare, inside = stack[-1][1], stack[-1][2]
                     pop({name})
-                    out.append(("tag", name, None, bare, inside and (not stack or stack[-1][2] or name in ("article", "main"))))
+                    put("tag", name, None, top[1], top[2] and (not stack or stack[-1][2] or name in ("article", "main")), top[3])
                 else:
-                    out.append(("tag", name, None, bool(stack and stack[-1][1]), bool(stack and stack[-1][2])))
+                    put("tag", name, None, *top[1:4])
                 continue
             if name in _PHRASING_END and any(s[0] == "p" for s in stack):
                 pop({"p"}, frozenset({"table", "div", "article", "section", "li", "td"}))
             pop(_CLOSES.get(name, frozenset()), frozenset({"ul", "ol", "dl", "table", "select"}))
-            parent = stack[-1] if stack else ("", False, False)
-            bare = parent[1] or name in _BARE or (name == "header" and not parent[2])
-            if not bare and m.group(4) and name not in ("html", "body", "main", "article"):
-                bare = any(_NAMES.search(a or b or c) for a, b, c in _ATTR.findall(m.group(4)))
+            parent = stack[-1] if stack else none
+            bare, weigh, paragraph = parent[1] or name in _BARE or (name == "header" and not parent[2]), parent[3], parent[4]
+            if not bare and name not in ("html", "body", "main", "article"):
+                names = _names(m.group(4)) if m.group(4) and name not in _HEADINGS else []
+                bare = any(_SURE_NAMES.search(x) for x in names)
+                if not bare and (name == "form" or any(_OPEN_NAMES.search(x) for x in names)):
+                    weigh = weighed.add(weigh, parent[2])
+            if name == "p":
+                weighed.paragraphs.append(0)
+                paragraph = len(weighed.paragraphs) - 1
             inside = parent[2] or name in ("article", "main")
-            out.append(("tag", name, None, bare, inside))
+            put("tag", name, None, bare, inside, weigh)
             if name not in _VOID and not m.group(4).endswith("/"):
-                stack.append((name, bare, inside))
+                stack.append((name, bare, inside, weigh, paragraph))
         elif m.group(0) == "<":
-            top = stack[-1] if stack else ("", False, False)
-            out.append(("text", "<", top[0], top[1], top[2]))
-    return out
+            put("text", "<", *top[:4])
+    gone = weighed.bare()
+    return [(kind, value, element, bare or gone[k], inside) for (kind, value, element, bare, inside), k in zip(out, at, strict=True)]
 
 
 def _key(name: str | None) -> str:

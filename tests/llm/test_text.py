@@ -259,6 +259,19 @@ def test_page_parts(spark):
     assert html_extract.main_text(frame.limit(0)).count() == 0
 
 
+def test_names_that_articles_use(spark):
+    long = "which is a paragraph of prose with quite a few more words in it"
+    article = f"""<nav>go home</nav><article><h1>A title of quite a few words</h1><p>First, {long}.</p><h2 id="related-work">Related work</h2><p>Second, {long}.</p>
+<h2 class="search">Search</h2><section id="discussion"><p>Third, {long}.</p></section><div class="legal"><p>Fourth, {long}.</p></div><p data-id="ad" title="id=ad">Fifth, {long}.</p><div class="notice">Log in</div><section id="comments"><p>Reader, {long}.</p></section></article>"""
+    wrapped = f"<h1>A title of quite a few words</h1><p>First, {long}.</p><div class='ad'>Buy now</div><div class='search'>Find it</div><p>Second, {long}.</p>"
+    pages = {1: article, 2: f"<body><form id=all>{wrapped}</form></body>", 3: f"<div class='content with-sidebar has-comments'>{wrapped}</div>", 4: f"<div role=search>Find</div><p>First, {long}.</p>"}
+    frame = spark.createDataFrame([(k, "u", v) for k, v in pages.items()], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in html_extract.main_text(frame).collect()}
+    prose = lambda *names: [f"{n}, {long}." for n in names]
+    assert got[1] == ["A title of quite a few words", *prose("First"), "Related work", *prose("Second"), "Search", *prose("Third", "Fourth", "Fifth")]
+    assert got[2] == got[3] == ["A title of quite a few words", *prose("First", "Second")] and got[4] == prose("First")
+
+
 def test_pipeline(spark, odd):
     """Each stage against a plain version on what the stage before it kept."""
     from .test_dedup import brute_components, brute_repeats
