@@ -6,7 +6,7 @@ fingerprint are compared byte by byte; should two different canonical texts meet
 
 NFC by expressions: texts without characters that normalisation can touch are left alone.  The others are cut into
 clusters (a character and its marks); the base is decomposed and the marks are ordered by combining class and composed,
-by tables that are derived from the Unicode database at plan time.  Conjoining Hangul jamo stay as they are.
+by tables that are derived from the Unicode database at plan time.  Conjoining Hangul jamo are composed by arithmetic.
 
 Defined results: null text is empty; rows follow each other by descending doc_id (null last), rows with one doc_id by
 their text; a single row is its own next row; an empty table gives an empty result; further columns are ignored.
@@ -25,6 +25,9 @@ from .staging import stage
 
 #: The first character that canonical composition can touch (the first combining mark).
 FIRST_TOUCHED = 0x300
+#: Leading, vowel and trailing jamo, and syllables, as insides of regex classes; the first of each, and trailing jamo with none.
+_L, _V, _T, _S = (rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ((0x1100, 0x1112), (0x1161, 0x1175), (0x11A8, 0x11C2), (0xAC00, 0xD7A3)))
+_FIRST_L, _FIRST_V, _NO_T, _FIRST_S, _TRAILING = 0x1100, 0x1161, 0x11A7, 0xAC00, 28
 ROWS_PER_RANGE, COARSE = 4000, 256
 #: So many repeated fingerprints (24 bytes each) are broadcast at most; beyond it they are joined by a shuffle.
 BROADCAST_DIGESTS = 200_000
@@ -58,7 +61,7 @@ def _unicode() -> tuple[str, str, dict[str, str], dict[str, str], dict[str, int]
             elif len(parts := unicodedata.decomposition(ch).split()) == 2:
                 pairs[chr(int(parts[0], 16)) + chr(int(parts[1], 16))] = ch
                 joins.add(int(parts[1], 16))
-    return f"[{_spans(changed | joins)}]", f"[{_spans(joins)}]", full, pairs, classes
+    return f"[{_spans(changed | joins)}{_V}{_T}]", f"[{_spans(joins)}]", full, pairs, classes
 
 
 def _lookup(table: dict, kind: str) -> Column:
@@ -66,6 +69,25 @@ def _lookup(table: dict, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(table)), f"map<string,{kind}>")
 
 
+def _syllables(text: Column) -> Column:
+    """Leading and vowel jamo, with a trailing one or not, and open syllables with a trailing one, as one syllable each."""
+    code = lambda s, k: F.ascii(F.substring(s, k, 1))
+    char = lambda c: F.decode(F.unhex(F.hex(c)), "UTF-16BE")
+
+    def compose(p: Column) -> Column:
+        first, second, third = code(p, 1), code(p, 2), code(p, 3)
+        trailing = F.when(third > 0, third - _NO_T).otherwise(0)
+        syllable = _FIRST_S + ((first - _FIRST_L) * 21 + second - _FIRST_V) * _TRAILING + trailing
+        return (
+            F.when(p.rlike(rf"\A[{_L}][{_V}]"), char(syllable))
+            .when(p.rlike(rf"\A[{_S}][{_T}]") & ((first - _FIRST_S) % _TRAILING == 0), char(first + second - _NO_T))
+            .otherwise(p)
+        )
+
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s)([{_L}][{_V}][{_T}]?|[{_S}][{_T}]|[^{_L}{_S}]+|.)"), F.lit(1))
+    return F.array_join(F.transform(parts, compose), "")
+
+
 def nfc(text: Column) -> Column:
     """Canonical composition of a text."""
     touched, joins, full, pairs, classes = _unicode()
@@ -93,7 +115,9 @@ def nfc(text: Column) -> Column:
         done = F.aggregate(F.array_sort(marks), state(none, none, none, zero), step)
         return F.concat(done["out"], done["head"], done["tail"])
 
-    clusters = F.regexp_extract_all(text, F.lit(f"(?s)(.{joins}*)"), F.lit(1))
+    # Jamo are neither marks nor joined by one, so that they can be composed first.
+    joined_jamo = F.when(text.rlike(f"[{_V}{_T}]"), _syllables(text)).otherwise(text)
+    clusters = F.regexp_extract_all(joined_jamo, F.lit(f"(?s)(.{joins}*)"), F.lit(1))
     # One range is told far faster than the class of all characters concerned, of which none comes before it.
     return F.when(text.rlike(rf"[\x{{{FIRST_TOUCHED:X}}}-\x{{10FFFF}}]") & text.rlike(touched), F.array_join(F.transform(clusters, compose), "")).otherwise(text)
 

@@ -162,6 +162,16 @@ def test_nfc(spark):
     assert all(unicodedata.normalize("NFC", r["t"]) == r["n"] for r in got)
 
 
+def test_hangul(spark):
+    rng = np.random.default_rng(5)
+    pool = [chr(c) for c in (0x10FF, 0x1100, 0x1112, 0x1113, 0x1160, 0x1161, 0x1175, 0x1176, 0x11A7, 0x11A8, 0x11C2, 0x11C3, 0xABFF, 0xAC00, 0xAC01, 0xAC1C, 0xD788, 0xD7A3, 0xD7B0, 0x301, 0x323, 0x65, 0x0A, 0x1F600)]
+    texts = ["".join(rng.choice(pool, rng.integers(0, 9))) for _ in range(1500)] + [unicodedata.normalize("NFD", "".join(map(chr, range(0xAC00, 0xD7A4))))]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fingerprint.nfc(F.col("t")).alias("n")).collect()
+    assert all(unicodedata.normalize("NFC", r["t"]) == r["n"] for r in got)
+    both = spark.createDataFrame([(k, unicodedata.normalize(f, "한국어 텍스트, 값")) for k, f in enumerate(("NFC", "NFD"))], "doc_id long, text string")
+    assert len({r["d"] for r in both.select(fingerprint._digest(fingerprint.canonical(F.col("text"))).alias("d")).collect()}) == 1
+
+
 def test_word_kernel():
     import pyarrow as pa
 
