@@ -2,8 +2,9 @@
 
 A sentence's chance is a logistic function of its words and word beginnings; a document is toxic unless none of its
 sentences is (noisy-or).  The weights are fitted to document labels through the noisy-or, on at most ``SAMPLE`` labelled
-documents of each label, chosen by a hash of doc_id; features of fewer than ``MIN_DOCS`` of them have weight 0.  The
-fitted sentence scores then locate the offending sentences.
+documents of each label, chosen by a hash of doc_id, of which each stands for its share of all labelled rows, so that the
+scores keep the corpus's base rate.  Features of fewer than ``MIN_DOCS`` documents, or without a clear lean to one label,
+have weight 0.  The fitted sentence scores then locate the offending sentences.
 
 Defined results: null or empty text is one empty sentence and has the base chance; conflicting labels of a document
 count each; with no labels every score is 0; an empty table gives an empty result; further columns are ignored.
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from .bytetext import mix, prefix_hash, span_hash, text_slices
 from .sampling import sample_ids
 
-SAMPLE, MIN_DOCS, STEPS, THRESHOLD, PENALTY, LEAST_WEIGHT = 1200, 5, 600, 0.3, 1e-4, 0.5
+SAMPLE, MIN_DOCS, STEPS, THRESHOLD, PENALTY = 1200, 5, 300, 0.3, 2e-4
+#: Standard deviations that make a feature worth a weight, and the intercept that the fit starts from.
+SURPRISE, START = 5.0, -8.0
 PREFIXES = (4, 5, 6, 7, 8)
 _OUT = "doc_id long, held_out boolean, score double, predicted int, n_sentences int, offending array<struct<start:int,length:int,score:double>>"
 _WORD = np.zeros(256, bool)
@@ -95,36 +98,43 @@ class Model:
         return self.intercept + np.bincount(pair // len(self.keys), self.weights[pair % len(self.keys)], n)
 
 
-def fit(h: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, y: np.ndarray, steps: int = STEPS) -> Model:
-    """Maximum likelihood of document labels through the noisy-or, with Adam steps and a smoothed L1 penalty; weak weights are left out."""
+def fit(h: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = STEPS) -> Model:
+    """Maximum likelihood of document labels through the noisy-or, with Adam steps and a smoothed L1 penalty.
+
+    Only features whose share of toxic documents is ``SURPRISE`` standard deviations off the base rate are fitted, from
+    half their log odds on: where several of them occur together, each would else leave the explanation to the others.
+    """
     keys, at = np.unique(h, return_inverse=True)
     pair = np.unique(at.astype(np.int64) * len(y) + doc_of[sentence])
-    often = np.bincount(pair // len(y), minlength=len(keys)) >= MIN_DOCS
-    number = np.cumsum(often) - 1
-    use = often[at]
-    keys, n, docs = keys[often], len(doc_of), len(y)
+    key, doc = pair // len(y), pair % len(y)
+    docs, total, toxic = np.bincount(key, minlength=len(keys)), np.bincount(key, weight[doc], len(keys)), np.bincount(key, (weight * y)[doc], len(keys))
+    base = float(np.clip((weight * y).sum() / weight.sum(), 1e-6, 1 - 1e-6))
+    telling = (docs >= MIN_DOCS) & (np.abs(toxic - total * base) >= SURPRISE * np.sqrt(total * base * (1 - base)))
+    odds = np.log((toxic + base / 2) / (np.maximum(total - toxic, 0) + (1 - base) / 2)) - np.log(base / (1 - base))
+    number = np.cumsum(telling) - 1
+    use = telling[at]
+    keys, n, docs = keys[telling], len(doc_of), len(y)
     pair = np.unique(sentence[use] * max(1, len(keys)) + number[at[use]])  # a feature counts once in a sentence
     sentence, at = pair // max(1, len(keys)), pair % max(1, len(keys))
-    theta = np.zeros(len(keys) + 1)
-    theta[-1] = -9.0
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    theta = np.append(odds[telling] / 2, START)
+    m, v, share = np.zeros_like(theta), np.zeros_like(theta), weight / weight.sum()
     for t in range(1, steps + 1):
         z = theta[-1] + np.bincount(sentence, theta[at], n)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         none = -np.bincount(doc_of, np.logaddexp(0, z), docs)  # log chance that no sentence is toxic
         ratio = np.exp(none) / np.maximum(-np.expm1(none), 1e-9)
-        dz = np.where(y > 0, -ratio, 1.0)[doc_of] * p
-        g = np.append(np.bincount(at, dz[sentence], len(keys)), dz.sum()) / docs
+        dz = (np.where(y > 0, -ratio, 1.0) * share)[doc_of] * p
+        g = np.append(np.bincount(at, dz[sentence], len(keys)), dz.sum())
         g[:-1] += PENALTY * np.tanh(10 * theta[:-1])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    some = np.abs(theta[:-1]) > LEAST_WEIGHT
-    return Model(keys[some], theta[:-1][some], float(theta[-1]))
+        rate = 0.1 if t <= 0.8 * steps else 0.01
+        theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return Model(keys, theta[:-1], float(theta[-1]))
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on a bounded sample of ``labelled`` (doc_id, text, toxic)."""
-    rows = labelled.filter("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), F.col("text").cast("string").alias("text"))
+    """Fit on a bounded sample of ``labelled`` (doc_id, text, toxic); a label weighs as much as in all its rows."""
+    rows = labelled.filter("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"), F.col("text").cast("string").alias("text"))
     ids = sample_ids(rows, "toxic", sample)
     got = rows.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, toxic int, h binary, s binary, n int").toPandas()
     if not len(got):
@@ -133,7 +143,11 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     base = np.concatenate(([0], np.cumsum(got.n)))
     h = np.concatenate([np.frombuffer(b, np.uint64) for b in got.h])
     s = np.concatenate([np.frombuffer(b, np.int32).astype(np.int64) + k for b, k in zip(got.s, base, strict=False)])
-    return fit(h, s, np.repeat(np.arange(len(got)), got.n), got.toxic.to_numpy())
+    doc_of, y = np.repeat(np.arange(len(got)), got.n), got.toxic.to_numpy()
+    del got
+    every = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weight = np.array([every[k] / max(1, int((y == k).sum())) for k in (0, 1) if k in every])[y if len(every) > 1 else 0 * y]
+    return fit(h, s, doc_of, y, weight)
 
 
 def score(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
