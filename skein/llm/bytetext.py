@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _MULT = 0x9E3779B97F4A7C15
 _INV = pow(_MULT, -1, 1 << 64)
 
@@ -40,7 +40,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The multiplier's powers and inverse powers, as long as ``n`` at least."""
     if len(_powers[0]) < n:
         for k, m in enumerate((_MULT, _INV)):
-            a = np.full(max(n, SLICE_BYTES + (1 << 17)), m, np.uint64)
+            a = np.full(max(n, SLICE_BYTES + (1 << 16)), m, np.uint64)
             a[0] = 1
             _powers[k] = np.cumprod(a, dtype=np.uint64)
     return _powers[0], _powers[1]

@@ -1,8 +1,8 @@
 """Language identification in two steps: the family first, then one-versus-one linear support vector machines in it.
 
 Features are relative frequencies of hashed runs of one to three lower-cased characters over the whole text.  All
-machines are linear in them, so a text's margins are means of per-position weights and need no vectors.  The machines
-are fitted on at most ``SAMPLE`` labelled documents with a letter of each language, chosen by a hash of doc_id.
+machines are linear in them, so a text's margins are means of per-position weights and need no vectors.  The families'
+machines come first, then only those of the chosen family, so a text costs what its family costs.  The machines are fitted on at most ``SAMPLE`` labelled documents with a letter of each language, chosen by a hash of doc_id.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0; with no labelled document everything is
 ``und``; with one language every text with a letter is of it, with score 1; rows that share a doc_id are scored each; an
@@ -25,6 +25,8 @@ from .bytetext import text_slices
 from .sampling import sample_ids
 
 SAMPLE = 400
+#: Two coins have 0.25; a text with less than this is of no language that was learned.
+REJECT = 0.3
 BITS = (10, 12, 13)
 #: Families of languages by code; another language is a family of its own.
 FAMILIES = {
@@ -114,36 +116,42 @@ def fit_svm(data: Rows, rows: np.ndarray, y: np.ndarray, width: int, cost: float
 
 
 @dataclass
-class Model:
-    """Machines as columns of per-feature weights; sides[k] are the classes of machine k's positive and negative side."""
+class Level:
+    """The machines of one pool of classes: per-feature weights (a last row of zeros for no feature), and their sides."""
 
+    classes: list[str]
     weights: np.ndarray
     intercepts: np.ndarray
     slopes: np.ndarray
-    sides: list[tuple[str, str, str]]
-    families: dict[str, list[str]]
-
-    def decide(self, margins: np.ndarray) -> tuple[str, float]:
-        """The language of one text's margins, and the product of the winners' chances."""
-        chance = 1 / (1 + np.exp(-np.clip(self.slopes * margins, -30, 30)))
-        score, pool = 1.0, list(self.families)
-        level = "family"
-        while True:
-            if len(pool) > 1:
-                votes = dict.fromkeys(pool, (0, 0.0))
-                least = dict.fromkeys(pool, 1.0)
-                for k, (kind, a, b) in enumerate(self.sides):
-                    if kind == level:
-                        for c, p in ((a, chance[k]), (b, 1 - chance[k])):
-                            votes[c] = (votes[c][0] + (p > 0.5), votes[c][1] + p)
-                            least[c] = min(least[c], float(p))
-                best = max(pool, key=lambda c: (votes[c], c))
-                score *= least[best]
-            else:
-                best = pool[0]
-            if level != "family":
-                return best, score
-            level, pool = best, self.families[best]
+    sides: list[tuple[int, int]]
+
+    def decide(self, found: list[np.ndarray], lead: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of ``rows`` (with a character at least) the class of most won machines, and its least chance."""
+        n, kinds = len(rows), len(self.classes)
+        if kinds == 1 or not n:
+            return np.zeros(n, np.int64), np.ones(n)
+        size = np.diff(lead)[rows]
+        first = np.cumsum(size) - size
+        at = np.repeat(lead[rows] - first, size) + np.arange(int(size.sum()))
+        total = sum(np.add.reduceat(self.weights[f[at]], first, axis=0, dtype=np.float64) for f in found)
+        margin = total / size[:, None] + self.intercepts
+        chance = 1 / (1 + np.exp(-np.clip(self.slopes * margin, -30, 30)))
+        won, sure, least = np.zeros((n, kinds)), np.zeros((n, kinds)), np.ones((n, kinds))
+        for k, (a, b) in enumerate(self.sides):
+            for c, p in ((a, chance[:, k]), (b, 1 - chance[:, k])):
+                won[:, c] += p > 0.5
+                sure[:, c] += p
+                least[:, c] = np.minimum(least[:, c], p)
+        best = kinds - 1 - np.argmax((won + sure / (2 * kinds))[:, ::-1], axis=1)
+        return best, least[np.arange(n), best]
+
+
+@dataclass
+class Model:
+    """The families' machines, and each family's own."""
+
+    families: Level
+    languages: list[Level]
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -163,35 +171,33 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     for name in sorted(set(lang)):
         families.setdefault(family_of(name), []).append(name)
     family = np.array([family_of(v) for v in lang])
-    tasks = [("family", a, b, family) for a, b in combinations(families, 2)]
-    tasks += [(f, a, b, lang) for f, langs in families.items() for a, b in combinations(langs, 2)]
-    weights, intercepts, slopes, sides = [], [], [], []
-    for level, a, b, label in tasks:
-        own = np.flatnonzero((label == a) | (label == b))
-        y = np.where(label[own] == a, 1.0, -1.0)
-        w = fit_svm(data, own, y, width)
-        margin = y * data.margins(w, own)
-        weights.append(w[:-1] * scale)
-        intercepts.append(w[-1])
-        slopes.append(3 / max(float(np.median(margin)), 1e-6))  # a typical training margin is 95 % sure
-        sides.append((level, a, b))
-    table = np.array(weights, np.float32).T if weights else np.zeros((width, 0), np.float32)
-    return Model(np.ascontiguousarray(table), np.array(intercepts), np.array(slopes), sides, families)
-
-
-def predict(model: Model | None, data: np.ndarray, off: np.ndarray, letters: list[bool]) -> list[tuple[str, float]]:
-    """Language and score of every row of a slice; a row without a letter is ``und``."""
-    machines = len(model.sides) if model else 0
-    margins = np.zeros((len(off) - 1, machines))
-    if machines:
+
+    def level(label: np.ndarray, classes: list[str]) -> Level:
+        pairs = list(combinations(range(len(classes)), 2))
+        weights, intercepts, slopes = np.zeros((width + 1, len(pairs)), np.float32), np.zeros(len(pairs)), np.zeros(len(pairs))
+        for k, (a, b) in enumerate(pairs):
+            own = np.flatnonzero((label == classes[a]) | (label == classes[b]))
+            y = np.where(label[own] == classes[a], 1.0, -1.0)
+            w = fit_svm(data, own, y, width)
+            weights[:-1, k], intercepts[k] = w[:-1] * scale, w[-1]
+            slopes[k] = 3 / max(float(np.median(y * data.margins(w, own))), 1e-6)  # a typical training margin is 95 % sure
+        return Level(classes, weights, intercepts, slopes, pairs)
+
+    return Model(level(family, list(families)), [level(lang, langs) for langs in families.values()])
+
+
+def predict(model: Model | None, data: np.ndarray, off: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of every row of a slice; a row without a letter is ``und``.  Only the chosen family's machines run."""
+    lang, score = np.full(len(off) - 1, "und", object), np.zeros(len(off) - 1)
+    rows = np.flatnonzero(letters)
+    if model and len(rows):
         found, lead = positions(data, off)
-        for f in found:
-            part = model.weights[f]
-            part[f < 0] = 0
-            total = np.concatenate((np.zeros((1, machines)), np.cumsum(part, axis=0, dtype=np.float64)))
-            margins += total[lead[1:]] - total[lead[:-1]]
-        margins = margins / np.maximum(np.diff(lead), 1)[:, None] + model.intercepts
-    return [model.decide(m) if model and has else ("und", 0.0) for m, has in zip(margins, letters, strict=True)]
+        family, chance = model.families.decide(found, lead, rows)
+        for k, level in enumerate(model.languages):
+            own = rows[family == k]
+            best, least = level.decide(found, lead, own)
+            lang[own], score[own] = np.array(level.classes, object)[best], chance[family == k] * least
+    return lang, score
 
 
 def identify(docs: DataFrame, learn: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -203,8 +209,8 @@ def identify(docs: DataFrame, learn: DataFrame, sample: int = SAMPLE) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, lo, hi, data, off in text_slices(batches):
             n = hi - lo
-            picks = predict(model, data, off, batch.column(3).slice(lo, n).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array([p[0] for p in picks], pa.string()), pa.array([float(p[1]) for p in picks], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            lang, score = predict(model, data, off, batch.column(3).slice(lo, n).to_numpy(zero_copy_only=False).astype(bool))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.mapInArrow(run, _OUT)
 
@@ -212,7 +218,8 @@ def identify(docs: DataFrame, learn: DataFrame, sample: int = SAMPLE) -> DataFra
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang and others) for which a language is found; nothing is shuffled.
 
-    Where no row is labelled there is no model that could reject a text, and every row with a letter stays.
+    A text goes if it has no letter, or if its score is under ``REJECT``: the machines of both steps together are hardly
+    surer than two coins.  Where no row is labelled there is no model that could reject, and every row with a letter stays.
     """
     model = train(docs, sample)
     at = docs.columns.index("text")
@@ -220,8 +227,8 @@ def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, lo, hi, data, off in text_slices(batches):
             part = batch.slice(lo, hi - lo)
-            letters = pc.fill_null(pc.match_substring_regex(part.column(at).cast(pa.large_string()), r"\p{L}"), False).to_pylist()
-            keep = [lang != "und" for lang, _ in predict(model, data, off, letters)] if model else letters
-            yield part.filter(pa.array(keep, pa.bool_()))
+            letters = pc.fill_null(pc.match_substring_regex(part.column(at).cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False).astype(bool)
+            lang, score = predict(model, data, off, letters)
+            yield part.filter(pa.array((lang != "und") & (score >= REJECT) if model else letters))
 
     return docs.mapInArrow(run, docs.schema)

@@ -196,4 +196,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     lost = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
     lost = stage(lost, "lost")
     side = F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost
-    return docs.join(side.withColumnRenamed("doc_id", "_lost_id"), F.col("doc_id") == F.col("_lost_id"), "left_anti")
+    return docs.join(side, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])

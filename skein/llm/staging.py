@@ -1,7 +1,7 @@
 """Shared-folder tables that cut lineage.
 
-Every intermediate goes to the folder the session names in ``spark.checkpoint.dir``; only where that is unset (tests on
-one machine) is a temporary folder made.  Tables are written through Spark, so any executor can read them again, and
+Every intermediate goes to the folder the session names in ``spark.checkpoint.dir``; only where that is unset and the
+master is local (tests on one machine) is a temporary folder made, as executors elsewhere could not read it.  Tables are written through Spark, so any executor can read them again, and
 are removed through the Hadoop file system when the application ends.
 """
 
@@ -17,9 +17,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; sets one of its own only where there is none."""
+    """The checkpoint folder of the session; sets one of its own only on a local master without one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

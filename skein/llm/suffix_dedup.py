@@ -11,7 +11,8 @@ equal anchors.  As in prefix-free parsing, a phrase that occurs many times enter
 4. blocks mark the windows that a smaller document has.
 
 A hot passage is one phrase for each block, never one row for each document, and no step holds more than a block or a
-bucket.  Messages carry 48 bits of the anchor and 48 bits of the content hash.
+bucket.  Messages carry 32 bits of the anchor besides those of its bucket (anchors that meet only send more bytes to step 3)
+and 48 bits of the content hash; documents are numbers as narrow as a message allows.  Only filled buckets get messages.
 
 Defined results: null text is empty and keeps nothing to remove; texts under 50 bytes are kept; rows with equal doc_id
 do not remove from each other; a null doc_id is larger than any other; further columns stay untouched.
@@ -34,11 +35,11 @@ from .bytetext import column_bytes, mix, powers, prefix_hash, slices, span_hash
 from .rlindex import RunLengthIndex
 
 WINDOW, ANCHOR = 50, 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 _LAST = np.iinfo(np.int64).max
 _PHRASES = "_bucket int, _block int, base long, mins binary, keys binary, lo binary, multi binary"
-_DICT = "_bucket int, _block int, idx binary, lo binary, sizes binary, data binary"
-_REPLY = "_block int, bucket int, kind int, idx binary, vals binary, cut binary, edge binary"
+_DICT = "_bucket int, _block int, base long, idx binary, lo binary, sizes binary, data binary"
+_REPLY = "_block int, bucket int, kind int, base long, idx binary, vals binary, cut binary, edge binary"
 
 
 def phrases(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,34 +69,39 @@ def phrases(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class _Block:
-    """All phrases of a block, and its distinct ones by bucket."""
+    """All phrases of a block, and its distinct ones by bucket, in each by their least document."""
 
     def __init__(self, table: pa.Table, buckets: int) -> None:
         self.data, self.off = column_bytes(table.column("text"))
         self.ids = pc.fill_null(table.column("doc_id"), _LAST).to_numpy()
-        parts = [(lo, self.off[lo], *phrases(d, o), o) for lo, _, d, o in slices(self.data, self.off)]
+        parts = []
+        for lo, _, d, o in slices(self.data, self.off):
+            first, last, anchor, content = phrases(d, o)
+            parts.append(((first + self.off[lo]).astype(np.uint32), (last - first).astype(np.uint8), anchor, content))
         cat = lambda k, kind: np.concatenate([np.zeros(0, kind), *(p[k] for p in parts)])
-        self.first = np.concatenate([np.zeros(0, np.int64), *(p[2] + p[1] for p in parts)])
-        self.last = np.concatenate([np.zeros(0, np.int64), *(p[3] + p[1] for p in parts)])
-        anchor, content = cat(4, np.uint64), cat(5, np.uint64)
-        self.doc = self.ids[np.searchsorted(self.off, self.first, "right") - 1]
+        self.first, self.more, anchor, content = cat(0, np.uint32), cat(1, np.uint8), cat(2, np.uint64), cat(3, np.uint64)
+        parts.clear()
+        self.row = (np.searchsorted(self.off, self.first, "right") - 1).astype(np.uint32)
         key = mix(anchor + mix(content))
+        del content
+        order = np.argsort(key, kind="stable")
+        at = np.flatnonzero(np.concatenate(([True], key[order[1:]] != key[order[:-1]]))[: len(key)])
+        sample = order[at]
+        docs = self.ids[self.row[order]]
+        lo = np.minimum.reduceat(docs, at) if len(at) else docs
+        hi = np.maximum.reduceat(docs, at) if len(at) else docs
+        anchor = anchor[sample]
         bucket = (anchor % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((key, bucket))
-        key, bucket, anchor = key[order], bucket[order], anchor[order]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])))[: len(key)]
-        at = np.flatnonzero(new)
-        self.entry = np.zeros(len(key), np.int64)
-        self.entry[order] = np.cumsum(new) - 1
-        self.sample = order[at]
-        self.key, self.bucket, self.anchor = key[at], bucket[at], (anchor[at] // np.uint64(buckets)) & np.uint64((1 << 48) - 1)
-        docs = self.doc[order]
-        self.lo = np.minimum.reduceat(docs, at) if len(at) else docs
-        self.hi = np.maximum.reduceat(docs, at) if len(at) else docs
-        self.cuts = np.searchsorted(self.bucket, np.arange(buckets + 1))
-
-    def filled(self) -> np.ndarray:
-        return np.flatnonzero(np.diff(self.cuts))
+        sort = np.lexsort((key[sample], lo, bucket))
+        place = np.empty(len(sort), np.uint32)
+        place[sort] = np.arange(len(sort), dtype=np.uint32)
+        self.entry = np.zeros(len(key), np.uint32)
+        self.entry[order] = np.repeat(place, np.diff(np.append(at, len(key))))
+        self.sample, self.lo, self.hi, self.key = sample[sort], lo[sort], hi[sort], key[sample[sort]]
+        self.anchor = (anchor[sort] // np.uint64(buckets)).astype(np.uint32)
+        found, cut = np.unique(bucket[sort], return_index=True)
+        #: First and end entry of each filled bucket.
+        self.cuts = dict(zip(found.tolist(), zip(cut.tolist(), [*cut[1:].tolist(), len(sort)], strict=True), strict=True))
 
 
 def _pack48(x: np.ndarray) -> bytes:
@@ -107,6 +113,18 @@ def _unpack48(b: bytes) -> np.ndarray:
     return np.frombuffer(b, "<u4", n).astype(np.uint64) | (np.frombuffer(b, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32))
 
 
+def _pack_ids(x: np.ndarray) -> tuple[int, bytes]:
+    """The least number, and the others above it in as few bytes each as the largest needs."""
+    base = int(x.min(initial=_LAST))
+    above = (x - base).astype(np.uint64)
+    top = int(above.max(initial=0))
+    return base, above.astype(next(f"<u{n}" for n in (1, 2, 4, 8) if top < 1 << (8 * n))).tobytes()
+
+
+def _unpack_ids(base: int, b: bytes, n: int) -> np.ndarray:
+    return (np.frombuffer(b, f"<u{len(b) // n}").astype(np.int64) if n else np.zeros(0, np.int64)) + base
+
+
 def _table(schema: str, rows: list[tuple]) -> pa.Table:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]
@@ -123,27 +141,30 @@ def _send_phrases(buckets: int):
         number = table.column("_block")[0].as_py()
         b = _Block(table, buckets)
         rows = []
-        base = int(b.lo.min(initial=_LAST))
-        lo = (b.lo - base).astype(np.uint64)
-        kind = "<u4" if lo.max(initial=0) < 1 << 32 else "<u8"
-        for k in b.filled().tolist():
-            s = slice(b.cuts[k], b.cuts[k + 1])
-            rows.append((k, number, base, _pack48(b.anchor[s]), _pack48(b.key[s] & np.uint64((1 << 48) - 1)), lo[s].astype(kind).tobytes(), np.packbits(b.lo[s] < b.hi[s]).tobytes()))
+        for k, (lo, hi) in b.cuts.items():
+            s = slice(lo, hi)
+            rows.append((k, number, *_splice(_pack_ids(b.lo[s]), b.anchor[s].astype("<u4").tobytes(), _pack48(b.key[s] & np.uint64((1 << 48) - 1))), np.packbits(b.lo[s] < b.hi[s]).tobytes()))
         return _table(_PHRASES, rows)
 
     return run
 
 
+def _splice(ids: tuple[int, bytes], *between: bytes) -> tuple:
+    return (ids[0], *between, ids[1])
+
+
 def _answer_phrases(table: pa.Table) -> pa.Table:
     """For each block: the entries that matter (in other documents too, or of an anchor with several phrases)."""
     bucket = table.column("_bucket")[0].as_py()
     rows = table.select(["_block", "base", "mins", "keys", "lo", "multi"]).to_pylist()
-    sizes = [len(r["mins"]) // 6 for r in rows]
+    sizes = [len(r["mins"]) // 4 for r in rows]
     cut = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-    anchor = np.concatenate([_unpack48(r["mins"]) for r in rows])
+    anchor = np.concatenate([np.frombuffer(r["mins"], "<u4") for r in rows])
     key = np.concatenate([_unpack48(r["keys"]) for r in rows])
-    lo = np.concatenate([np.frombuffer(r["lo"], f"<u{len(r['lo']) // n}").astype(np.int64) + r["base"] for r, n in zip(rows, sizes, strict=True)])
+    lo = np.concatenate([_unpack_ids(r["base"], r["lo"], n) for r, n in zip(rows, sizes, strict=True)])
     multi = np.concatenate([np.unpackbits(np.frombuffer(r["multi"], np.uint8), count=n).astype(bool) for r, n in zip(rows, sizes, strict=True)])
+    blocks = [r["_block"] for r in rows]
+    del rows
     order = np.lexsort((key, anchor))
     a, k = anchor[order], key[order]
     new_a = np.concatenate(([True], a[1:] != a[:-1]))
@@ -158,11 +179,11 @@ def _answer_phrases(table: pa.Table) -> pa.Table:
     least_all, many_all, edge_all = np.zeros(len(order), np.int64), np.zeros(len(order), bool), np.zeros(len(order), bool)
     least_all[order], many_all[order], edge_all[order] = least[group], many[group], edge_of[group]
     out = []
-    for i, r in enumerate(rows):
+    for i, block in enumerate(blocks):
         s = slice(cut[i], cut[i + 1])
         idx = np.flatnonzero(many_all[s] | edge_all[s])
         if len(idx):
-            out.append((r["_block"], bucket, 0, idx.astype("<u4").tobytes(), least_all[s][idx].tobytes(), b"", np.packbits(edge_all[s][idx]).tobytes()))
+            out.append((block, bucket, 0, *_splice(_pack_ids(least_all[s][idx]), idx.astype("<u4").tobytes()), b"", np.packbits(edge_all[s][idx]).tobytes()))
     return _table(_REPLY, out)
 
 
@@ -172,15 +193,15 @@ def _send_bytes(buckets: int):
         if len(texts) and len(replies):
             number = texts.column("_block")[0].as_py()
             b = _Block(texts, buckets)
-            for r in replies.to_pylist():
+            for r in replies.select(["bucket", "idx", "edge"]).to_pylist():
                 idx = np.frombuffer(r["idx"], "<u4").astype(np.int64)
                 edge = np.unpackbits(np.frombuffer(r["edge"], np.uint8), count=len(idx)).astype(bool)
                 idx = idx[edge]
                 if not len(idx):
                     continue
-                entry = b.cuts[r["bucket"]] + idx
-                start, end = b.first[b.sample[entry]], b.last[b.sample[entry]] + WINDOW
-                rows.append((r["bucket"], number, idx.astype("<u4").tobytes(), b.lo[entry].tobytes(), (end - start).astype("<u2").tobytes(), b.data[_ragged(start, end - start)].tobytes()))
+                entry = b.cuts[r["bucket"]][0] + idx
+                start, size = b.first[b.sample[entry]].astype(np.int64), b.more[b.sample[entry]].astype(np.int64) + WINDOW
+                rows.append((r["bucket"], number, *_splice(_pack_ids(b.lo[entry]), idx.astype("<u4").tobytes()), size.astype("<u2").tobytes(), b.data[_ragged(start, size)].tobytes()))
         return _table(_DICT, rows)
 
     return run
@@ -191,23 +212,26 @@ def _answer_windows(table: pa.Table) -> pa.Table:
     bucket = table.column("_bucket")[0].as_py()
     rows = table.to_pylist()
     size = np.concatenate([np.frombuffer(r["sizes"], "<u2") for r in rows]).astype(np.int64)
-    lo = np.concatenate([np.frombuffer(r["lo"], np.int64) for r in rows])
-    data = np.frombuffer(b"".join(r["data"] for r in rows), np.uint8)
+    lo = np.concatenate([_unpack_ids(r["base"], r["lo"], len(r["sizes"]) // 2) for r in rows])
+    raw = b"".join(r.pop("data") for r in rows)
     start = np.cumsum(size) - size
-    raw = data.tobytes()
     number: dict[bytes, int] = {}
     which = np.fromiter((number.setdefault(raw[s : s + n], len(number)) for s, n in zip(start.tolist(), size.tolist(), strict=True)), np.int64, len(size))
+    del raw, start
     doc = np.full(len(number), _LAST, np.int64)
     np.minimum.at(doc, which, lo)
     distinct = np.fromiter(map(len, number), np.int64, len(number))
-    index = RunLengthIndex(np.frombuffer(b"".join(number), np.uint8), distinct, doc, WINDOW)
+    text = np.frombuffer(b"".join(number), np.uint8)
+    number.clear()
+    index = RunLengthIndex(text, distinct, doc, WINDOW)
     least, off = index.stream(distinct)
+    del index
     out, at = [], 0
     for r in rows:
         n = len(r["sizes"]) // 2
         own = which[at : at + n]
         count = np.diff(off)[own]
-        out.append((r["_block"], bucket, 1, r["idx"], least[_ragged(off[own], count)].tobytes(), count.astype("<u2").tobytes(), b""))
+        out.append((r["_block"], bucket, 1, *_splice(_pack_ids(least[_ragged(off[own], count)]), r["idx"]), count.astype("<u2").tobytes(), b""))
         at += n
     return _table(_REPLY, out)
 
@@ -218,39 +242,47 @@ def _mark(buckets: int, names: list[str], schema: pa.Schema):
             return schema.empty_table()
         b = _Block(texts, buckets)
         least = b.lo.copy()
-        at, count, flat, used = np.zeros(len(least), np.int64), np.zeros(len(least), np.int64), [], 0
-        for r in replies.to_pylist():
-            entry = b.cuts[r["bucket"]] + np.frombuffer(r["idx"], "<u4").astype(np.int64)
-            vals = np.frombuffer(r["vals"], np.int64)
-            if r["kind"] == 0:
-                least[entry] = vals
-            else:
-                count[entry] = np.frombuffer(r["cut"], "<u2")
-                at[entry] = used + np.cumsum(count[entry]) - count[entry]
-                flat.append(vals)
-                used += len(vals)
+        at, count, flat, used = np.zeros(len(least), np.int64), np.zeros(len(least), np.uint8), [], 0
+        for batch in replies.to_batches(64):
+            for r in batch.to_pylist():
+                idx = np.frombuffer(r["idx"], "<u4").astype(np.int64)
+                entry = b.cuts[r["bucket"]][0] + idx
+                if r["kind"] == 0:
+                    least[entry] = _unpack_ids(r["base"], r["vals"], len(idx))
+                else:
+                    own = np.frombuffer(r["cut"], "<u2").astype(np.int64)
+                    count[entry] = own
+                    at[entry] = used + np.cumsum(own) - own
+                    flat.append(_unpack_ids(r["base"], r["vals"], int(own.sum())))
+                    used += len(flat[-1])
         windows = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-        n = len(b.data)
-        whole = least[b.entry] < b.doc
-        begin, end = b.first[whole], b.last[whole] + WINDOW
-        part = np.flatnonzero(~whole & (count[b.entry] > 0))
-        c = count[b.entry[part]]
-        smaller = windows[_ragged(at[b.entry[part]], c)] < np.repeat(b.doc[part], c)
-        one = _ragged(b.first[part], c)[smaller]
-        begin, end = np.concatenate((begin, one)), np.concatenate((end, one + WINDOW))
-        gone = np.cumsum(np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1))[:n] > 0
-        lead = np.zeros(n + 1, bool)
-        lead[b.off] = True
-        rise = gone & (lead[:n] | np.concatenate(([True], ~gone[:-1]))[:n])
-        total, spans = np.concatenate(([0], np.cumsum(gone))), np.concatenate(([0], np.cumsum(rise)))
-        removed, spans = np.diff(total[b.off]), np.diff(spans[b.off])
-        texts_left, digests = [], []
-        for r in range(len(texts)):
-            s, e = int(b.off[r]), int(b.off[r + 1])
-            left = b.data[s:e].tobytes() if not removed[r] else b.data[s:e][~gone[s:e]].tobytes()
-            digests.append(hashlib.sha256(left).hexdigest())
-            texts_left.append(left.decode("utf-8", "ignore"))
-        cols = {"doc_id": texts.column("doc_id"), "text": pa.array(texts_left, pa.string()), "n_bytes": pa.array(np.diff(b.off)), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept_sha256": pa.array(digests, pa.string())}
+        flat.clear()
+        texts_left, digests, removed, spans = [], [], [], []
+        for lo, hi, data, off in slices(b.data, b.off):
+            # The phrases of these rows, which follow each other.
+            p, q = (int(x) for x in np.searchsorted(b.row, [lo, hi]))
+            entry, first, more, doc = b.entry[p:q], b.first[p:q].astype(np.int64) - b.off[lo], b.more[p:q].astype(np.int64), b.ids[b.row[p:q]]
+            whole = least[entry] < doc
+            part = np.flatnonzero(~whole & (count[entry] > 0))
+            c = count[entry[part]].astype(np.int64)
+            smaller = windows[_ragged(at[entry[part]], c)] < np.repeat(doc[part], c)
+            one = _ragged(first[part], c)[smaller]
+            step = np.zeros(len(data) + 1, np.int32)
+            np.add.at(step, np.concatenate((first[whole], one)), 1)
+            np.subtract.at(step, np.concatenate((first[whole] + more[whole], one)) + WINDOW, 1)
+            gone = np.cumsum(step[:-1], dtype=np.int32) > 0
+            lead = np.zeros(len(data) + 1, bool)
+            lead[off] = True
+            rise = np.flatnonzero(gone & (lead[:-1] | np.concatenate(([True], ~gone[:-1]))[: len(data)]))
+            spans.append(np.diff(np.searchsorted(rise, off)))
+            lost = np.flatnonzero(gone)
+            removed.append(np.diff(np.searchsorted(lost, off)))
+            for r in range(hi - lo):
+                s, e = int(off[r]), int(off[r + 1])
+                left = data[s:e].tobytes() if not removed[-1][r] else data[s:e][~gone[s:e]].tobytes()
+                digests.append(hashlib.sha256(left).hexdigest())
+                texts_left.append(left.decode("utf-8", "ignore"))
+        cols = {"doc_id": texts.column("doc_id"), "text": pa.array(texts_left, pa.string()), "n_bytes": pa.array(np.diff(b.off)), "n_removed": pa.array(np.concatenate(removed)), "n_spans": pa.array(np.concatenate(spans)), "kept_sha256": pa.array(digests, pa.string())}
         if "_row" in names:
             cols["_row"] = texts.column("_row").cast(schema.field("_row").type)  # the struct comes with required fields
         return pa.Table.from_arrays([cols[c] for c in names], names)
@@ -258,10 +290,10 @@ def _mark(buckets: int, names: list[str], schema: pa.Schema):
     return run
 
 
-def remove_repeats(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_columns: bool = False, figures: str = "_dedup") -> DataFrame:
     """doc_id, text (what is kept, broken characters at a cut left out), n_bytes, n_removed, n_spans, kept_sha256.
 
-    With ``keep_columns`` the further columns follow doc_id and text, and the figures are in one struct, ``_dedup``.
+    With ``keep_columns`` the further columns follow doc_id and text, and the figures are in one struct called ``figures``.
     ``kept_sha256`` is taken of the remaining bytes themselves.
     """
     other = [c for c in docs.columns if c not in ("doc_id", "text")] if keep_columns else []
@@ -285,4 +317,4 @@ def remove_repeats(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
     marked = by_block.cogroup(answers.union(windows).groupBy("_block")).applyInArrow(_mark(buckets, names, arrow), out)
     if not keep_columns:
         return marked.drop("_row")
-    return marked.select("doc_id", "text", *[F.col(f"_row.`{c}`").alias(c) for c in other], F.struct(*names[2:6]).alias("_dedup"))
+    return marked.select("doc_id", "text", *[F.col(f"_row.`{c}`").alias(c) for c in other], F.struct(*names[2:6]).alias(figures))

@@ -16,7 +16,7 @@ def odd(spark):
         (8, "123 456", "de", "b", 7), (9, "der Hund und die Katze sind im Haus", "de", "b", 35), (None, "no number here at all today", "en", "c", 27), (10, "日本語 😀 é", "en", "c", 8), (11, words, "en", "a", len(words)),
     ]
     frame = spark.createDataFrame(rows, DOCS)
-    for name in ("_block", "_row", "node", "bucket", "rank", "digest", "held_out_x", "set", "n_bytes", "n_removed", "letter"):
+    for name in ("_block", "_row", "node", "bucket", "rank", "digest", "held_out_x", "set", "n_bytes", "n_removed", "letter", "_lost_id", "_dedup", "component_id", "kept", "range", "next", "hash", "share", "n", "count"):
         frame = frame.selectExpr("*", f"'x' AS {name}")
     return frame
 
