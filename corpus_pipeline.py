@@ -14,7 +14,7 @@ from skein.llm.staging import stage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is found (no text or no letter) go."""
+    """Documents in which no language is found (no text, no letter, or machines that cannot tell) go."""
     return language_id.keep_identified(docs)
 
 
@@ -25,10 +25,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that an earlier document has are cut out; n_chars follows the text."""
-    cut = suffix_dedup.remove_repeats(docs, keep_columns=True)
+    figures = "figures" + "_" * max(map(len, docs.columns))  # a name that no column has
+    cut = suffix_dedup.remove_repeats(docs, keep_columns=True, figures=figures)
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_dedup.n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+        cut = cut.withColumn("n_chars", F.when(F.col(f"{figures}.n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cut.select(*[f"`{c}`" for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
