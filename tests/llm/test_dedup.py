@@ -100,10 +100,10 @@ def test_repeats(spark, small, monkeypatch):
 
 
 def test_repeats_odd(odd, none):
-    rows = suffix_dedup.remove_repeats(odd, keep_columns=True)
-    assert set(rows.columns) == {*odd.columns, "_dedup"}
+    rows = suffix_dedup.remove_repeats(odd, keep_columns=True, figures="found")
+    assert set(rows.columns) == {*odd.columns, "found"}
     got = {r["doc_id"]: r for r in rows.collect()}
-    assert got[1]["_dedup"]["n_bytes"] == 0 and got[4]["_dedup"]["n_removed"] == 0 and got[11]["text"] == "" and got[11]["n_removed"] == "x"
+    assert got[1]["found"]["n_bytes"] == 0 and got[4]["found"]["n_removed"] == 0 and got[11]["text"] == "" and got[11]["n_removed"] == "x"
     assert rows.count() == odd.count() and suffix_dedup.remove_repeats(none).count() == 0
 
 
