@@ -128,9 +128,14 @@ def canonical(text: Column) -> Column:
 
 
 def _digest(canon: Column) -> Column:
-    """128 bits; the array holds the canonical text, so that it is made once for both halves."""
-    halves = lambda c: F.concat(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit("second half"), c)), 16, "0"))
-    return F.transform(F.array(canon), halves)[0]
+    """128 bits of a canonical text."""
+    return F.concat(F.lpad(F.hex(F.xxhash64(canon)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit("second half"), canon)), 16, "0"))
+
+
+def _digests(*texts: Column) -> Column:
+    """An array of the digests of some texts, by one canonical expression in the plan; null for null."""
+    canons = F.transform(F.array(*texts), canonical)
+    return F.transform(canons, lambda c: F.when(c.isNotNull(), _digest(c)))
 
 
 def _ranges(rows: DataFrame) -> Column:
@@ -156,27 +161,38 @@ def _ranges(rows: DataFrame) -> Column:
     return F.expr(case(0, len(cuts)))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, digest and next (text, digest): the following row in descending doc_id, the first after the last.
+def _below(rows: DataFrame, where: Column) -> DataFrame:
+    """(above, low) for each filled range: the top doc_id of the next filled range below it, of the first after the last.
 
-    Rows are dealt into id ranges of a bounded size.  Within a range the next row is the following one; the last row of
-    a range gets the top row of the range below, which is found by its id alone.
+    Ranks are taken inside the at most ``COARSE`` quantile ranges, and then over one row for each of these.
+    """
+    tops = stage(rows.select(where.alias("range"), "doc_id").groupBy("range").agg(F.max("doc_id").alias("top")), "tops")
+    coarse = F.shiftright("range", 40).alias("part")
+    inner = Window.partitionBy("part").orderBy(F.desc("range"))
+    near = tops.select("range", "top", coarse).withColumn("low", F.lead("top").over(inner)).withColumn("end", F.lead("range").over(inner).isNull())
+    heads = near.groupBy("part").agg(F.max_by("top", "range").alias("top"), F.max("range").alias("range"))
+    ring = Window.orderBy(F.desc("part"))  # a row for each quantile range at most
+    heads = heads.withColumn("after", F.lead(F.struct("top")).over(ring)).withColumn("first", F.first(F.struct("top")).over(ring))
+    heads = heads.select("part", F.coalesce("after", "first")["top"].alias("next_top"))
+    return stage(near.join(heads, "part").select(F.col("range").alias("above"), F.when(F.col("end"), F.col("next_top")).otherwise(F.col("low")).alias("low")), "below")
+
+
+def with_next(rows: DataFrame) -> DataFrame:
+    """The rows with ``next``, a struct of the following row in descending (doc_id, text reversed), the first after the last.
+
+    ``rows`` has doc_id (long), text (no nulls) and others.  Rows are dealt into id ranges of a bounded size, and the top rows
+    of a range once more into the range above it, where they come last; so one shuffle of the texts is enough.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    where = _ranges(ids).alias("range")
-    tops = ids.select(where, "doc_id").groupBy("range").agg(F.max("doc_id").alias("top"))
-    ring = Window.orderBy(F.desc("range"))
-    below = tops.withColumn("low", F.lead("top").over(ring)).withColumn("last", F.lead("range").over(ring).isNull())
-    below = below.withColumn("low", F.when(F.col("last"), F.max("top").over(Window.partitionBy())).otherwise(F.col("low"))).select(F.col("range").alias("above"), "low")
-    below = stage(below, "tops")
-    rows = docs.select(where, F.col("doc_id").cast("long").alias("doc_id"), text)
+    columns = rows.columns
+    where = _ranges(rows.select("doc_id"))
+    below = _below(rows.select("doc_id"), where)
     side = F.broadcast(below) if below.count() <= BROADCAST_DIGESTS else below
-    heads = rows.join(side, rows.doc_id.eqNullSafe(side.low)).groupBy(F.col("above").alias("range")).agg(F.min("text").alias("text"))
-    heads = heads.select("range", F.struct("text", _digest(canonical(F.col("text"))).alias("digest")).alias("head"))
-    order = Window.partitionBy("range").orderBy(F.desc_nulls_last("doc_id"), "text")
-    near = rows.withColumn("digest", _digest(canonical(F.col("text")))).withColumn("next", F.lead(F.struct("text", "digest")).over(order))
-    return near.join(heads, "range", "left").select("doc_id", "text", "digest", F.coalesce("next", "head").alias("next"))
+    found = rows.join(side, rows.doc_id.eqNullSafe(side.low), "left").withColumn("range", where)
+    # A null top is matched by null ids only, and there only is ``above`` found for them.
+    places = F.array_compact(F.array(F.struct(F.col("range").alias("at"), F.lit(0).alias("ghost")), F.when(F.col("above").isNotNull(), F.struct(F.col("above").alias("at"), F.lit(1).alias("ghost")))))
+    dealt = found.select(*columns, F.inline(places))
+    order = Window.partitionBy("at").orderBy("ghost", F.desc_nulls_last("doc_id"), "text")
+    return dealt.withColumn("next", F.lead(F.struct(*columns)).over(order)).filter("ghost = 0").select(*columns, "next")
 
 
 def _edited() -> Column:
@@ -184,32 +200,55 @@ def _edited() -> Column:
     return F.expr("concat(left(text, cast(length(text) - floor(length(text) / 2) as int)), left(next.text, cast(floor(length(text) / 2) as int)))")
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows = with_next(docs).withColumn("edited", _edited())
-    same_next = F.when(F.col("digest") == F.col("next.digest"), (canonical(F.col("text")) == canonical(F.col("next.text"))).cast("double")).otherwise(F.lit(0.0))
-    rows = rows.withColumn("edited_digest", _digest(canonical(F.col("edited")))).withColumn("near_next", same_next)
-    out = stage(rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "digest", "edited_digest", "near_next", F.xxhash64("text").alias("text_hash"), F.xxhash64("edited").alias("edited_hash")), "digests")
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+
+    A likeness is 1 for equal fingerprints and 0 for others, as digests are exact.
+    """
+    rows = with_next(_plain(docs).withColumn("digest", _digests(F.col("text"))[0])).withColumn("edited", _edited())
+    cols = ["doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "digest", _digests(F.col("edited"))[0].alias("edited_digest"), F.col("next.digest").alias("next_digest")]
+    hashes = [F.xxhash64("text").alias("text_hash"), F.xxhash64("edited").alias("edited_hash"), F.xxhash64("next.text").alias("next_hash"), F.col("next.doc_id").alias("next_id")]
+    out = stage(rows.select(*cols, *hashes), "digests")
     clashes = _clashes(out, docs)
-    if clashes is None:
-        return out.select("doc_id", "n_chars", "edited_sha256", F.col("digest").alias("fingerprint"), F.col("edited_digest").alias("edited_fingerprint"), (F.col("digest") == F.col("edited_digest")).cast("double").alias("near_edited"), "near_next")
-    for name, hash_ in (("digest", "text_hash"), ("edited_digest", "edited_hash")):
-        side = clashes.select(F.col("digest").alias(name), F.col("hash").alias(hash_), "number")
-        out = out.join(side, [name, hash_], "left").withColumn(f"{name}_f", F.concat(F.col(name), F.coalesce(F.concat(F.lit("-"), F.col("number").cast("string")), F.lit("")))).drop("number")
-    return out.select("doc_id", "n_chars", "edited_sha256", F.col("digest_f").alias("fingerprint"), F.col("edited_digest_f").alias("edited_fingerprint"), (F.col("digest_f") == F.col("edited_digest_f")).cast("double").alias("near_edited"), "near_next")
+    final = [(name, F.col(f"{name}_digest" if name else "digest")) for name in ("", "edited", "next")]
+    if clashes is not None:
+        for name, hash_ in (("digest", "text_hash"), ("edited_digest", "edited_hash"), ("next_digest", "next_hash")):
+            side = clashes.select(F.col("digest").alias(name), F.col("hash").alias(hash_), F.concat(F.lit("-"), F.col("number").cast("string")).alias(f"{name}_n"))
+            out = out.join(side, [name, hash_], "left")
+        final = [(name, F.concat(c, F.coalesce(F.col(f"{name}_digest_n" if name else "digest_n"), F.lit("")))) for name, c in final]
+    own, edited, following = (c for _, c in final)
+    return out.select("doc_id", "n_chars", "edited_sha256", own.alias("fingerprint"), edited.alias("edited_fingerprint"), (own == edited).cast("double").alias("near_edited"), (own == following).cast("double").alias("near_next"))
 
 
 def _clashes(out: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Byte comparison inside equal buckets: (digest, hash of the text, number) where one digest has several texts."""
+    """Byte comparison inside equal buckets: (digest, hash of the text, number) where one digest has several texts.
+
+    Only rows whose digest repeats are read again, and their next rows where it is the edited text's digest.
+    """
     both = out.select("digest").union(out.select("edited_digest"))
     repeated = stage(both.groupBy("digest").count().filter("count > 1").select("digest"), "repeated")
-    side = F.broadcast(repeated) if repeated.count() <= BROADCAST_DIGESTS else repeated
-    rows = with_next(docs)
-    texts = rows.select("digest", "text").union(rows.select(_digest(canonical(_edited())).alias("digest"), _edited().alias("text")))
-    texts = texts.join(side, "digest", "left_semi").withColumn("canon", canonical(F.col("text")))
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_DIGESTS else df
+    side = few(repeated)
+    own = out.join(side, "digest", "left_semi").select("doc_id", F.lit(0).alias("edits"))
+    edits = out.join(side.withColumnRenamed("digest", "edited_digest"), "edited_digest", "left_semi")
+    ids = own.union(edits.select(F.inline(F.array(F.struct("doc_id", F.lit(1).alias("edits")), F.struct(F.col("next_id").alias("doc_id"), F.lit(0).alias("edits"))))))
+    ids = stage(ids.groupBy("doc_id").agg(F.max("edits").alias("edits")), "ids")
+    ids_side = few(ids.withColumnRenamed("doc_id", "id"))
+    texts = _plain(docs).join(ids_side, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "edits")
+    if not edits.isEmpty():
+        # The rows between are absent, which matters only to rows whose edited text is not wanted.
+        with_edits = with_next(texts).select(F.explode(F.array_compact(F.array("text", F.when(F.col("edits") == 1, _edited())))).alias("text"))
+    else:
+        with_edits = texts.select("text")
+    canon = with_edits.select(F.xxhash64("text").alias("hash"), canonical(F.col("text")).alias("canon"))
+    canon = canon.withColumn("digest", _digest(F.col("canon"))).join(side, "digest", "left_semi")
     # Map-side first: a group of copies is one row for each task before it is shuffled.
-    mixed = stage(texts.groupBy("digest").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")).filter("lo <> hi").select("digest"), "mixed")
+    mixed = stage(canon.groupBy("digest").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")).filter("lo <> hi").select("digest"), "mixed")
     if mixed.isEmpty():
         return None
-    kinds = texts.join(mixed, "digest", "left_semi").select("digest", "canon", F.xxhash64("text").alias("hash")).distinct()
+    kinds = canon.join(mixed, "digest", "left_semi").distinct()
     return stage(kinds.withColumn("number", F.dense_rank().over(Window.partitionBy("digest").orderBy("canon"))).select("digest", "hash", "number").distinct(), "clashes")

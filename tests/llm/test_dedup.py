@@ -134,9 +134,14 @@ def test_fingerprints(spark, small, monkeypatch):
     for k, (i, t) in enumerate(rows):
         nxt, half = rows[(k + 1) % len(rows)][1], len(t) // 2
         assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()
+    plain = lambda t: re.sub(r"\s+", " ", t.lower()).strip()
     by_text = defaultdict(set)
-    for i, t in rows:
-        by_text[re.sub(r"\s+", " ", t.lower()).strip()].add(got[i]["fingerprint"])
+    for k, (i, t) in enumerate(rows):
+        nxt, half = rows[(k + 1) % len(rows)][1], len(t) // 2
+        edited = plain(t[: len(t) - half] + nxt[:half])
+        by_text[plain(t)].add(got[i]["fingerprint"])
+        by_text[edited].add(got[i]["edited_fingerprint"])
+        assert (got[i]["near_edited"], got[i]["near_next"]) == (float(plain(t) == edited), float(plain(t) == plain(nxt)))
     assert all(len(v) == 1 for v in by_text.values()) and len({*map(tuple, by_text.values())}) == len(by_text)
 
 
@@ -149,9 +154,15 @@ def test_fingerprints_odd(spark, odd, none):
 
 def test_clashing_digests_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "_digest", lambda c: F.lit("same"))
-    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A")], "doc_id long, text string")
-    got = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(rows).collect()}
-    assert got[1] == got[3] != got[2]
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A"), (4, "b"), (5, "aab"), (6, "baa")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(rows).collect()}
+    texts = {1: ("a", "a"), 2: ("b", "b"), 3: ("a", "a"), 4: ("b", "b"), 5: ("aab", "aab"), 6: ("baa", "baa")}
+    names = defaultdict(set)
+    for i, (own, edited) in texts.items():
+        names[own].add(got[i]["fingerprint"])
+        names[edited].add(got[i]["edited_fingerprint"])
+    assert all(len(v) == 1 for v in names.values()) and len(set.union(*names.values())) == len(names)
+    assert [got[i]["near_next"] for i in (6, 5, 4, 3, 2, 1)] == [0, 0, 0, 0, 0, 0] and got[4]["near_edited"] == 1
 
 
 def test_nfc(spark):
