@@ -64,9 +64,16 @@ def _unicode() -> tuple[str, str, dict[str, str], dict[str, str], dict[str, int]
     return f"[{_spans(changed | joins)}{_V}{_T}]", f"[{_spans(joins)}]", full, pairs, classes
 
 
-def _lookup(table: dict, kind: str) -> Column:
-    """A map literal, folded once."""
-    return F.from_json(F.lit(json.dumps(table)), f"map<string,{kind}>")
+def _number(char: Column, chars: str) -> Column:
+    """The place of a character in ``chars``, from one, or 0: found by hashing, through characters of a private plane."""
+    private = "".join(chr(0xF0001 + k) for k in range(len(chars)))
+    found = F.translate(char, chars, private)
+    return F.when(found != char, F.ascii(found) - 0xF0000).otherwise(0)
+
+
+def _entry(number: Column, values: list[str]) -> Column:
+    """The value at a place from one, or null."""
+    return F.get(F.from_json(F.lit(json.dumps(values)), "array<string>"), number - 1)
 
 
 def _syllables(text: Column) -> Column:
@@ -91,24 +98,41 @@ def _syllables(text: Column) -> Column:
 def nfc(text: Column) -> Column:
     """Canonical composition of a text."""
     touched, joins, full, pairs, classes = _unicode()
-    down, up, rank = _lookup(full, "string"), _lookup(pairs, "string"), _lookup(classes, "int")
+    marks = "".join(classes)
+    of_class = "".join(chr(0xF0001 + c) for c in classes.values())
+    heads: dict[str, tuple[str, str]] = {}
+    for pair, whole in pairs.items():
+        seconds, wholes = heads.get(pair[0], ("", ""))
+        heads[pair[0]] = (seconds + pair[1], wholes + whole)
+    rank = lambda c: F.when((moved := F.translate(c, marks, of_class)) != c, F.ascii(moved) - 0xF0001).otherwise(0)
+    down = lambda c: F.coalesce(_entry(_number(c, "".join(full)), list(full.values())), c)
+
+    def up(head: Column, mark: Column) -> Column:
+        """The composition of a character and a mark, or an empty string."""
+        at = _number(head, "".join(heads))
+        place = F.coalesce(F.instr(_entry(at, [m for m, _ in heads.values()]), mark), F.lit(0))
+        return F.when(place > 0, F.substring(_entry(at, [w for _, w in heads.values()]), place, F.lit(1))).otherwise("")
+
     chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
     state = lambda out, head, tail, last: F.struct(out.alias("out"), head.alias("head"), tail.alias("tail"), last.alias("last"))
     none, zero = F.lit(""), F.lit(0)
 
     def step(acc: Column, m: Column) -> Column:
-        joined = F.element_at(up, F.concat(acc["head"], m["ch"]))
         free = (acc["tail"] == "") | ((m["cls"] > 0) & (acc["last"] < m["cls"]))
+        joined = F.when((acc["head"] != "") & free, up(acc["head"], m["ch"])).otherwise("")
+        return F.transform(F.array(joined), lambda j: after(acc, m, j))[0]
+
+    def after(acc: Column, m: Column, joined: Column) -> Column:
         return (
             F.when(acc["head"] == "", state(acc["out"], m["ch"], none, zero))
-            .when(free & joined.isNotNull(), state(acc["out"], joined, acc["tail"], acc["last"]))
+            .when(joined != "", state(acc["out"], joined, acc["tail"], acc["last"]))
             .when(m["cls"] == 0, state(F.concat(acc["out"], acc["head"], acc["tail"]), m["ch"], none, zero))
             .otherwise(state(acc["out"], acc["head"], F.concat(acc["tail"], m["ch"]), m["cls"]))
         )
 
     def compose(cluster: Column) -> Column:
-        plain = F.array_join(F.transform(chars(cluster), lambda c: F.coalesce(F.element_at(down, c), c)), "")
-        ranked = F.transform(chars(plain), lambda c: F.struct(F.coalesce(F.element_at(rank, c), F.lit(0)).alias("cls"), c.alias("ch")))
+        plain = F.array_join(F.transform(chars(cluster), down), "")
+        ranked = F.transform(chars(plain), lambda c: F.struct(rank(c).alias("cls"), c.alias("ch")))
         # Marks are ordered by class between characters of class 0, which keep their places.
         segment = lambda r, i: F.size(F.filter(F.slice(ranked, 1, i + 1), lambda x: x["cls"] == 0))
         marks = F.transform(ranked, lambda r, i: F.struct(segment(r, i).alias("seg"), r["cls"].alias("cls"), i.alias("i"), r["ch"].alias("ch")))
@@ -117,9 +141,12 @@ def nfc(text: Column) -> Column:
 
     # Jamo are neither marks nor joined by one, so that they can be composed first.
     joined_jamo = F.when(text.rlike(f"[{_V}{_T}]"), _syllables(text)).otherwise(text)
-    clusters = F.regexp_extract_all(joined_jamo, F.lit(f"(?s)(.{joins}*)"), F.lit(1))
+    # Runs of low characters that nothing joins stay as they are.
+    low, high = rf"[\x{{0}}-\x{{{FIRST_TOUCHED - 1:X}}}]", rf"[\x{{{FIRST_TOUCHED:X}}}-\x{{10FFFF}}]"
+    clusters = F.regexp_extract_all(joined_jamo, F.lit(f"(?s)((?:{low}(?!{high}))++|.{joins}*)"), F.lit(1))
+    composed = F.transform(clusters, lambda c: F.when(c.rlike(touched), compose(c)).otherwise(c))
     # One range is told far faster than the class of all characters concerned, of which none comes before it.
-    return F.when(text.rlike(rf"[\x{{{FIRST_TOUCHED:X}}}-\x{{10FFFF}}]") & text.rlike(touched), F.array_join(F.transform(clusters, compose), "")).otherwise(text)
+    return F.when(text.rlike(rf"[\x{{{FIRST_TOUCHED:X}}}-\x{{10FFFF}}]") & text.rlike(touched), F.array_join(composed, "")).otherwise(text)
 
 
 def canonical(text: Column) -> Column:
