@@ -81,33 +81,59 @@ def test_language_model(spark, small, odd, none, monkeypatch):
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(w) + 1, sum(counts[x] > 0 for x in w) + 1, n)
         assert r["base_score"] == pytest.approx(base) and r["score"] < 0
+    # The score of a text is its marginal over all segmentations, under the pieces' probabilities after one round.
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    table = spark.createDataFrame([(x.encode(), c, k) for k, (x, c) in enumerate(counts.items())], "word binary, count long, hash long")
+    logp = lm_score.fit(table, path, ends)
+    assert sum(math.exp(p) for p in logp) == pytest.approx(1)
+    known = {p: logp[k] for k, p in enumerate(lm_score.vocabulary(path).pieces)}
+    for i, w in sorted(words.items())[:40]:
+        assert got[i]["score"] * math.log(10) == pytest.approx(brute_marginal("".join("▁" + x for x in w).encode(), known, logp[-257:-1]) + logp[-1])
     flagged = odd.withColumn("held_out", F.lit(True))
     assert lm_score.score(flagged).filter("score < 0 and n_known = 0").count() == odd.count()
     assert lm_score.score(none.withColumn("held_out", F.lit(False))).count() == 0
 
 
+def brute_marginal(text, known, bytes_):
+    """Natural log probability of a whole text, all pieces at all places, by the forward recursion in its plainest form."""
+    alpha = [0.0] + [-math.inf] * len(text)
+    for t in range(1, len(text) + 1):
+        ways = [alpha[t - 1] + bytes_[text[t - 1]]] + [alpha[t - k] + known[text[t - k : t]] for k in range(1, min(48, t) + 1) if text[t - k : t] in known]
+        alpha[t] = max(ways) + math.log(sum(math.exp(w - max(ways)) for w in ways))
+    return alpha[-1]
+
+
+def all_segmentations(text, known, bytes_):
+    """(probability, pieces) of every way to cut a text; bytes are told apart from pieces."""
+    if not text:
+        yield 1.0, ()
+        return
+    for k in range(1, len(text) + 1):
+        for name, logp in ((text[:k], known.get(text[:k])), (text[0], bytes_[text[0]] if k == 1 else None)):
+            if logp is not None:
+                for p, rest in all_segmentations(text[k:], known, bytes_):
+                    yield p * math.exp(logp), (name, *rest)
+
+
 def test_lattice():
     path = public_tokenizers.path("piece_bpe_32k.model")
-    keys, logp, _, byte = lm_score._pieces(path)
-    table = dict(zip(keys.tolist(), logp.tolist(), strict=True))
-    texts = ["▁the", "▁théo", "▁" + "ab" * 20, "▁😀x"]
-
-    def brute(b: bytes) -> float:
-        alpha = [0.0] + [-math.inf] * len(b)
-        for t in range(1, len(b) + 1):
-            ways = [alpha[t - 1] + byte]
-            for k in range(1, min(16, t) + 1):
-                h = int(lm_score.span_hash(lm_score.prefix_hash(np.frombuffer(b, np.uint8)), np.array([t - k]), np.array([t]))[0])
-                if h in table:
-                    ways.append(alpha[t - k] + table[h])
-            top = max(ways)
-            alpha[t] = top + math.log(sum(math.exp(w - top) for w in ways))
-        return alpha[-1]
-
-    raw = [t.encode() for t in texts]
-    got = lm_score.lattice(np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw]), path)
-    assert got == pytest.approx([brute(r) for r in raw])
-    assert sum(math.exp(p) for p in logp) + 256 * math.exp(byte) == pytest.approx(1)
+    voc = lm_score.vocabulary(path)
+    known, bytes_ = {p: voc.first[k] for k, p in enumerate(voc.pieces)}, voc.first[-257:-1]
+    raw = [t.encode() for t in ("▁the", "▁théo", "▁" + "ab" * 20, "▁😀x", "▁representation", "▁который", "▁a", "▁" + "x" * 3000)]
+    lattice = lm_score.Lattice.of(np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw]), voc)
+    assert lattice.forward(voc.first)[lattice.last] == pytest.approx([brute_marginal(r, known, bytes_) for r in raw])
+    assert sum(math.exp(p) for p in voc.first) == pytest.approx(1) and max(map(len, voc.pieces)) <= 48
+    short, weight = ["▁the".encode(), "▁and".encode(), "▁é".encode()], np.array([3.0, 1.0, 2.0])
+    lattice = lm_score.Lattice.of(np.frombuffer(b"".join(short), np.uint8), np.array([len(r) for r in short]), voc)
+    uses, number = np.zeros(len(voc.first)), {p: k for k, p in enumerate(voc.pieces)}
+    for r, w in zip(short, weight, strict=True):
+        ways = list(all_segmentations(r, known, bytes_))
+        total = sum(p for p, _ in ways)
+        assert math.log(total) == pytest.approx(brute_marginal(r, known, bytes_)) and len({x for _, x in ways}) == len(ways)
+        for p, pieces in ways:
+            for x in pieces:
+                uses[number[x] if isinstance(x, bytes) else len(number) + x] += w * p / total
+    assert lattice.expected(voc.first, weight) == pytest.approx(uses)
 
 
 def test_tokens():
