@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 SAMPLE = 2000
 #: Words or tags that each element is taken to have inside and outside the content before any page is read.
 PRIOR = 0.25
+#: No element is surer than this, however many labelled pages lack it: articles elsewhere have links, lists and divisions.
+LEAST_WORD, LEAST_TAG = 0.3, -1.5
 _OUT = "page_id long, url string, text string, n_chars long"
 #: Elements whose tags and words have weights of their own.
 _ELEMENTS = frozenset(
@@ -53,7 +55,9 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = 10
 #: What an opening tag closes when it is still open.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|<", re.S | re.I)
+_NAME = re.compile(r"</?([a-zA-Z][\w:-]*)")
+_STOP = re.compile(r"[>\"']")
+_RAW_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 _ATTR = re.compile(r"([^\s\"'>/=]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PHRASING_END = _BLOCKS - {"html", "body"}
 
@@ -97,6 +101,51 @@ class _Weighed:
         return [*out, False]
 
 
+def markup(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) of texts, starts and ends of elements, each character read once or twice.
+
+    Comments, declarations and the content of raw elements are passed over.  Quotes hide the end of a tag; where a tag
+    would run to the end of the page because of them, they mean nothing from there on.
+    """
+    n, at, last, quotes = len(page), 0, page.rfind(">"), True
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0 or lt > last:
+            yield "text", page[at:], ""
+            return
+        if lt > at:
+            yield "text", page[at:lt], ""
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = n if end < 0 else end + 3
+        elif page.startswith(("<!", "<?"), lt):
+            at = page.find(">", lt) + 1
+        elif not (m := _NAME.match(page, lt)):
+            yield "text", "<", ""
+            at = lt + 1
+        else:
+            k = _tag_end(page, m.end()) if quotes else page.find(">", m.end())
+            if k < 0:
+                quotes, k = False, page.find(">", m.end())
+            name, at = m[1].lower(), k + 1
+            yield ("end" if page[lt + 1] == "/" else "start"), name, page[m.end() : k]
+            if name in _RAW and page[lt + 1] != "/" and page[k - 1] != "/":
+                close = _RAW_ENDS[name].search(page, at)
+                at = close.end() if close else n
+                yield "end", name, ""
+
+
+def _tag_end(page: str, at: int) -> int:
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        close = page.find(m[0], m.end())
+        if close < 0:
+            return -1
+        at = close + 1
+    return -1
+
+
 def scan(page: str) -> list[tuple[str, str, str | None, bool, bool]]:
     """Tokens (kind, value, element, bare, labelled): kind is ``tag`` or ``text``; bare is inside an element without prose.
 
@@ -105,6 +154,7 @@ def scan(page: str) -> list[tuple[str, str, str | None, bool, bool]]:
     """
     out: list[tuple[str, str, str | None, bool, bool]] = []
     stack: list[tuple[str, bool, bool, int, int]] = []  # name, bare, content element, weighed element, paragraph
+    open_: Counter = Counter()
     none = ("", False, False, -1, -1)
     weighed, at = _Weighed(), []
 
@@ -113,36 +163,35 @@ def scan(page: str) -> list[tuple[str, str, str | None, bool, bool]]:
         at.append(weigh)
 
     def pop(names: set[str] | frozenset[str], stop: frozenset[str] = frozenset()) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in stop:
-                return
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-
-    for m in _TOKEN.finditer(page):
-        text, name = m.group(5), m.group(3)
+        if any(open_[name] for name in names):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in stop:
+                    return
+                if stack[k][0] in names:
+                    open_.subtract(s[0] for s in stack[k:])
+                    del stack[k:]
+                    return
+
+    for kind, name, attrs in markup(page):
         top = stack[-1] if stack else none
-        if text is not None:
-            put("text", text, *top[:4])
+        if kind == "text":
+            put("text", name, *top[:4])
             if not top[1]:
-                weighed.read(len(text.split()), top[3], top[4])
-        elif name is not None:
-            name = name.lower()
-            if m.group(2):
-                if any(s[0] == name for s in stack):
-                    pop({name})
-                    put("tag", name, None, top[1], top[2] and (not stack or stack[-1][2] or name in ("article", "main")), top[3])
-                else:
-                    put("tag", name, None, *top[1:4])
-                continue
-            if name in _PHRASING_END and any(s[0] == "p" for s in stack):
+                weighed.read(len(name.split()), top[3], top[4])
+        elif kind == "end":
+            if open_[name]:
+                pop({name})
+                put("tag", name, None, top[1], top[2] and (not stack or stack[-1][2] or name in ("article", "main")), top[3])
+            else:
+                put("tag", name, None, *top[1:4])
+        else:
+            if name in _PHRASING_END:
                 pop({"p"}, frozenset({"table", "div", "article", "section", "li", "td"}))
             pop(_CLOSES.get(name, frozenset()), frozenset({"ul", "ol", "dl", "table", "select"}))
             parent = stack[-1] if stack else none
             bare, weigh, paragraph = parent[1] or name in _BARE or (name == "header" and not parent[2]), parent[3], parent[4]
             if not bare and name not in ("html", "body", "main", "article"):
-                names = _names(m.group(4)) if m.group(4) and name not in _HEADINGS else []
+                names = _names(attrs) if attrs and name not in _HEADINGS else []
                 bare = any(_SURE_NAMES.search(x) for x in names)
                 if not bare and (name == "form" or any(_OPEN_NAMES.search(x) for x in names)):
                     weigh = weighed.add(weigh, parent[2])
@@ -151,10 +200,9 @@ def scan(page: str) -> list[tuple[str, str, str | None, bool, bool]]:
                 paragraph = len(weighed.paragraphs) - 1
             inside = parent[2] or name in ("article", "main")
             put("tag", name, None, bare, inside, weigh)
-            if name not in _VOID and not m.group(4).endswith("/"):
+            if name not in _VOID and not attrs.endswith("/"):
                 stack.append((name, bare, inside, weigh, paragraph))
-        elif m.group(0) == "<":
-            put("text", "<", *top[:4])
+                open_[name] += 1
     gone = weighed.bare()
     return [(kind, value, element, bare or gone[k], inside) for (kind, value, element, bare, inside), k in zip(out, at, strict=True)]
 
@@ -178,7 +226,7 @@ def count(page: str) -> Counter | None:
 
 
 class Weights:
-    """Scores of a word by its element (positive) and of a tag (negative)."""
+    """Scores of a word by its element (positive) and of a tag (negative), within ``LEAST_WORD`` and ``LEAST_TAG``."""
 
     def __init__(self, counts: Counter) -> None:
         def share(kind: str, element: str) -> float:
@@ -186,8 +234,8 @@ class Weights:
             return (a + PRIOR) / (a + b + 2 * PRIOR)
 
         names = (*_ELEMENTS, "other")
-        self.word = {e: max(0.02, share("word", e)) for e in names}
-        self.tag = {e: min(-0.05, 4 * math.log(share("tag", e))) for e in names}
+        self.word = {e: max(LEAST_WORD, share("word", e)) for e in names}
+        self.tag = {e: min(-0.05, max(LEAST_TAG, 4 * math.log(share("tag", e)))) for e in names}
 
 
 def region(tokens: list[tuple], weights: Weights) -> tuple[int, int]:

@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -298,6 +299,41 @@ def test_names_that_articles_use(spark):
     assert got[2] == got[3] == ["A title of quite a few words", *prose("First", "Second")] and got[4] == prose("First")
 
 
+SHAPES = {
+    "link": lambda a: re.sub(r"<p>(\S+) (\S+)", r'<p>\1 <a href="/x">\2</a>', a),
+    "list": lambda a: re.sub(r"<p>(.*?)</p>", lambda m: "<ul>" + "".join(f"<li>{x}</li>" for x in re.split(r"(?<=\.) ", m[1])) + "</ul>", a, flags=re.S),
+    "division": lambda a: re.sub(r"<p>(.*?)</p>", r"<div>\1</div>", a, flags=re.S),
+    "heading": lambda a: a.replace("<p>", "<h2>Some part</h2><p>"),
+    "table": lambda a: re.sub(r"<p>(.*?)</p>", r"<table><tr><td>\1</td></tr></table>", a, flags=re.S),
+    "unmarked": lambda a: a,
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_articles_of_other_shapes(shape):
+    """Weights of given pages, on other pages whose articles were rebuilt: the words of the article, and no others."""
+    pages = [r[0] for r in duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet' ORDER BY page_id").fetchall()]
+    counts: Counter = Counter()
+    for page in pages[:150]:
+        counts += html_extract.count(page)
+    weights, found = html_extract.Weights(counts), []
+    for page in pages[150:]:
+        before, article, after = re.split(r"<article>|</article>", page)
+        article = SHAPES[shape](article)
+        words = [w for x in re.split(r"</?(?:p|h1|h2|li|ul|div|table|tr|td)\b[^>]*>", article) for w in html.unescape(re.sub(r"<[^>]+>", "", x)).split()]
+        mark = "div" if shape == "unmarked" else "article"
+        got = html_extract.extract(f"{before}<{mark}>{article}</{mark}>{after}", weights).split()
+        found.append(2 * sum((Counter(words) & Counter(got)).values()) / (len(words) + len(got)))
+    assert np.mean(found) > 0.95
+
+
+@pytest.mark.parametrize("page", ["<a " * 200_000, '<a "' * 100_000 + ">", "<div>" * 100_000, "<!--" * 100_000, "<script " * 100_000, "<x '>'" * 100_000, "<p><b>" * 50_000, "<" * 200_000 + ">"])
+def test_odd_markup_is_read_in_linear_time(page):
+    weights, began = html_extract.Weights(Counter()), time.process_time()
+    html_extract.extract(page, weights)
+    assert time.process_time() - began < 10
+
+
 def test_pipeline(spark, odd):
     """Each stage against a plain version on what the stage before it kept."""
     from .test_dedup import brute_components, brute_repeats
