@@ -8,16 +8,28 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 
+#: Columns that the configuration decides.
+CONFIGURED = ("type", "url", "path", "branch", "language", "config")
+
+
 def upsert(current: DataFrame, configured: DataFrame) -> DataFrame:
-    """Configured rows win for type and url; state stays; new ones are pending; nothing is deleted."""
+    """Configured rows win for type, url, path, branch and language; state stays; new ones are pending; nothing is deleted.
+
+    Columns that only ``current`` has (the state, the last indexing, its error) stay as they are.
+    """
     c, n = current.alias("c"), configured.alias("n")
     both = c.join(n, F.col("c.name") == F.col("n.name"), "full_outer")
-    return both.select(
-        F.coalesce("n.name", "c.name").alias("name"),
-        F.when(F.col("n.name").isNotNull(), F.col("n.type")).otherwise(F.col("c.type")).alias("type"),
-        F.coalesce("c.status", F.lit("pending")).alias("status"),
-        F.coalesce("c.total_chunks", F.lit(0)).cast("long").alias("total_chunks"),
-    )
+    given = F.col("n.name").isNotNull()
+
+    def column(name: str) -> Column:
+        if name in CONFIGURED and name in configured.columns:
+            old = F.col(f"c.{name}") if name in current.columns else F.lit(None)
+            return F.when(given, F.col(f"n.{name}")).otherwise(old)
+        first = {"status": F.lit("pending"), "total_chunks": F.lit(0)}.get(name)
+        return F.col(f"c.{name}") if first is None else F.coalesce(f"c.{name}", first)
+
+    names = [x for x in (*current.columns, *(x for x in configured.columns if x not in current.columns)) if x not in ("name", "total_chunks")]
+    return both.select(F.coalesce("n.name", "c.name").alias("name"), *[column(x).alias(x) for x in names], column("total_chunks").cast("long").alias("total_chunks"))
 
 
 def delete(rows: DataFrame, names: DataFrame, key: str = "repo_name") -> DataFrame:
@@ -32,9 +44,9 @@ def orphans(chunks: DataFrame, repos: DataFrame) -> DataFrame:
 
 def upsert_chunks(current: DataFrame, changes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Changes replace content of equal keys but keep the chunk type; others are added."""
-    old, new = current.alias("o"), changes.alias("n")
+    old, new = current.alias("o"), changes.withColumn("_new", F.lit(True)).alias("n")
     both = old.join(new, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full_outer")
-    present = F.col("n.chunk").isNotNull()
+    present = F.col("n._new").isNotNull()
     return both.select(*[F.coalesce(f"n.{k}", f"o.{k}").alias(k) for k in keys], F.coalesce("o.chunk_type", "n.chunk_type").alias("chunk_type"), F.when(present, F.col("n.chunk")).otherwise(F.col("o.chunk")).alias("chunk"))
 
 

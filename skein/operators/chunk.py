@@ -18,9 +18,13 @@ def sliding_chunks(files: DataFrame, chunk_size: int = 400, overlap: int = 50, c
     window, step = 4 * chunk_size, 4 * (chunk_size - overlap)
     n = F.length(content)
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step)))
-    rows = files.select("*", F.posexplode(starts).alias("chunk_index", "start"))
+    return cut_windows(files.select("*", F.posexplode(starts).alias("chunk_index", "start")), window, content, gapless)
+
+
+def cut_windows(rows: DataFrame, window: int, content: str = "content", gapless: bool = False) -> DataFrame:
+    """``rows`` (content, start) with the chunk of ``window`` characters from there, cut at its last line feed."""
     piece = F.substring(F.col(content), F.col("start") + 1, F.lit(window))
-    tail = F.col("start") + window >= n
+    tail = F.col("start") + window >= F.length(content)
     back = F.instr(F.reverse(F.col("piece")), "\n")
     cut = F.length("piece") - back
     kept = F.col("piece") if gapless else F.when(tail | (back == 0) | (cut <= 0), F.col("piece")).otherwise(F.left("piece", cut.cast("int")))

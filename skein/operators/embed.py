@@ -22,20 +22,27 @@ def limited(error: Exception) -> bool:
 
 
 def embed_batch(texts: list[str], client: Client, sleep: Callable[[float], None] = time.sleep) -> list[list[float]]:
-    """Vectors in input order: a rate-limited batch is halved, a single text waits 1, 2, 4, … seconds, others raise."""
-    for attempt in range(ATTEMPTS):
+    """Vectors in input order: a rate-limited batch is halved, a single text waits 1, 2, 4, … seconds, others raise.
+
+    A stack holds the parts still to do, the next one on top, each with the number of its refusals.
+    """
+    done: list[list[float]] = []
+    parts = [(texts, 0)]
+    while parts:
+        part, refused = parts.pop()
         try:
-            return client(texts)
+            done += client(part)
+            continue
         except Exception as error:
-            if not limited(error):
+            if not limited(error) or (len(part) == 1 and refused + 1 >= ATTEMPTS):
                 raise
-            if len(texts) > 1:
-                half = len(texts) // 2
-                return embed_batch(texts[:half], client, sleep) + embed_batch(texts[half:], client, sleep)
-            if attempt == ATTEMPTS - 1:
-                raise
-            sleep(min(2**attempt, LONGEST_WAIT))
-    raise AssertionError("unreachable")
+        if len(part) == 1:
+            sleep(min(2**refused, LONGEST_WAIT))
+            parts.append((part, refused + 1))
+        else:
+            middle = len(part) // 2
+            parts += [(part[middle:], 0), (part[:middle], 0)]
+    return done
 
 
 def embed_all(texts: Sequence[str], client: Client, sleep: Callable[[float], None] = time.sleep) -> list[list[float]]:

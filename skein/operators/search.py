@@ -32,7 +32,14 @@ def top_k(chunks: DataFrame, query: Sequence[float], k: int = 10, repos: Sequenc
     found = chunks.filter(in_repos(F.col("repo_name"), repos))
     sim = vectors.cosine_to(F.col(vector), query)
     order = [F.desc_nulls_last("similarity"), *keys]
-    return found.withColumn("similarity", sim).orderBy(*order).limit(k).withColumn("score", F.round("similarity", 4)).drop("similarity", vector)
+    narrow = set(found.columns) <= {*keys, "repo_name", vector}
+    ranked = found.select(*([c for c in found.columns if c != vector] if narrow else keys), sim.alias("similarity")).orderBy(*order).limit(k)
+    if not narrow:
+        # Where keys repeat, the similarity tells the winners; what still ties is cut by the second ranking.
+        best = ranked.select(*[F.col(c).alias(f"_{c}") for c in keys]).distinct()
+        wide = found.join(F.broadcast(best), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], "left_semi")
+        ranked = wide.withColumn("similarity", sim).orderBy(*order).limit(k)
+    return ranked.withColumn("score", F.round("similarity", 4)).select(*[c for c in found.columns if c != vector], "score")
 
 
 def _first_k(k: int, key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +97,9 @@ def group_results(results: DataFrame, per_group: int = 4) -> DataFrame:
     """Results (repo_name, score, vec_id) in groups: largest group first, ties by best rank; the best few of each."""
     rank = F.row_number().over(Window.partitionBy("repo_name").orderBy(F.desc("score"), "vec_id"))
     size = F.count(F.lit(1)).over(Window.partitionBy("repo_name"))
-    return results.withColumn("rank", rank).withColumn("group_size", size).filter(F.col("rank") <= per_group)
+    best = F.max("score").over(Window.partitionBy("repo_name"))
+    grouped = results.withColumn("rank", rank).withColumn("group_size", size).withColumn("_best", best).filter(F.col("rank") <= per_group)
+    return grouped.orderBy(F.desc("group_size"), F.desc("_best"), "repo_name", "rank").drop("_best")
 
 
 def related_edges(edges: DataFrame, results: DataFrame, limit: int = 10) -> DataFrame:

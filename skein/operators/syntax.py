@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import ast
+import json
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,21 +15,21 @@ from ..model import LANGUAGES
 from . import chunk
 
 SHORTEST, DEEPEST = 30, 2
-_OUT = "chunk_index int, chunk_type string, chunk string, metadata string"
-_START = {
-    "javascript": r"^(?:export\s+(?:default\s+)?)?(?:async\s+)?(?P<kind>function|class)\b\s*\*?\s*(?P<name>\w+)?",
-    "go": r"^(?P<kind>func|type)\b\s*(?:\([^)]*\)\s*)?(?P<name>\w+)?",
-    "java": r"^\s{0,4}(?:(?:public|private|protected|static|final|abstract)\s+)*(?P<kind>class|interface|enum)\b\s+(?P<name>\w+)?",
-}
-_START["typescript"] = _START["tsx"] = r"^(?:export\s+(?:default\s+)?)?(?:abstract\s+)?(?:async\s+)?(?P<kind>function|class|interface|type|enum)\b\s*(?P<name>\w+)?"
-#: Names of chunk types by language and keyword.
-_TYPES = {
-    "javascript": {"function": "function_declaration", "class": "class_declaration"},
-    "typescript": {"function": "function_declaration", "class": "class_declaration", "interface": "interface_declaration", "type": "type_alias_declaration", "enum": "enum_declaration"},
-    "go": {"func": "function_declaration", "type": "type_declaration"},
-    "java": {"class": "class_declaration", "interface": "interface_declaration", "enum": "enum_declaration"},
-}
-_TYPES["tsx"] = _TYPES["typescript"]
+_OUT = "array<struct<chunk_type:string,chunk:string,metadata:string>>"
+_EXPORT = r"^(?:export\s+(?:default\s+)?)?(?:abstract\s+)?(?:async\s+)?"
+#: What begins a declaration, by language and chunk type; the first that fits counts.
+_STARTS = {
+    "javascript": {"function_declaration": _EXPORT + r"function\b\s*\*?\s*(?P<name>\w+)", "class_declaration": _EXPORT + r"class\b\s*(?P<name>\w+)", "arrow_function": r"^export\s+default\s+(?:async\s+)?(?:\([^)]*\)|\w+)\s*=>(?P<name>)"},
+    "typescript": {
+        "function_declaration": _EXPORT + r"function\b\s*\*?\s*(?P<name>\w+)", "class_declaration": _EXPORT + r"class\b\s*(?P<name>\w+)",
+        "interface_declaration": _EXPORT + r"interface\b\s*(?P<name>\w+)", "type_alias_declaration": _EXPORT + r"type\b\s*(?P<name>\w+)",
+    },
+    "tsx": {"function_declaration": _EXPORT + r"function\b\s*\*?\s*(?P<name>\w+)", "class_declaration": _EXPORT + r"class\b\s*(?P<name>\w+)"},
+    "go": {"method_declaration": r"^func\s*\([^)]*\)\s*(?P<name>\w+)", "function_declaration": r"^func\s+(?P<name>\w+)", "type_declaration": r"^type\b\s*(?P<name>\w+)?"},
+    "java": {"class_declaration": r"^(?:\w+\s+)*class\s+(?P<name>\w+)", "interface_declaration": r"^(?:\w+\s+)*interface\s+(?P<name>\w+)"},
+}
+#: Strings and comments, whose braces do not count.
+_QUOTED = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`|//[^\n]*|/\*.*?\*/", re.S)
 
 
 def python_chunks(source: str) -> list[tuple[str, str | None, int, int]]:
@@ -54,19 +54,20 @@ def python_chunks(source: str) -> list[tuple[str, str | None, int, int]]:
 def declared_chunks(source: str, language: str) -> list[tuple[str, str | None, int, int]]:
     """Declarations at the margin, each up to the line where its braces close."""
     lines, found, k = source.split("\n"), [], 0
-    pattern = re.compile(_START[language])
+    bare = _QUOTED.sub(lambda m: "\n" * m[0].count("\n"), source).split("\n")
+    patterns = {kind: re.compile(pattern) for kind, pattern in _STARTS[language].items()}
     while k < len(lines):
-        m = pattern.match(lines[k])
+        kind, m = next(((kind, m) for kind, p in patterns.items() if (m := p.match(lines[k]))), (None, None))
         if not m:
             k += 1
             continue
         depth, end, opened = 0, k, False
         for end in range(k, len(lines)):
-            depth += lines[end].count("{") - lines[end].count("}")
-            opened = opened or "{" in lines[end]
-            if depth <= 0 and (opened or lines[end].rstrip().endswith(";")):
+            depth += bare[end].count("{") - bare[end].count("}")
+            opened = opened or "{" in bare[end]
+            if depth <= 0 and (opened or bare[end].rstrip().endswith(";")):
                 break
-        found.append((_TYPES[language][m["kind"]], m["name"], k, end))
+        found.append((kind, m["name"] or None, k, end))
         k = end + 1
     return found
 
@@ -82,22 +83,28 @@ def syntax_chunks(source: str, language: str) -> list[tuple[str, str | None, int
     return [t for t in texts if len(t[3].strip()) >= SHORTEST]
 
 
+def _definitions(content: pd.Series, language: pd.Series) -> pd.Series:
+    def one(source: str | None, lang: str | None) -> list[dict]:
+        found = syntax_chunks(source, lang) if source and lang else []
+        return [{"chunk_type": kind, "chunk": text, "metadata": json.dumps({"name": name, "start_line": first})} for kind, name, first, text in found]
+
+    return pd.Series([one(c, k) for c, k in zip(content, language, strict=True)])
+
+
 def chunk_files(files: DataFrame, chunk_size: int = 400, overlap: int = 50) -> DataFrame:
-    """Definitions of files in a parsed language; files without any, and all others, in sliding windows."""
-    keys = ["repo_name", "file_path"]
-    parsed = files.filter(paths.suffix(F.col("file_path")).isin(*LANGUAGES)).withColumn("_lang", paths.detect_language(F.col("file_path"), F.col("language") if "language" in files.columns else None))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        for frame in frames:
-            rows = []
-            for repo, path, content, lang in zip(frame.repo_name, frame.file_path, frame.content, frame._lang, strict=True):
-                for i, (kind, name, first, text) in enumerate(syntax_chunks(content or "", lang)):
-                    rows.append((repo, path, i, kind, text, json.dumps({"name": name, "start_line": first})))
-            yield pd.DataFrame(rows, columns=[*keys, "chunk_index", "chunk_type", "chunk", "metadata"])
-
-    syntax = parsed.select(*keys, "content", "_lang").mapInPandas(run, f"repo_name string, file_path string, {_OUT}")
-    rest = files.join(syntax.select(*keys).distinct(), keys, "left_anti")
-    windows = chunk.sliding_chunks(rest, chunk_size, overlap).select(*keys, "chunk_index", F.lit("text").alias("chunk_type"), "chunk", chunk.text_metadata().alias("metadata"))
-    return syntax.unionByName(windows)
+    """Definitions of files in a parsed language; files without any, and all others, in sliding windows.
+
+    Every file is parsed once, and nothing is shuffled: a file's rows are its definitions or its windows.
+    """
+    window, step = 4 * chunk_size, 4 * (chunk_size - overlap)
+    parsed = paths.suffix(F.col("file_path")).isin(*LANGUAGES)
+    language = paths.detect_language(F.col("file_path"), F.col("language") if "language" in files.columns else None)
+    found = files.select("repo_name", "file_path", "content", F.pandas_udf(_definitions, _OUT)(F.when(parsed, F.col("content")), F.when(parsed, language)).alias("_found"))
+    count = F.when(F.size("_found") > 0, F.size("_found")).otherwise(F.ceil(F.length("content") / step).cast("int"))
+    rows = found.select("*", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1))).alias("chunk_index"))
+    rows = chunk.cut_windows(rows.withColumn("start", F.col("chunk_index") * step).withColumn("_own", F.get("_found", F.col("chunk_index"))), window)
+    own = F.size("_found") > 0
+    return rows.select(
+        "repo_name", "file_path", "chunk_index", F.when(own, F.col("_own.chunk_type")).otherwise("text").alias("chunk_type"),
+        F.when(own, F.col("_own.chunk")).otherwise(F.col("chunk")).alias("chunk"), F.when(own, F.col("_own.metadata")).otherwise(chunk.text_metadata()).alias("metadata"),
+    )

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import os
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import globs, paths, text, vectors
 from .model import EXCLUDES, LANGUAGES, TEXT_SUFFIXES
 from .operators import catalog, chunk, embed, jobs, memory, search, stats, syntax
-from .plans import adapters, settings
+from .plans import adapters, index, scratch, settings
+from .streaming import queue
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -517,12 +521,135 @@ def text_search_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(found, wanted, 10, keys=("doc_id",)).select("doc_id", "score")
 
 
-@query("syntax_chunks")
+_PY = "import os|||def top_@@(a):|    return 'a value long enough'|||class C@@:|    size = 'one more value'|"
+_GO = "package x||func (s *S) Do@@(a int) error {|\treturn nil // } is no end|}|"
+_SOURCE_COLUMNS = [
+    "source AS repo_name", "doc_id", "concat('d', CAST(doc_id AS varchar(20)), CASE doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.go' ELSE '.txt' END) AS file_path",
+    f"""replace(replace(CASE doc_id % 3 WHEN 0 THEN '{_PY.replace("'", '"')}' WHEN 1 THEN '{_GO}' ELSE concat(left(text, 1500), '!') END, '@@', CAST(doc_id AS varchar(20))), '|', chr(10)) AS content""",
+]
+
+
+@query(
+    "syntax_chunks",
+    f"""WITH s AS (SELECT {", ".join(_SOURCE_COLUMNS)} FROM documents), l AS (SELECT *, string_split(content, chr(10)) AS lines FROM s),
+      d AS (SELECT repo_name, file_path, 0 AS chunk_index, 'function_definition' AS chunk_type, array_to_string(lines[4:5], chr(10)) AS chunk, '{{"name": "top_' || doc_id || '", "start_line": 3}}' AS metadata FROM l WHERE doc_id % 3 = 0
+        UNION ALL SELECT repo_name, file_path, 1, 'class_definition', array_to_string(lines[8:9], chr(10)), '{{"name": "C' || doc_id || '", "start_line": 7}}' FROM l WHERE doc_id % 3 = 0
+        UNION ALL SELECT repo_name, file_path, 0, 'method_declaration', array_to_string(lines[3:5], chr(10)), '{{"name": "Do' || doc_id || '", "start_line": 2}}' FROM l WHERE doc_id % 3 = 1
+        UNION ALL SELECT repo_name, file_path, k, 'text', CASE WHEN k = 0 THEN content ELSE substring(content, 1401) END, '{{"start_line":0}}' FROM l, range(2) r(k) WHERE doc_id % 3 = 2 AND k * 1400 < length(content))
+      SELECT repo_name, file_path, CAST(chunk_index AS INT) AS chunk_index, chunk_type, md5(chunk) AS digest, metadata FROM d""",
+)
 def syntax_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syntax.chunk_files(store(spark, sf_dir, "files").select("repo_name", F.concat("file_path", F.lit("."), F.col("doc_id").cast("string"), F.lit(".go")).alias("file_path"), "content"))
+    files = table(spark, sf_dir, "documents").selectExpr(*_SOURCE_COLUMNS)
+    return syntax.chunk_files(files).select("repo_name", "file_path", "chunk_index", "chunk_type", F.md5("chunk").alias("digest"), "metadata")
+
 
+def _md5_client() -> embed.Client:
+    """Four numbers of each text's MD5, which SQL can check."""
+    return lambda texts: [[float(b) for b in hashlib.md5(t.encode()).digest()[:4]] for t in texts]
 
-@query("embedded_chunks")
+
+@query(
+    "embedded_chunks",
+    f"{_CHUNKS} SELECT repo_name, doc_id, chunk_index, " + ", ".join(f"CAST('0x' || md5(chunk)[{2 * k + 1}:{2 * k + 2}] AS INT) AS v{k}" for k in range(4)) + " FROM chunks",
+)
 def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _chunks(spark, sf_dir).select("repo_name", "doc_id", "chunk_index", F.col("chunk").alias("content"))
-    return embed.with_embeddings(rows, embed.hashing_client).select("repo_name", "doc_id", "chunk_index", F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
+    return embed.with_embeddings(rows, _md5_client).select("repo_name", "doc_id", "chunk_index", *[F.col("embedding")[k].cast("int").alias(f"v{k}") for k in range(4)])
+
+
+#: Name, texts, refusals before the client answers (-1: always), message; then sizes of calls, waits, and what comes of it.
+_RETRIES = [
+    ("one batch", 4, 0, "429", "4", "", "4 vectors"), ("halved", 4, 1, "429", "4,2,2", "", "4 vectors"), ("halved unevenly", 3, 1, "Rate limit", "3,1,2", "", "3 vectors"),
+    ("given up", 1, -1, "429", "1,1,1,1,1", "1,2,4,8", "error"), ("no rate limit", 2, -1, "bad key", "2", "", "error"), ("batches", 45, 0, "429", "20,20,5", "", "45 vectors"), ("nothing", 0, 0, "429", "", "", "0 vectors"),
+]
+
+
+def _retry(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        out = []
+        for name, n, refusals, message in zip(frame.name, frame.texts, frame.refusals, frame.message, strict=True):
+            calls, waits = [], []
+
+            def client(texts: list[str], calls: list = calls, refusals: int = refusals, message: str = message) -> list[list[float]]:
+                calls.append(len(texts))
+                if refusals < 0 or len(calls) <= refusals:
+                    raise RuntimeError(message)
+                return [[0.0] for _ in texts]
+
+            try:
+                outcome = f"{len(embed.embed_all(['x'] * n, client, waits.append))} vectors"
+            except RuntimeError:
+                outcome = "error"
+            out.append((name, ",".join(map(str, calls)), ",".join(map(str, waits)), outcome))
+        yield pd.DataFrame(out, columns=["name", "calls", "waits", "outcome"])
+
+
+@query("embed_retry", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{c}', '{w}', '{o}')" for n, _, _, _, c, w, o in _RETRIES) + ") t(name, calls, waits, outcome)")
+def embed_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([r[:4] for r in _RETRIES], "name string, texts int, refusals int, message string")
+    return rows.mapInPandas(_retry, "name string, calls string, waits string, outcome string")
+
+
+@query(
+    "memory_search",
+    f"""{adapters.cte("memories")}, w AS (SELECT memory_id, user_id, unnest(list_filter(regexp_split_to_array(lower(memory), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS word FROM memories),
+      c AS (SELECT memory_id, user_id, CAST('0x' || md5(word)[1:2] AS INT) % 16 AS place, count(*) AS n FROM w GROUP BY ALL),
+      v AS (SELECT memory_id, user_id, sum(n * n)::DOUBLE AS nn FROM c GROUP BY ALL),
+      d AS (SELECT a.memory_id, sum(a.n * q.n)::DOUBLE AS dot FROM c a JOIN c q ON a.place = q.place WHERE q.memory_id = '3-1' GROUP BY ALL)
+      SELECT v.memory_id, v.user_id, round(coalesce(dot, 0) / sqrt(nn * (SELECT nn FROM v WHERE memory_id = '3-1')), 4) AS score FROM v LEFT JOIN d USING (memory_id) WHERE v.user_id = 'u3'
+      ORDER BY score DESC, memory_id LIMIT 10""",
+)
+def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store(spark, sf_dir, "memories")
+    vectors_ = embed.hashed_columns(rows, "memory_id", "memory")
+    wanted = vectors_.filter("memory_id = '3-1'").first()["embedding"]
+    return memory.search(rows.select("memory_id", "user_id").join(vectors_, "memory_id"), wanted, "u3", 10)
+
+
+#: A small tree: what is kept, and what is not.
+_KEPT = {".github/ci.yml": "on: push", "src/__init__.py": "", "_u.md": "# u", "src/m.py": "def top(a):\n    return 'long enough to be a chunk'\n", "a/crlf.txt": "a\nb\nc"}
+_LOST = {".env": "x", "foo.lock/a.md": "no", "node_modules/z.js": "no", "dist/x.js": "no", "notes.tar.gz": "no", "big.txt": "x" * 512_001}
+
+
+def _tree(spark: SparkSession, lost: tuple[str, ...] = ()) -> str:
+    root = f"{scratch.folder(spark)}/tree"
+    for path, content in (_KEPT | _LOST).items():
+        if path not in lost:
+            os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+            with open(f"{root}/{path}", "w", newline="") as f:
+                f.write(content.replace("\n", "\r\n") if "crlf" in path else content)
+    return root
+
+
+@query("tree_scan", "SELECT 'r' AS repo_name, p AS file_path, md5(replace(c, '|', chr(10))) AS digest FROM (VALUES " + ", ".join("('{}', '{}')".format(p, c.replace("'", "''").replace("\n", "|")) for p, c in _KEPT.items()) + ") t(p, c)")
+def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.scan(spark, _tree(spark), "r").select("repo_name", "file_path", F.md5("content").alias("digest"))
+
+
+@query(
+    "index_replace",
+    """SELECT * FROM (VALUES ('one', '_u.md', 0, 'text'), ('one', 'src/m.py', 0, 'function_definition'), ('one', 'a/crlf.txt', 0, 'text'),
+      ('two', '_u.md', 0, 'text'), ('two', 'src/m.py', 0, 'function_definition'), ('two', 'a/crlf.txt', 0, 'text'), ('two', '.github/ci.yml', 0, 'text')) t(repo_name, file_path, chunk_index, chunk_type)""",
+)
+def index_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two repositories are indexed; one loses a file and is indexed again, the other stays as it was."""
+    out, tree = f"{scratch.folder(spark)}/chunks", _tree(spark)
+    for repo, path in (("one", tree), ("two", tree), ("one", _tree(spark, (".github/ci.yml",)))):
+        states = index.index_repo(spark, path, repo, out).collect()
+        if states[-1]["status"] != "indexed":
+            raise RuntimeError(states[-1]["error_message"])
+    return spark.read.parquet(out).select("repo_name", "file_path", "chunk_index", "chunk_type")
+
+
+@query(
+    "queue_stream",
+    f"""{adapters.cte("queue", "repos")} SELECT CAST(row_number() OVER (ORDER BY min(q.requested_at), r.name) AS INT) AS place, r.name FROM queue q JOIN repos r ON q.repo_name IS NULL OR q.repo_name = r.name
+      WHERE q.processed_at IS NULL GROUP BY r.name""",
+)
+def queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pending requests go through the stream in one file; the repositories in the order in which they are handled."""
+    base = scratch.folder(spark)
+    store(spark, sf_dir, "queue").filter("processed_at IS NULL").select("id", "repo_name", "requested_at").coalesce(1).write.json(f"{base}/requests")
+    handled: list[str] = []
+    queue.consume(spark, f"{base}/requests", f"{base}/acknowledged", store(spark, sf_dir, "repos").select("name"), handled.append).awaitTermination()
+    return spark.createDataFrame([(k + 1, name) for k, name in enumerate(handled)], "place int, name string")

@@ -145,7 +145,9 @@ def test_syntax():
     assert got == [("function_definition", "top", 2), ("decorated_definition", None, 5)]
     assert syntax.syntax_chunks("def (", "python") == [] and syntax.syntax_chunks("x", "cobol") == []
     go = "package x\n\nfunc (s *S) Do(a int) error {\n\treturn nil // comment here\n}\n"
-    assert [(k, n) for k, n, *_ in syntax.syntax_chunks(go, "go")] == [("function_declaration", "Do")]
+    assert [(k, n) for k, n, *_ in syntax.syntax_chunks(go, "go")] == [("method_declaration", "Do")]
+    js = "export default async (a) => {\n  return '}' + a; // } not the end\n}\nclass Longer { method() { return 1 } }\nenum Color { Red, Green, Blue, Yellow }\n"
+    assert [(k, n, s) for k, n, s, _ in syntax.syntax_chunks(js, "javascript")] == [("arrow_function", None, 0), ("class_declaration", "Longer", 3)]
 
 
 def test_job_search(spark):
