@@ -134,7 +134,7 @@ def fit(h: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, y: np.ndarray,
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on a bounded sample of ``labelled`` (doc_id, text, toxic); a label weighs as much as in all its rows."""
-    rows = labelled.filter("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"), F.col("text").cast("string").alias("text"))
+    rows = labelled.filter("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), F.col("text").cast("string").alias("text"))
     ids = sample_ids(rows, "toxic", sample)
     got = rows.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, toxic int, h binary, s binary, n int").toPandas()
     if not len(got):
@@ -143,11 +143,14 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     base = np.concatenate(([0], np.cumsum(got.n)))
     h = np.concatenate([np.frombuffer(b, np.uint64) for b in got.h])
     s = np.concatenate([np.frombuffer(b, np.int32).astype(np.int64) + k for b, k in zip(got.s, base, strict=False)])
-    doc_of, y = np.repeat(np.arange(len(got)), got.n), got.toxic.to_numpy()
+    doc_of, label = np.repeat(np.arange(len(got)), got.n), got.toxic.to_numpy()
     del got
     every = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    weight = np.array([every[k] / max(1, int((y == k).sum())) for k in (0, 1) if k in every])[y if len(every) > 1 else 0 * y]
-    return fit(h, s, doc_of, y, weight)
+    weight = np.zeros(len(label))
+    for value in np.unique(label).tolist():
+        own = label == value
+        weight[own] = every[value] / own.sum()
+    return fit(h, s, doc_of, (label > 0).astype(np.int64), weight)
 
 
 def score(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
