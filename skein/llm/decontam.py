@@ -10,8 +10,10 @@ The masks follow from this rule and miss no overlap that counts: the best overla
 of its ends sums to more than zero, and read from the end n equal words come with fewer than n / 2 substitutions.  All
 ways in which its last ``SEED`` equal words (fewer for an item that needs fewer) can lie under that bound are looked up.
 
-Documents never move: the items travel to the tasks in blocks of at most ``BLOCK_WORDS`` words (12 bytes each for a
-mask), one scan of the documents for each block, so any number of items is handled the same way.
+The benchmark is a table of any size and stays one: items of equal words are grouped, their seeds are rows, and seeds meet
+by a join.  Only a bit filter of the seeds travels to the tasks that scan the documents, of ``2 ** FILTER_BITS`` bits at
+most; a fuller one lets more documents into the join and changes no result.  Documents stay where they are: only words
+and hits of those that may hold a seed are written, equal texts once.
 
 Defined results: items of fewer than six words match where all their words follow each other, items without a word
 match nothing; items with equal words count as the one of the least item_id; null or empty texts contain nothing; rows that share a doc_id are
@@ -20,22 +22,28 @@ compared each; an empty table on either side gives no overlaps; further columns
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
-from functools import cached_property
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import column_bytes, mix, prefix_hash, span_hash, text_slices
+from .bytetext import mix, prefix_hash, span_hash, text_slices
+from .staging import stage
 
 #: Fixed value: so many equal words are compared at most in a window.
 SEED = 7
 MATCHED, SHORTEST, SHARE, MISMATCH = 13, 6, 0.75, 2
-BLOCK_WORDS = 1 << 20
-_OUT = "doc_id long, item_id long, matched int, item_words int, start_word int"
+#: Bits of the filter for each seed and at most (as a power of two: 16 MB), and places that a seed sets there.
+SPREAD, FILTER_BITS, PROBES = 128, 27, 4
+#: Digests of so many contaminated texts are broadcast at most; beyond it they meet the documents by a shuffle.
+BROADCAST_TEXTS = 1_000_000
+_HITS = "doc_id long, text_key string, words array<long>, hits array<struct<mask: int, at: int, seed: long>>"
 _WORD = np.zeros(256, bool)
 _WORD[128:] = True
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -100,120 +108,134 @@ def seeds(h: np.ndarray, woff: np.ndarray, mask: str) -> tuple[np.ndarray, np.nd
     return at, mix(acc[at])
 
 
-class Items:
-    """A block of benchmark items: their words, and sorted seeds for every mask."""
+#: Every mask with the items it serves: words looked up, whether they are whole items under SHORTEST words, mask.
+MASKS = [(n, True, "1" * n) for n in range(1, SHORTEST)]
+MASKS += [(n, False, mask) for n in sorted({min(SEED, needed(size)) for size in range(SHORTEST, 2 * SEED)}) for mask in endings(n)]
 
-    def __init__(self, ids: list[int], texts: list[str | None]) -> None:
-        data, off = column_bytes(pa.array(texts, pa.string()))
+
+def _lists(values: pa.Array, off: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), values)
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, lo, hi, data, off in text_slices(batches):
         h, woff = plain_words(data, off)
-        kept: dict[bytes, int] = {}
-        for k in np.argsort(np.array(ids), kind="stable").tolist():
-            kept.setdefault(h[woff[k] : woff[k + 1]].tobytes(), k)
-        use = [k for words, k in kept.items() if words]
-        self.ids = np.array([ids[k] for k in use], np.int64)
-        size = np.diff(woff)[use]
-        self.flat = np.concatenate([np.zeros(0, np.uint64), *(h[woff[k] : woff[k + 1]] for k in use)])
-        self.cut = np.concatenate(([0], np.cumsum(size)))
-        self.owner = np.repeat(np.arange(len(use), dtype=np.int32), size)
-
-    @cached_property
-    def tables(self) -> list[tuple[str, bool, np.ndarray, np.ndarray, np.ndarray]]:
-        """(mask, whole items, sorted seeds, their places, bitmap of seeds), made in the task, so that only words travel."""
-        size = np.diff(self.cut)
-        # Items under SHORTEST words are compared whole, by the mask of all their words.
+        keys = [hashlib.md5(h[a:b].tobytes()).hexdigest() for a, b in zip(woff[:-1], woff[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(keys, pa.string()), _lists(pa.array(h.view(np.int64)), woff)], ["item_id", "item", "of_item"])
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+        woff = np.concatenate(([0], np.cumsum(size)))
+        h = batch.column(1).flatten().to_numpy().view(np.uint64)
+        whole = size < SHORTEST
         weight = np.array([n if n < SHORTEST else min(SEED, needed(n)) for n in size.tolist()], np.int64)
-        kinds = sorted(set(zip(weight.tolist(), (size < SHORTEST).tolist(), strict=True)))
-        out = []
-        for n, whole, mask in ((n, whole, m) for n, whole in kinds for m in (["1" * n] if whole else endings(n))):
-            at, s = seeds(self.flat, self.cut, mask)
-            own = (weight[self.owner[at]] == n) & ((size[self.owner[at]] < SHORTEST) == whole)
-            at, s = at[own].astype(np.int32), s[own]
-            order = np.argsort(s, kind="stable")
-            bitmap = np.zeros(1 << min(22, max(10, (16 * len(s)).bit_length())), bool)
-            bitmap[s & np.uint64(len(bitmap) - 1)] = True
-            out.append((mask, whole, s[order], at[order], bitmap))
-        return out
-
-    def overlaps(self, h: np.ndarray, woff: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(row, item, equal words, words of the item, first word) of the best counting overlap of each row and item."""
-        found = []
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for mask, whole, keys, place, bitmap in self.tables:
+        owner = np.repeat(np.arange(len(size)), size)
+        for k, (n, short, mask) in enumerate(MASKS):
             at, s = seeds(h, woff, mask)
-            maybe = np.flatnonzero(bitmap[s & np.uint64(len(bitmap) - 1)])
-            lo, hi = np.searchsorted(keys, s[maybe]), np.searchsorted(keys, s[maybe], "right")
-            n = hi - lo
-            k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            item = self.owner[place[k]].astype(np.int64)
-            pairs = np.stack([np.repeat(at[maybe], n) - (place[k] - self.cut[item]), item], 1)
-            if not whole:
-                found.append(pairs)
-                continue
-            # A hit is the overlap; the first of each row and item stays.
-            row = np.searchsorted(woff, pairs[:, 0], "right") - 1
-            _, one = np.unique(np.stack([row, pairs[:, 1]], 1), axis=0, return_index=True)
-            for r, start, i in zip(row[one].tolist(), pairs[one, 0].tolist(), pairs[one, 1].tolist(), strict=True):
-                best[r, i] = (len(mask), len(mask), start - int(woff[r]))
-        every = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        for start, i in every.tolist():
-            words = self.flat[self.cut[i] : self.cut[i + 1]]
-            # A diagonal may begin before its row; a hit lies on it, which tells the row.
-            for row in self._rows(start, len(words), woff):
-                a, b = max(start, int(woff[row])), min(start + len(words), int(woff[row + 1]))
-                same = h[a:b] == words[a - start : b - start]
-                gain = np.concatenate(([0], np.cumsum(np.where(same, 1, -MISMATCH))))
-                top = int(np.argmax(gain - np.minimum.accumulate(gain)))
-                begin = int(np.argmin(gain[: top + 1]))
-                equal = int(same[begin:top].sum())
-                if equal >= needed(len(words)) and best.get((row, i), (0,))[0] < equal:
-                    best[row, i] = (equal, len(words), a + begin - int(woff[row]))
-        return [(row, i, *v) for (row, i), v in best.items()]
-
-    @staticmethod
-    def _rows(start: int, size: int, woff: np.ndarray) -> range:
-        first = max(int(np.searchsorted(woff, start, "right")) - 1, 0)
-        return range(first, min(int(np.searchsorted(woff, start + size - 1, "right")), len(woff) - 1))
-
-
-def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
-    """The benchmark in blocks of a bounded number of words, ready to travel to the tasks."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (4 * BLOCK_WORDS)))
-    for k in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).toPandas()
-        yield Items(rows.item_id.tolist(), rows.text.tolist())
+            own = (weight[owner[at]] == n) & (whole[owner[at]] == short)
+            at, s = at[own], s[own]
+            place = (at - woff[owner[at]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(s.view(np.int64)), batch.column(0).take(pa.array(owner[at])), pa.array(place)], ["mask", "seed", "item", "place"])
+
+
+def seed_filter(table: DataFrame) -> np.ndarray:
+    """A bit filter of all seeds, as words of 64 bits: aggregated on the executors, of a bounded number of words."""
+    bits = 1 << min(FILTER_BITS, max(16, (SPREAD * table.count()).bit_length()))
+    probes = F.array(*[F.shiftrightunsigned("seed", 12 * k).bitwiseAND(F.lit(bits - 1)) for k in range(PROBES)])
+    places = table.select(F.explode(probes).alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63L as int))").alias("bit"))
+    words = places.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _may_hold(filt: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Where ``s`` has seeds that the filter lets through."""
+    left = np.arange(len(s))
+    for k in range(PROBES):
+        at = (s[left] >> np.uint64(12 * k)) & np.uint64((len(filt) << 6) - 1)
+        left = left[(filt[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)) == 1]
+    return left
+
+
+def _hits(filt: np.ndarray, masks: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and hits of the rows that may hold a seed."""
+    for batch, lo, _, data, off in text_slices(batches):
+        h, woff = plain_words(data, off)
+        found = []
+        for k in masks:
+            at, s = seeds(h, woff, MASKS[k][2])
+            some = _may_hold(filt, s)
+            found.append((np.full(len(some), k, np.int32), at[some], s[some]))
+        mask, at, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(at):
+            continue
+        order = np.argsort(at, kind="stable")
+        mask, at, s = mask[order], at[order], s[order]
+        row = np.searchsorted(woff, at, "right") - 1
+        rows = np.unique(row)
+        hits = pa.StructArray.from_arrays([pa.array(mask), pa.array((at - woff[row]).astype(np.int32)), pa.array(s.view(np.int64))], ["mask", "at", "seed"])
+        words = np.concatenate([h[woff[r] : woff[r + 1]] for r in rows]).view(np.int64)
+        keys = [hashlib.md5(data[off[r] : off[r + 1]].tobytes()).hexdigest() for r in rows]
+        size = np.concatenate(([0], np.cumsum(np.diff(woff)[rows])))
+        hit_off = np.concatenate((np.searchsorted(row, rows), [len(row)]))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + rows)), pa.array(keys, pa.string()), _lists(pa.array(words), size), _lists(hits, hit_off)], ["doc_id", "text_key", "words", "hits"])
+
+
+def _step(acc: Column, same: Column) -> Column:
+    """One word further on a diagonal: the segment that ends here, and the first best one so far."""
+    run = acc["run"] + F.when(same, 1).otherwise(-MISMATCH)
+    lost = run < 0
+    run, start = F.when(lost, 0).otherwise(run), F.when(lost, acc["at"] + 1).otherwise(acc["start"])
+    equal = F.when(lost, 0).otherwise(acc["equal"] + same.cast("int"))
+    better = run > acc["best"]
+    pick = [F.when(better, new).otherwise(acc[name]).alias(name) for name, new in (("best", run), ("matched", equal), ("begin", start))]
+    return F.struct((acc["at"] + 1).alias("at"), run.alias("run"), start.alias("start"), equal.alias("equal"), *pick)
+
+
+def _best_overlaps(pairs: DataFrame) -> DataFrame:
+    """(text_key, item_id, matched, item_words, start_word): the best counting overlap of each text and item.
+
+    ``pairs`` has words of a text and of an item, and how far the item is shifted over the text; equal overlaps go by the least shift.
+    """
+    n, first = F.size("of_item"), F.greatest("shift", F.lit(0))
+    size = F.least(F.size("words"), F.col("shift") + n) - first
+    same = F.zip_with(F.slice("words", first + 1, size), F.slice("of_item", first - F.col("shift") + 1, size), lambda x, y: x == y)
+    zero = F.struct(*[F.lit(0).alias(name) for name in ("at", "run", "start", "equal", "best", "matched", "begin")])
+    laid = pairs.select("text_key", "item", "item_id", "shift", first.alias("first"), n.alias("item_words"), F.aggregate(same, zero, _step).alias("o"))
+    enough = F.when(F.col("item_words") < SHORTEST, F.col("item_words")).otherwise(F.least(F.lit(MATCHED), F.ceil(F.col("item_words") * SHARE)))
+    order = F.struct((-F.col("o.matched")).alias("less"), "shift", (F.col("first") + F.col("o.begin")).alias("start_word"), "item_words", "item_id")
+    best = laid.filter(F.col("o.matched") >= enough).groupBy("text_key", "item").agg(F.min(order).alias("b"))
+    return best.select("text_key", "b.item_id", (-F.col("b.less")).alias("matched"), "b.item_words", "b.start_word")
+
+
+def _overlaps(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key) of the rows that may overlap, and the overlaps of their texts; a text's key is its MD5."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = rows.mapInArrow(_item_words, "item_id long, item string, of_item array<long>").filter(F.size("of_item") > 0)
+    items = stage(items.groupBy("item").agg(F.min("item_id").alias("item_id"), F.first("of_item").alias("of_item")), "items")
+    table = stage(items.select("item", "of_item").mapInArrow(_item_seeds, "mask int, seed long, item string, place int"), "seeds")
+    masks = sorted(r["mask"] for r in table.select("mask").distinct().collect())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = stage(texts.mapInArrow(partial(_hits, seed_filter(table), masks), _HITS) if masks else docs.sparkSession.createDataFrame([], _HITS), "hits")
+    texts = stage(found.groupBy("text_key").agg(F.first("words").alias("words"), F.first("hits").alias("hits")), "texts")
+    hits = texts.select("text_key", F.explode("hits").alias("hit")).select("text_key", "hit.*")
+    shifts = hits.join(table, ["mask", "seed"]).select("text_key", "item", (F.col("at") - F.col("place")).alias("shift")).distinct()
+    pairs = shifts.join(items, "item").join(texts.select("text_key", "words"), "text_key")
+    return found.select("doc_id", "text_key"), _best_overlaps(pairs)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched, item_words, start_word for each pair of a document and an item that overlap."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for items in item_blocks(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch, lo, hi, data, off in text_slices(batches):
-                found = items.overlaps(*plain_words(data, off))
-                if found:
-                    ids = batch.column(0).slice(lo, hi - lo).to_pylist()
-                    cols = list(zip(*((ids[r], int(items.ids[i]), e, n, s) for r, i, e, n, s in found), strict=True))
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [f.split()[0] for f in _OUT.split(", ")])
-
-        part = rows.mapInArrow(run, _OUT)
-        out = part if out is None else out.union(part)
-    return out
+    rows, overlaps = _overlaps(docs, benchmark)
+    return rows.join(overlaps, "text_key").select("doc_id", "item_id", "matched", "item_words", "start_word")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that overlap no item; all columns stay, and nothing is shuffled."""
-    for items in item_blocks(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch, lo, hi, data, off in text_slices(batches):
-                keep = np.ones(hi - lo, bool)
-                keep[[f[0] for f in items.overlaps(*plain_words(data, off))]] = False
-                yield batch.slice(lo, hi - lo).filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """The rows of ``docs`` that overlap no item; all columns stay, and up to ``BROADCAST_TEXTS`` of other texts nothing is shuffled."""
+    key = "lost" + "_" * max(map(len, docs.columns))  # a name that no column has
+    lost = stage(_overlaps(docs, benchmark)[1].select(F.col("text_key").alias(key)).distinct(), "lost")
+    side = F.broadcast(lost) if lost.count() <= BROADCAST_TEXTS else lost
+    return docs.join(side, F.md5(F.col("text").cast("string")) == F.col(key), "left_anti")

@@ -15,7 +15,6 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -215,12 +214,27 @@ def test_overlaps(spark, odd, none):
     assert decontam.contaminated(none, bench).count() == 0 and decontam.contaminated(frame, bench.limit(0)).count() == 0
 
 
-def test_overlaps_of_a_benchmark_in_blocks(spark, monkeypatch):
+def test_overlaps_do_not_depend_on_the_filter(spark, monkeypatch):
+    """A filter that is full lets every document into the join and changes nothing."""
     whole = {tuple(r) for r in queries.op9_decontaminate(spark, SF).collect()}
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(decontam, "FILTER_BITS", 10)
     assert {tuple(r) for r in queries.op9_decontaminate(spark, SF).collect()} == whole and whole
 
 
+def test_overlaps_of_a_hot_passage(spark, odd):
+    """Many items share a passage, copies of a text repeat it; items of equal words count as one, null ids and texts stand."""
+    shared = " ".join(f"s{k}" for k in range(15))
+    bench = spark.createDataFrame([*((k, f"{shared} own{k // 2}") for k in range(200)), (None, "a b c d e f g"), (500, None)], "item_id long, text string")
+    docs = [*((d, " x ".join([shared] * 20)) for d in range(50)), (None, shared), (60, "A, b c d e f g"), (61, "s0 s1 s2"), (62, None), (62, shared), (62, shared)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' AS text_key", "1 AS lost", "2 AS item_id")
+    got = [(r["doc_id"], r["item_id"], r["matched"], r["start_word"]) for r in decontam.contaminated(frame, bench).collect()]
+    expected = [(d, i, 15, 0) for d in (*range(50), None, 62, 62) for i in range(0, 200, 2)] + [(60, None, 7, 0)]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    kept = decontam.decontaminate(frame, bench)
+    assert kept.columns == frame.columns and {(r["doc_id"], r["text"]) for r in kept.collect()} == {(61, "s0 s1 s2"), (62, None)}
+    assert decontam.decontaminate(odd, bench).count() == odd.count()
+
+
 def brute_overlap(doc, item):
     """Whether some diagonal's best segment (+1 / -2, first end, first begin) counts."""
     need = len(item) if len(item) < 6 else min(13, math.ceil(0.75 * len(item)))
@@ -235,19 +249,23 @@ def brute_overlap(doc, item):
     return False
 
 
-def test_overlaps_miss_nothing():
+def test_overlaps_miss_nothing(spark):
     """Each way to substitute words of a short item, and random ways for longer ones, against the rule itself."""
     rng = random.Random(4)
+    bench, docs, expected = [], [], set()
     for size in (*range(1, 16), 17, 18, 20, 25, 40):
-        item = [f"a{k}" for k in range(size)]
-        items = decontam.Items([size], [" ".join(item)])
+        item = [f"a{size}z{k}" for k in range(size)]
+        bench.append((size, " ".join(item)))
         ways = [gone for n in range(3) for gone in itertools.combinations(range(size), n)] if size < 16 else []
         ways += [rng.sample(range(size), rng.randint(0, size // 2)) for _ in range(300)]
         ways += [[*range(0, size, 3)], [*range(2, size, 3)], [k for k in range(2, size - 3, 3)], [*range(0, size - 13)], [*range(13, size)]]
-        docs = [["x", *("y" if k in gone else w for k, w in enumerate(item)), "z"] for gone in ways]
-        data, off = decontam.column_bytes(pa.array([" ".join(d) for d in docs]))
-        got = {f[0] for f in items.overlaps(*decontam.plain_words(data, off))}
-        assert got == {k for k, d in enumerate(docs) if brute_overlap(d, item)}, size
+        for gone in ways:
+            doc = ["x", *("y" if k in gone else w for k, w in enumerate(item)), "z"]
+            if brute_overlap(doc, item):
+                expected.add((len(docs), size))
+            docs.append((len(docs), " ".join(doc)))
+    frame, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame, items).collect()} == expected
 
 
 def test_overlaps_of_short_items_and_of_scripts_without_spaces(spark):
