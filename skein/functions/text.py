@@ -54,3 +54,9 @@ def inject_token(url: Column, token: Column) -> Column:
 def tool_group(name: Column) -> Column:
     """memory, repo, job or other, by prefix."""
     return F.when(name.startswith("memory_"), "memory").when(name.startswith("repo_"), "repo").when(name.startswith("job_"), "job").otherwise("other")
+
+
+def isoformat(column: Column) -> Column:
+    """A time as ISO 8601; the fraction has six digits and is left out where it is zero."""
+    whole = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_format(column, "SSSSSS") == "000000", whole).otherwise(F.concat(whole, F.date_format(column, ".SSSSSS")))

@@ -79,3 +79,56 @@ def not_configured(remote: DataFrame, repos: DataFrame, first_slash: bool = Fals
     """Remote rows whose slug is no configured name; the slug replaces every slash or only the first."""
     name = (text.first_slash_slug if first_slash else text.slug)(F.col("full_name"))
     return remote.withColumn("_slug", name).join(repos.select(F.col("name").alias("_name")), F.col("_slug") == F.col("_name"), "left_anti").drop("_slug")
+
+
+def rename(configured: DataFrame, old: str, new: str) -> DataFrame:
+    """The configuration with one repository under another name; what the catalogue and the chunks hold of the old one is orphaned."""
+    return configured.withColumn("name", F.when(F.col("name") == old, new).otherwise(F.col("name")))
+
+
+def starred(rows: DataFrame, words: str, limit: int = 30) -> DataFrame:
+    """A hosted search: most stars first, each row with the number of all rows found."""
+    needle = words.strip().lower()
+    found = rows.filter(F.contains(F.lower("full_name"), F.lit(needle))) if needle else rows
+    total = found.agg(F.count(F.lit(1)).alias("total_count"))
+    return found.orderBy(F.desc("stars"), "id").limit(limit).join(F.broadcast(total))
+
+
+def active(rows: DataFrame, words: str = "", limit: int = 50) -> DataFrame:
+    """A hosted listing by last activity."""
+    needle = words.strip().lower()
+    found = rows.filter(F.contains(F.lower("full_name"), F.lit(needle))) if needle else rows
+    return found.orderBy(F.desc("last_activity_at"), "id").limit(limit)
+
+
+def project(rows: DataFrame, full_name: str) -> DataFrame:
+    """One project by its path, with the path as an address takes it."""
+    return rows.filter(F.col("full_name") == full_name).withColumn("encoded", F.url_encode("full_name"))
+
+
+def flag(rows: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """Rows with ``selected``: whether their key is among the chosen."""
+    marks = chosen.select(F.col(key).alias("_chosen")).distinct()
+    return rows.join(marks, F.col(key) == F.col("_chosen"), "left").withColumn("selected", F.col("_chosen").isNotNull()).drop("_chosen")
+
+
+def apply_states(repos: DataFrame, transitions: DataFrame) -> DataFrame:
+    """The catalogue after its latest transitions (repo_name, at, seq, status, total_chunks, error_message).
+
+    Only ``indexed`` sets the number of chunks and the time; an error keeps both; every other state clears the message.
+    """
+    done = F.col("status") == "indexed"
+    last = transitions.groupBy(F.col("repo_name").alias("_repo")).agg(
+        F.max(F.struct("at", "seq", "status", "error_message")).alias("_s"), F.max(F.when(done, F.struct("at", "seq", "total_chunks"))).alias("_i")
+    )
+    both = repos.join(last, F.col("name") == F.col("_repo"), "left")
+    return both.select(
+        "name", F.coalesce("_s.status", "status").alias("status"), F.coalesce("_i.total_chunks", "total_chunks").alias("total_chunks"),
+        F.col("_i.at").alias("last_indexed_at"), F.when(F.col("_s.status") == "error", F.col("_s.error_message")).alias("error_message"),
+    )
+
+
+def with_tokens(repos: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Repositories of a configuration file take the token of their type where they have none; others keep what they have."""
+    given = tokens.select(F.col("type").alias("_type"), F.col("token").alias("_token"))
+    return repos.join(F.broadcast(given), F.col("type") == F.col("_type"), "left").withColumn("token", F.coalesce(F.nullif("token", F.lit("")), "_token")).drop("_type", "_token")

@@ -59,3 +59,44 @@ def resolve(queue: DataFrame, repos: DataFrame) -> DataFrame:
 
 def live_sessions(sessions: DataFrame, now: Column) -> DataFrame:
     return sessions.filter(F.col("expires_at") > now)
+
+
+def create(requests: DataFrame, now: Column) -> DataFrame:
+    """New jobs (tool, params) with an id of their own, pending."""
+    return requests.select(F.uuid().alias("job_id"), "tool", F.lit("pending").alias("status"), "params", now.alias("created_at"))
+
+
+def advance(jobs: DataFrame, changes: DataFrame) -> DataFrame:
+    """The log with further transitions; jobs that it does not know are left out, as an update finds no row for them."""
+    return jobs.unionByName(changes.join(jobs.select("job_id").distinct(), "job_id", "left_semi"), allowMissingColumns=True)
+
+
+def read(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(job_id, view, message, result) for each id asked for; the result is decoded only of jobs that are done."""
+    state = latest(jobs)
+    found = result_view(state).join(state.select("job_id", F.try_parse_json("params").alias("decoded")), "job_id").withColumn("result", F.when(F.col("view") == "done", F.col("decoded")))
+    known = wanted.select("job_id").distinct().join(found, "job_id", "left")
+    return known.select("job_id", F.coalesce("view", F.lit("not_found")).alias("view"), F.when(F.col("view").isNull(), "job not found").otherwise(F.col("message")).alias("message"), "result")
+
+
+def enqueue(queue: DataFrame, requests: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """The queue with further requests; with a catalogue, those for unknown repositories are refused (null asks for all)."""
+    if repos is not None:
+        names = repos.select(F.col("name").alias("repo_name"))
+        requests = requests.join(names, "repo_name", "left_semi").unionByName(requests.filter("repo_name is null"))
+    return queue.unionByName(requests, allowMissingColumns=True)
+
+
+def open_sessions(sessions: DataFrame, tokens: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """Sessions of tokens (token, user_id) are added under their digest; those that ended are purged."""
+    fresh = tokens.select(F.sha2("token", 256).alias("token_hash"), "user_id", (now + F.expr(f"INTERVAL '{hours}' HOUR")).alias("expires_at"))
+    return live_sessions(sessions, now).unionByName(fresh)
+
+
+def close_sessions(sessions: DataFrame, tokens: DataFrame) -> DataFrame:
+    return sessions.join(tokens.select(F.sha2("token", 256).alias("token_hash")), "token_hash", "left_anti")
+
+
+def of_users(sessions: DataFrame, users: DataFrame) -> DataFrame:
+    """Sessions go with their user."""
+    return sessions.join(users.select("user_id"), "user_id", "left_semi")

@@ -107,3 +107,13 @@ def related_edges(edges: DataFrame, results: DataFrame, limit: int = 10) -> Data
     names = results.select(F.col("repo_name").alias("_repo")).distinct()
     kept = edges.join(F.broadcast(names) if names.count() <= 100_000 else names, (F.col("repo_a") == F.col("_repo")) | (F.col("repo_b") == F.col("_repo")), "left_semi")
     return kept.orderBy(F.desc_nulls_last("similarity"), "repo_a", "repo_b").limit(limit)
+
+
+def unified(words: str, groups: DataFrame, memories: DataFrame, jobs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, place, key, score): four result lists as one; blank words give none.
+
+    Each list comes with (place, key, score) and keeps its own order.
+    """
+    parts = [d.select(F.lit(kind).alias("kind"), F.col("place").cast("int").alias("place"), "key", F.col("score").cast("double").alias("score")) for kind, d in (("repo", groups), ("memory", memories), ("job", jobs), ("edge", edges))]
+    out = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    return out if words.strip() else out.limit(0)

@@ -30,3 +30,9 @@ def type_shares(counts: DataFrame, repos: DataFrame) -> DataFrame:
 def repo_totals(repos: DataFrame) -> DataFrame:
     """Totals over all repositories: chunks, indexed ones, remote ones."""
     return repos.agg(F.sum("total_chunks").cast("long").alias("total_chunks"), F.count_if(F.col("status") == "indexed").alias("indexed"), F.count_if(F.col("type") != "local").alias("remote"))
+
+
+def progress(chunks: DataFrame, batch: int = 20) -> DataFrame:
+    """(repo_name, files, chunks, batches): what an indexing run counts, and how many calls embed it."""
+    n = F.count(F.lit(1))
+    return chunks.groupBy("repo_name").agg(F.count_distinct("doc_id").alias("files"), n.alias("chunks"), F.ceil(n / batch).alias("batches"))

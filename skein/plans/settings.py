@@ -16,3 +16,40 @@ def overrides(current: DataFrame, defaults: DataFrame) -> DataFrame:
     """The keys whose value differs from the default, null-safe."""
     both = current.alias("c").join(defaults.alias("d"), "key", "left")
     return both.filter(~F.col("c.value").eqNullSafe(F.col("d.value"))).select("key", F.col("c.value").alias("value"), F.col("d.value").alias("default_value"))
+
+
+def decode(rows: DataFrame) -> DataFrame:
+    """(id, key, value) of settings kept as a JSON object of strings; null and broken ones have none."""
+    return rows.select("id", F.explode(F.from_json("settings", "map<string,string>")).alias("key", "value"))
+
+
+def encode(pairs: DataFrame) -> DataFrame:
+    """(id, settings): one JSON object for each id, keys in order."""
+    return pairs.groupBy("id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))).alias("settings"))
+
+
+def put(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """(id, settings) after an upsert by id; an empty object falls back to what is in effect, and rows are kept raw, not merged."""
+    old, new = stored.alias("o"), changes.alias("n")
+    given = F.when(F.size(F.from_json("n.settings", "map<string,string>")) > 0, F.col("n.settings"))
+    return old.join(new, "id", "full_outer").select("id", F.coalesce(given, "o.settings", "n.settings").alias("settings"))
+
+
+def effective(current: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(key, value, changed): the settings in effect under overrides; a null override is skipped, and without one the value stays."""
+    both = current.alias("c").join(overrides.alias("o"), "key", "left")
+    value = F.coalesce("o.value", "c.value")
+    return both.select("key", value.alias("value"), (~value.eqNullSafe(F.col("c.value"))).alias("changed"))
+
+
+def consequences(merged: DataFrame) -> DataFrame:
+    """(requires_reindex, requires_vector_reset) of settings that changed."""
+    moved = F.collect_set(F.when(F.col("changed"), F.col("key")))
+    model = F.arrays_overlap(moved, F.array(*map(F.lit, ("embeddings_provider", "embeddings_model", "embeddings_dims"))))
+    return merged.filter(F.col("key").startswith("embeddings_")).agg(model.alias("requires_reindex"), F.array_contains(moved, "embeddings_dims").alias("requires_vector_reset"))
+
+
+def setup_mode(has_admin: DataFrame, has_config: DataFrame) -> DataFrame:
+    """(mode): configured with both an administrator and a configuration, admin with the latter only, else full."""
+    admin, config = (d.agg((F.count(F.lit(1)) > 0).alias(n)) for d, n in ((has_admin, "admin"), (has_config, "config")))
+    return admin.join(F.broadcast(config)).select(F.when(F.col("admin") & F.col("config"), "configured").when(F.col("config"), "admin").otherwise("full").alias("mode"))

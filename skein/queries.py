@@ -7,7 +7,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import globs, paths, text, vectors
@@ -653,3 +653,193 @@ def queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     handled: list[str] = []
     queue.consume(spark, f"{base}/requests", f"{base}/acknowledged", store(spark, sf_dir, "repos").select("name"), handled.append).awaitTermination()
     return spark.createDataFrame([(k + 1, name) for k, name in enumerate(handled)], "place int, name string")
+
+
+# --- state of jobs, sessions, repositories and settings --------------------------------------------------------------
+
+_CHANGES = "SELECT -event_id AS event_id, job_id, tool, 'done' AS status, NULL AS error_message, params, created_at + INTERVAL 90 DAY AS created_at, user_id FROM jobs WHERE status = 'error' AND event_id % 2 = 0"
+
+
+@query("job_update", f"{_J}, log AS (SELECT * FROM jobs UNION ALL BY NAME {_CHANGES}) {_LATEST.replace('FROM jobs', 'FROM log')}")
+def job_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed jobs end after all."""
+    rows = store(spark, sf_dir, "jobs")
+    done = rows.filter("status = 'error' and event_id % 2 = 0").withColumns({"event_id": -F.col("event_id"), "status": F.lit("done"), "error_message": F.lit(None).cast("string"), "created_at": F.expr("created_at + INTERVAL '90' DAY")})
+    unknown = done.withColumn("job_id", F.concat(F.lit("no-"), "job_id"))
+    return jobs.latest(jobs.advance(rows, done.union(unknown)))
+
+
+@query(
+    "job_read",
+    f"""{_J}, w AS (SELECT DISTINCT 'job-' || (user_id * 2) AS job_id FROM jobs), l AS ({_LATEST})
+      SELECT w.job_id, CASE WHEN l.job_id IS NULL THEN 'not_found' WHEN status IN ('pending', 'running') THEN 'not_ready' WHEN status = 'error' THEN 'error' ELSE 'done' END AS view,
+        CASE WHEN l.job_id IS NULL THEN 'job not found' WHEN status = 'error' THEN coalesce(error_message, 'unknown error') END AS message,
+        CASE WHEN status NOT IN ('pending', 'running', 'error') THEN json_extract_string(params, '$.k') END AS k FROM w LEFT JOIN l USING (job_id)""",
+)
+def job_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store(spark, sf_dir, "jobs")
+    wanted = rows.select(F.concat(F.lit("job-"), (F.col("user_id") * 2).cast("string")).alias("job_id"))
+    return jobs.read(rows, wanted).select("job_id", "view", "message", F.try_variant_get("result", "$.k", "string").alias("k"))
+
+
+@query("jobs_created", "SELECT 'http' AS tool, 'pending' AS status, props AS params, 36 AS id_chars, ts AS created_at FROM events WHERE event_type = 'view'")
+def jobs_created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "events").filter("event_type = 'view'").select(F.lit("http").alias("tool"), F.col("props").alias("params"), "ts")
+    return jobs.create(asked, F.col("ts")).select("tool", "status", "params", F.length("job_id").alias("id_chars"), "created_at")
+
+
+@query("job_times", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END AS iso FROM events")
+def job_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", text.isoformat(F.col("ts")).alias("iso"))
+
+
+_ASKED = "SELECT -event_id AS id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE 'src' || (user_id % 40) END AS repo_name, ts AS requested_at FROM events WHERE event_type = 'click'"
+
+
+@query(
+    "queue_enqueue",
+    f"{adapters.cte('queue', 'repos')}, asked AS ({_ASKED}) SELECT id, repo_name, requested_at, processed_at FROM queue UNION ALL SELECT id, repo_name, requested_at, NULL FROM asked WHERE repo_name IS NULL OR repo_name IN (SELECT name FROM repos)",
+)
+def queue_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.sql(_ASKED.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    return jobs.enqueue(store(spark, sf_dir, "queue"), asked, store(spark, sf_dir, "repos"))
+
+
+@query(
+    "session_lifecycle",
+    """WITH s AS (SELECT sha256(CAST(event_id AS VARCHAR)) AS token_hash, user_id, ts + INTERVAL 24 HOUR AS expires_at FROM events), n AS (SELECT max(ts) AS t FROM events),
+      o AS (SELECT token_hash, user_id, expires_at FROM s, n WHERE expires_at > t UNION ALL SELECT sha256('new-' || event_id), user_id, t + INTERVAL 24 HOUR FROM events, n WHERE event_type = 'signup')
+      SELECT token_hash, user_id, expires_at FROM o WHERE token_hash NOT IN (SELECT sha256('new-' || event_id) FROM events WHERE event_id % 2 = 0) AND user_id IN (SELECT user_id FROM events WHERE event_id % 3 = 0)""",
+)
+def session_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions are opened, purged and closed; those of users that are gone go too."""
+    events = table(spark, sf_dir, "events")
+    sessions = events.select(F.sha2(F.col("event_id").cast("string"), 256).alias("token_hash"), "user_id", F.expr("ts + INTERVAL '24' HOUR").alias("expires_at"))
+    token = F.concat(F.lit("new-"), F.col("event_id").cast("string")).alias("token")
+    now = F.lit(events.agg(F.max("ts")).first()[0]).cast(events.schema["ts"].dataType)
+    opened = jobs.open_sessions(sessions, events.filter("event_type = 'signup'").select(token, "user_id"), now)
+    closed = jobs.close_sessions(opened, events.filter("event_id % 2 = 0").select(token))
+    return jobs.of_users(closed, events.filter("event_id % 3 = 0").select("user_id").distinct()).select("token_hash", "user_id", "expires_at")
+
+
+_STATES = """
+select concat('src', cast(user_id % 25 as varchar(10))) as repo_name, ts as at, event_id as seq,
+  case event_type when 'signup' then 'pending' when 'view' then 'indexing' when 'error' then 'error' else 'indexed' end as status,
+  case when event_type not in ('signup', 'view', 'error') then event_id % 500 end as total_chunks,
+  case when event_type = 'error' then concat('clone failed ', cast(event_id as varchar(20))) end as error_message from events
+"""
+
+
+@query(
+    "repo_states",
+    f"""{_R}, t AS ({_STATES}), l AS (SELECT repo_name, arg_max({{'s': status, 'e': error_message}}, {{'at': t.at, 'seq': t.seq}}) AS s FROM t GROUP BY repo_name),
+      i AS (SELECT repo_name, arg_max(total_chunks, {{'at': t.at, 'seq': t.seq}}) AS n, max(t.at) AS last_at FROM t WHERE status = 'indexed' GROUP BY repo_name)
+      SELECT name, coalesce(l.s.s, status) AS status, coalesce(i.n, total_chunks) AS total_chunks, i.last_at AS last_indexed_at, CASE WHEN l.s.s = 'error' THEN l.s.e END AS error_message
+      FROM repos LEFT JOIN l ON name = l.repo_name LEFT JOIN i ON name = i.repo_name""",
+)
+def repo_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = spark.sql(_STATES.replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+    return catalog.apply_states(store(spark, sf_dir, "repos"), log)
+
+
+@query(
+    "repo_rename",
+    f"""{_R} SELECT name, status, false AS orphaned FROM repos WHERE name <> 'src3' UNION ALL SELECT 'renamed', 'pending', false FROM repos WHERE name = 'src3' UNION ALL SELECT name, status, true FROM repos WHERE name = 'src3'""",
+)
+def repo_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new name is a new row; the old one stays behind without a configuration."""
+    repos = store(spark, sf_dir, "repos")
+    configured = catalog.rename(repos.select("name", "type"), "src3", "renamed")
+    after = catalog.upsert(repos, configured)
+    return catalog.flag(after, configured, "name").select("name", "status", (~F.col("selected")).alias("orphaned"))
+
+
+@query("repo_tokens", f"{_R} SELECT name, type, CASE WHEN total_chunks % 2 = 0 THEN 'own' WHEN type = 'github' THEN 'gh' WHEN type = 'gitlab' THEN 'gl' END AS token FROM repos")
+def repo_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repos = store(spark, sf_dir, "repos").select("name", "type", F.when(F.col("total_chunks") % 2 == 0, "own").otherwise("").alias("token"))
+    return catalog.with_tokens(repos, spark.createDataFrame([("github", "gh"), ("gitlab", "gl")], "type string, token string"))
+
+
+_HOSTED = "id, full_name, id % 97 AS stars, id * 7919 % 10007 AS last_activity_at"
+
+
+@query("remote_starred", f"{_M}, f AS (SELECT {_HOSTED} FROM remote WHERE contains(lower(full_name), '1')) SELECT id, full_name, stars, (SELECT count(*) FROM f) AS total_count FROM f ORDER BY stars DESC, id LIMIT 30")
+def remote_starred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store(spark, sf_dir, "remote").selectExpr(*_HOSTED.split(", "))
+    return catalog.starred(rows, " 1 ").select("id", "full_name", "stars", "total_count")
+
+
+@query("remote_active", f"{_M} SELECT id, full_name, last_activity_at FROM (SELECT {_HOSTED} FROM remote) ORDER BY last_activity_at DESC, id LIMIT 50")
+def remote_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.active(store(spark, sf_dir, "remote").selectExpr(*_HOSTED.split(", "))).drop("stars")
+
+
+@query("remote_project", f"{_M} SELECT id, full_name, replace(full_name, '/', '%2F') AS encoded FROM remote WHERE full_name = (SELECT min(full_name) FROM remote)")
+def remote_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store(spark, sf_dir, "remote")
+    return catalog.project(rows, rows.agg(F.min("full_name")).first()[0]).select("id", "full_name", "encoded")
+
+
+@query("remote_selected", f"{_M} SELECT id, full_name, full_name IN (SELECT full_name FROM remote WHERE id % 4 = 1) AS selected FROM remote")
+def remote_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store(spark, sf_dir, "remote").select("id", "full_name")
+    return catalog.flag(rows, rows.filter("id % 4 = 1"), "full_name")
+
+
+@query("index_progress", f"{_CHUNKS} SELECT repo_name, count(DISTINCT doc_id) AS files, count(*) AS chunks, CAST(ceil(count(*) / 20) AS BIGINT) AS batches FROM chunks GROUP BY repo_name")
+def index_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.progress(_chunks(spark, sf_dir))
+
+
+_KEPT_SETTINGS = [(1, '{"model":"small","dims":"8"}'), (2, '{"model":"large"}'), (3, None)]
+_NEW_SETTINGS = [(1, '{"dims":"16"}'), (2, "{}"), (4, '{"key":"k"}')]
+_AFTER = [(1, "dims", "16"), (2, "model", "large"), (4, "key", "k")]
+
+
+@query("settings_put", "SELECT * FROM (VALUES " + ", ".join(map(repr, _AFTER)) + ") t(id, key, value)")
+def settings_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request is stored as it is, an empty one falls back; read back from JSON."""
+    kept, new = (spark.createDataFrame(r, "id int, settings string") for r in (_KEPT_SETTINGS, _NEW_SETTINGS))
+    once = settings.put(kept, new)
+    return settings.decode(settings.encode(settings.decode(once)))
+
+
+_NOW = [("embeddings_model", "small", "large"), ("embeddings_dims", "1536", None), ("key", "k1", "k2"), ("base_url", None, None)]
+
+
+@query("settings_effective", "SELECT * FROM (VALUES ('embeddings_model', 'large', true, true, false), ('embeddings_dims', '1536', false, true, false), ('key', 'k2', true, true, false), ('base_url', NULL, false, true, false)) t(key, value, changed, requires_reindex, requires_vector_reset)")
+def settings_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(_NOW, "key string, value string, o string")
+    merged = settings.effective(rows.select("key", "value"), rows.select("key", F.col("o").alias("value")))
+    return merged.join(F.broadcast(settings.consequences(merged)))
+
+
+@query("setup_modes", "SELECT * FROM (VALUES ('both', 'configured'), ('config only', 'admin'), ('admin only', 'full'), ('none', 'full')) t(state, mode)")
+def setup_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some, none = spark.range(1), spark.range(0)
+    cases = {"both": (some, some), "config only": (none, some), "admin only": (some, none), "none": (none, none)}
+    parts = [settings.setup_mode(*pair).select(F.lit(name).alias("state"), "mode") for name, pair in cases.items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(
+    "unified_search",
+    f"""SELECT 'repo' AS kind, CAST(row_number() OVER (ORDER BY group_size DESC, best DESC, repo_name, rank) AS INT) AS place, repo_name || ' ' || vec_id AS key, score
+        FROM (SELECT *, max(score) OVER (PARTITION BY repo_name) AS best FROM ({ORACLE["unified_groups"]}))
+      UNION ALL SELECT 'memory', CAST(row_number() OVER (ORDER BY score DESC, memory_id) AS INT), memory_id, score FROM ({ORACLE["memory_search"]})
+      UNION ALL SELECT 'job', CAST(row_number() OVER (ORDER BY job_id) AS INT), job_id, NULL FROM ({ORACLE["job_search"]})
+      UNION ALL SELECT 'edge', CAST(row_number() OVER (ORDER BY similarity DESC, repo_a, repo_b) AS INT), repo_a || ' ' || repo_b, similarity FROM ({ORACLE["related_edges_for_results"]})""",
+)
+def unified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of chunks, memories, jobs and related repositories as one result."""
+
+    def placed(rows: DataFrame, key: list[str], score: str | None, *order: object) -> DataFrame:
+        place = F.row_number().over(Window.orderBy(*order))  # a bounded list: every part ends in a limit
+        return rows.select(place.alias("place"), F.concat_ws(" ", *[F.col(c).cast("string") for c in key]).alias("key"), (F.col(score) if score else F.lit(None)).alias("score"))
+
+    groups = unified_groups(spark, sf_dir).withColumn("best", F.max("score").over(Window.partitionBy("repo_name")))
+    return search.unified(
+        " 50 ", placed(groups, ["repo_name", "vec_id"], "score", F.desc("group_size"), F.desc("best"), "repo_name", "rank"),
+        placed(memory_search(spark, sf_dir), ["memory_id"], "score", F.desc("score"), "memory_id"), placed(job_search(spark, sf_dir), ["job_id"], None, "job_id"),
+        placed(related_edges_for_results(spark, sf_dir), ["repo_a", "repo_b"], "similarity", F.desc("similarity"), "repo_a", "repo_b"),
+    )

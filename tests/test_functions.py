@@ -153,3 +153,23 @@ def test_syntax():
 def test_job_search(spark):
     rows = spark.createDataFrame([("job-1", "http", "done", None), ("job-2", "index", "error", "HTTP 503")], "job_id string, tool string, status string, error_message string")
     assert rows.filter(jobs.matches(" 503 ")).count() == 1 and rows.filter(jobs.matches("  ")).count() == 2
+
+
+def test_states_keep_what_a_transition_does_not_set(spark):
+    repos = spark.createDataFrame([("a", "pending", 3), ("b", "pending", 0), ("c", "indexed", 5)], "name string, status string, total_chunks long")
+    log = [("a", 1, 1, "indexed", 9, None), ("a", 2, 2, "error", None, "no"), ("b", 1, 1, "error", None, "no"), ("b", 1, 2, "indexing", None, None)]
+    got = catalog.apply_states(repos, spark.createDataFrame(log, "repo_name string, at int, seq int, status string, total_chunks long, error_message string"))
+    assert {tuple(r) for r in got.collect()} == {("a", "error", 9, 1, "no"), ("b", "indexing", 0, None, None), ("c", "indexed", 5, None, None)}
+
+
+def test_blank_words_search_nothing(spark):
+    rows = spark.createDataFrame([(1, "k", 0.5)], "place int, key string, score double")
+    assert search.unified("x", rows, rows, rows, rows).count() == 4 and search.unified(" \t", rows, rows, rows, rows).count() == 0
+
+
+def test_requests_for_unknown_repositories(spark):
+    queue = spark.createDataFrame([(1, "a", None)], "id long, repo_name string, processed_at string")
+    asked, repos = spark.createDataFrame([(2, "a"), (3, "no"), (4, None)], "id long, repo_name string"), spark.createDataFrame([("a",)], "name string")
+    assert sorted(r["id"] for r in jobs.enqueue(queue, asked, repos).collect()) == [1, 2, 4]
+    assert sorted(r["id"] for r in jobs.enqueue(queue, asked).collect()) == [1, 2, 3, 4]
+    assert sorted(r["id"] for r in jobs.enqueue(queue, asked, repos.limit(0)).collect()) == [1, 4]
