@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, fingerprint, html_extract, language_id, lm_score, near_dedup, packing, suffix_dedup, toxicity
+from . import chat_format, decontam, filter_audit, fingerprint, hamming_index, html_extract, language_id, lm_score, near_dedup, packing, spelling, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -111,3 +111,41 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_html_extract"] = op10_html_extract
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("filter")
+
+
+QUERIES["op11_filter_audit"] = op11_filter_audit
+ORACLE["op11_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^ \t\n\x0B\f\r]+') AS ws FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b,
+        100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, coalesce(w.doc_id > first_id, false) AS e FROM w LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, good, toxic, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS bits, count(*) AS n FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS s, unnest([1, 2, 4, 8, 16]) AS v),
+o AS (SELECT p.s || q.s || r.s || t.s || u.s AS filter_order, [p.v, q.v, r.v, t.v, u.v] AS vs FROM x p, x q, x r, x t, x u WHERE p.v + q.v + r.v + t.v + u.v = 31 AND (p.v | q.v | r.v | t.v | u.v) = 31),
+z AS (SELECT filter_order, step, vs[step] AS f, coalesce(list_sum(vs[1:step - 1]), 0)::INT AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+y AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER ((bits & (before | f)) = 0), 0) AS kept, coalesce(sum(n) FILTER ((bits & before) = 0 AND (bits & f) > 0), 0) AS removed,
+        coalesce(sum(n) FILTER ((bits & before) > 0 AND (bits & f) > 0), 0) AS redundant, coalesce(sum(n) FILTER (bits = f), 0) AS unique_fails,
+        coalesce(sum(n) FILTER ((bits & before) = 0 AND (bits & f) > 0 AND good), 0) AS good_lost, coalesce(sum(n) FILTER ((bits & before) = 0 AND (bits & f) > 0 AND toxic), 0) AS toxic_lost
+      FROM m, z GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM y
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_spelling_variants"] = op12_spelling_variants
+
+
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_index.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+QUERIES["op13_nearest_vectors"] = op13_nearest_vectors
