@@ -84,9 +84,9 @@ def with_embeddings(chunks: DataFrame, make_client: Callable[[], Client], conten
 
 
 def hashed_columns(texts: DataFrame, key: str, content: str, dims: int = 16) -> DataFrame:
-    """(key, embedding) by built-in expressions only: words counted in places given by their MD5."""
-    words = texts.select(key, F.explode(F.filter(F.split(F.lower(content), r"\s+"), lambda w: w != "")).alias("word"))
+    """(key, embedding) by built-in expressions only: words counted in places given by their MD5; without a word all are 0."""
+    words = texts.select(key, F.explode_outer(F.filter(F.split(F.lower(content), r"\s+"), lambda w: w != "")).alias("word"))
     place = F.conv(F.substring(F.md5("word"), 1, 2), 16, 10).cast("int") % dims
     counts = words.groupBy(key, place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
-    cells = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"))
+    cells = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "n")))).alias("m"))
     return cells.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0)).cast("double")).alias("embedding"))

@@ -15,10 +15,12 @@ def listing(memories: DataFrame, user_id: str = "default", limit: int = 20) -> D
     return memories.filter(F.col("user_id") == user_id).orderBy("memory_id").limit(limit)
 
 
-def search(memories: DataFrame, query: Sequence[float], user_id: str = "default", k: int = 10) -> DataFrame:
-    """The memories of a user that are nearest to a vector."""
-    sim = vectors.cosine_to(F.col("embedding"), query)
-    return memories.filter(F.col("user_id") == user_id).withColumn("score", F.round(sim, 4)).orderBy(F.desc_nulls_last("score"), "memory_id").limit(k).drop("embedding")
+def search(memories: DataFrame, query: Sequence[float] | None, user_id: str = "default", k: int = 10) -> DataFrame:
+    """The memories of a user that are nearest to a vector, ranked before the score is rounded; no vector finds none."""
+    own = memories.filter(F.col("user_id") == user_id)
+    sim = F.lit(None).cast("double") if query is None else vectors.cosine_to(F.col("embedding"), query)
+    best = own.withColumn("_similarity", sim).orderBy(F.desc_nulls_last("_similarity"), "memory_id").limit(k if query is not None else 0)
+    return best.withColumn("score", F.round("_similarity", 4)).drop("embedding", "_similarity")
 
 
 def add(memories: DataFrame, rows: DataFrame) -> DataFrame:

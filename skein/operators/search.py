@@ -22,14 +22,16 @@ def in_repos(column: Column, repos: Sequence[str] | None) -> Column:
     return column.isin(*repos) if repos else F.lit(True)
 
 
-def top_k(chunks: DataFrame, query: Sequence[float], k: int = 10, repos: Sequence[str] | None = None, keys: Sequence[str] = ("vec_id",), vector: str = "embedding") -> DataFrame:
-    """The k rows most similar to a vector, with score to four places; rows without a similarity come last.
+def top_k(chunks: DataFrame, query: Sequence[float] | None, k: int = 10, repos: Sequence[str] | None = None, keys: Sequence[str] = ("vec_id",), vector: str = "embedding", exact: bool = False) -> DataFrame:
+    """The k rows most similar to a vector, with score to four places; rows without a similarity come last, and no vector finds none.
 
-    Only keys and similarity are sorted; the winners' other columns are joined back.
+    Only keys and similarity are sorted; the winners' other columns are joined back.  ``exact`` keeps the similarity.
     """
     if k <= 0:
         raise ValueError("k has to be positive")
     found = chunks.filter(in_repos(F.col("repo_name"), repos))
+    if query is None:
+        return found.limit(0).withColumn("score", F.lit(None).cast("double")).drop(vector).select("*", *[F.col("score").alias("similarity")] * exact)
     sim = vectors.cosine_to(F.col(vector), query)
     order = [F.desc_nulls_last("similarity"), *keys]
     narrow = set(found.columns) <= {*keys, "repo_name", vector}
@@ -39,7 +41,7 @@ def top_k(chunks: DataFrame, query: Sequence[float], k: int = 10, repos: Sequenc
         best = ranked.select(*[F.col(c).alias(f"_{c}") for c in keys]).distinct()
         wide = found.join(F.broadcast(best), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], "left_semi")
         ranked = wide.withColumn("similarity", sim).orderBy(*order).limit(k)
-    return ranked.withColumn("score", F.round("similarity", 4)).select(*[c for c in found.columns if c != vector], "score")
+    return ranked.withColumn("score", F.round("similarity", 4)).select(*[c for c in found.columns if c != vector], "score", *["similarity"] * exact)
 
 
 def _first_k(k: int, key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,18 +96,19 @@ def relationships(chunks: DataFrame, limit: int = 20, repo: str | None = None, v
 
 
 def group_results(results: DataFrame, per_group: int = 4) -> DataFrame:
-    """Results (repo_name, score, vec_id) in groups: largest group first, ties by best rank; the best few of each."""
-    rank = F.row_number().over(Window.partitionBy("repo_name").orderBy(F.desc("score"), "vec_id"))
+    """Results (repo_name, score, similarity, vec_id) in groups: largest group first, ties by the best similarity; the best few of each."""
+    rank = F.row_number().over(Window.partitionBy("repo_name").orderBy(F.desc_nulls_last("similarity"), "vec_id"))
     size = F.count(F.lit(1)).over(Window.partitionBy("repo_name"))
-    best = F.max("score").over(Window.partitionBy("repo_name"))
+    best = F.max("similarity").over(Window.partitionBy("repo_name"))
     grouped = results.withColumn("rank", rank).withColumn("group_size", size).withColumn("_best", best).filter(F.col("rank") <= per_group)
-    return grouped.orderBy(F.desc("group_size"), F.desc("_best"), "repo_name", "rank").drop("_best")
+    return grouped.orderBy(F.desc("group_size"), F.desc_nulls_last("_best"), "repo_name", "rank").drop("_best", "similarity")
 
 
 def related_edges(edges: DataFrame, results: DataFrame, limit: int = 10) -> DataFrame:
     """Edges with an end among the repositories of the results."""
     names = results.select(F.col("repo_name").alias("_repo")).distinct()
-    kept = edges.join(F.broadcast(names) if names.count() <= 100_000 else names, (F.col("repo_a") == F.col("_repo")) | (F.col("repo_b") == F.col("_repo")), "left_semi")
+    ends = [edges.join(names, F.col(end) == F.col("_repo"), "left_semi") for end in ("repo_a", "repo_b")]
+    kept = ends[0].union(ends[1]).distinct()
     return kept.orderBy(F.desc_nulls_last("similarity"), "repo_a", "repo_b").limit(limit)
 
 

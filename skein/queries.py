@@ -47,8 +47,14 @@ _V = adapters.cte("vectors").replace("embedding from", "CAST(embedding AS DOUBLE
 _Q = ", q AS (SELECT e AS qe FROM vectors WHERE vec_id = 0)"
 
 
-def _query_vector(vectors: DataFrame) -> list[float]:
-    return vectors.filter("vec_id = 0").first()["embedding"]
+def _first(rows: DataFrame, column: str) -> list[float] | None:
+    """One cell, or nothing where there is no row."""
+    found = rows.select(column).first()
+    return found[0] if found else None
+
+
+def _query_vector(vectors: DataFrame) -> list[float] | None:
+    return _first(vectors.filter("vec_id = 0"), "embedding")
 
 
 def _topk_sql(where: str = "") -> str:
@@ -113,16 +119,16 @@ def relationships_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.relationships(store(spark, sf_dir, "vectors"), 20, "repo3")
 
 
-_TOP30 = f"{_V}{_Q}, top AS (SELECT vec_id, repo_name, round(list_cosine_similarity(e, qe), 4) AS score FROM vectors, q ORDER BY list_cosine_similarity(e, qe) DESC NULLS LAST, vec_id LIMIT 30)"
+_TOP30 = f"{_V}{_Q}, top AS (SELECT vec_id, repo_name, round(list_cosine_similarity(e, qe), 4) AS score, list_cosine_similarity(e, qe) AS similarity FROM vectors, q ORDER BY similarity DESC NULLS LAST, vec_id LIMIT 30)"
 
 
 @query(
     "unified_groups",
-    f"{_TOP30} SELECT vec_id, repo_name, score, CAST(rank AS INT) AS rank, group_size FROM (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY score DESC, vec_id) AS rank, count(*) OVER (PARTITION BY repo_name) AS group_size FROM top) WHERE rank <= 4",
+    f"{_TOP30} SELECT vec_id, repo_name, score, CAST(rank AS INT) AS rank, group_size FROM (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY similarity DESC NULLS LAST, vec_id) AS rank, count(*) OVER (PARTITION BY repo_name) AS group_size FROM top) WHERE rank <= 4",
 )
 def unified_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = store(spark, sf_dir, "vectors")
-    return search.group_results(search.top_k(v, _query_vector(v), 30), 4)
+    return search.group_results(search.top_k(v, _query_vector(v), 30, exact=True), 4)
 
 
 @query(
@@ -415,7 +421,7 @@ def job_params_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = store(spark, sf_dir, "jobs")
     now = rows.agg(F.max("created_at")).first()[0]
-    return jobs.stale(rows, F.lit(now), "1 DAY").select("job_id", "status", "updated_at")
+    return jobs.stale(rows, F.lit(now).cast(rows.schema["created_at"].dataType), "1 DAY").select("job_id", "status", "updated_at")
 
 
 @query("queue_pending", f"{adapters.cte('queue')} SELECT * FROM queue WHERE processed_at IS NULL ORDER BY requested_at, id LIMIT 10")
@@ -512,11 +518,11 @@ def override_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
       c AS (SELECT doc_id, CAST('0x' || md5(word)[1:2] AS INT) % 16 AS place, count(*) AS n FROM w GROUP BY ALL),
       v AS (SELECT doc_id, list(n::DOUBLE) AS ns, sum(n * n)::DOUBLE AS nn FROM c GROUP BY doc_id),
       d AS (SELECT a.doc_id, sum(a.n * q.n)::DOUBLE AS dot FROM c a JOIN c q ON a.place = q.place WHERE q.doc_id = 3 GROUP BY a.doc_id)
-      SELECT v.doc_id, round(coalesce(dot, 0) / sqrt(nn * (SELECT nn FROM v WHERE doc_id = 3)), 4) AS score FROM v LEFT JOIN d USING (doc_id) ORDER BY coalesce(dot, 0) / sqrt(nn * (SELECT nn FROM v WHERE doc_id = 3)) DESC, doc_id LIMIT 10""",
+      SELECT documents.doc_id, round(coalesce(dot, 0) / sqrt(nn * (SELECT nn FROM v WHERE doc_id = 3)), 4) AS score FROM documents LEFT JOIN v USING (doc_id) LEFT JOIN d USING (doc_id) ORDER BY coalesce(dot, 0) / sqrt(nn * (SELECT nn FROM v WHERE doc_id = 3)) DESC NULLS LAST, doc_id LIMIT 10""",
 )
 def text_search_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    wanted = embed.hashed_columns(docs.filter("doc_id = 3"), "doc_id", "text").first()["embedding"]
+    wanted = _first(embed.hashed_columns(docs.filter("doc_id = 3"), "doc_id", "text"), "embedding")
     found = embed.hashed_columns(docs, "doc_id", "text").withColumn("repo_name", F.lit(""))
     return search.top_k(found, wanted, 10, keys=("doc_id",)).select("doc_id", "score")
 
@@ -596,13 +602,13 @@ def embed_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
       c AS (SELECT memory_id, user_id, CAST('0x' || md5(word)[1:2] AS INT) % 16 AS place, count(*) AS n FROM w GROUP BY ALL),
       v AS (SELECT memory_id, user_id, sum(n * n)::DOUBLE AS nn FROM c GROUP BY ALL),
       d AS (SELECT a.memory_id, sum(a.n * q.n)::DOUBLE AS dot FROM c a JOIN c q ON a.place = q.place WHERE q.memory_id = '3-1' GROUP BY ALL)
-      SELECT v.memory_id, v.user_id, round(coalesce(dot, 0) / sqrt(nn * (SELECT nn FROM v WHERE memory_id = '3-1')), 4) AS score FROM v LEFT JOIN d USING (memory_id) WHERE v.user_id = 'u3'
-      ORDER BY score DESC, memory_id LIMIT 10""",
+      SELECT m.memory_id, m.user_id, round(coalesce(dot, 0) / sqrt(nn * (SELECT nn FROM v WHERE memory_id = '3-1')), 4) AS score FROM memories m LEFT JOIN v USING (memory_id) LEFT JOIN d ON d.memory_id = m.memory_id WHERE m.user_id = 'u3'
+      ORDER BY coalesce(dot, 0) / sqrt(nn * (SELECT nn FROM v WHERE memory_id = '3-1')) DESC NULLS LAST, m.memory_id LIMIT 10""",
 )
 def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = store(spark, sf_dir, "memories")
     vectors_ = embed.hashed_columns(rows, "memory_id", "memory")
-    wanted = vectors_.filter("memory_id = '3-1'").first()["embedding"]
+    wanted = _first(vectors_.filter("memory_id = '3-1'"), "embedding")
     return memory.search(rows.select("memory_id", "user_id").join(vectors_, "memory_id"), wanted, "u3", 10)
 
 
@@ -843,3 +849,6 @@ def unified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         placed(memory_search(spark, sf_dir), ["memory_id"], "score", F.desc("score"), "memory_id"), placed(job_search(spark, sf_dir), ["job_id"], None, "job_id"),
         placed(related_edges_for_results(spark, sf_dir), ["repo_a", "repo_b"], "similarity", F.desc("similarity"), "repo_a", "repo_b"),
     )
+
+
+from . import queries_streams, queries_vectors  # noqa: E402, F401  more queries register themselves
