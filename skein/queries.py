@@ -851,4 +851,4 @@ def unified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-from . import queries_streams, queries_vectors  # noqa: E402, F401  more queries register themselves
+from . import queries_repos, queries_streams, queries_vectors  # noqa: E402, F401  more queries register themselves
