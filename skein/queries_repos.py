@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .functions import cron
 from .operators import states
-from .queries import _STATES, query, table
+from .plans import adapters, scratch, versions
+from .queries import _CHUNKS, _STATES, _chunks, query, store, table
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,3 +88,55 @@ def refresh_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     now = F.lit(events.agg(F.expr("max(ts) + INTERVAL '6' HOUR")).first()[0]).cast(events.schema["ts"].dataType)
     return cron.missed(log, _schedules(spark), now, "ts").select("repo_name", "schedule", "fires_at")
+
+
+# --- versions and deletion -------------------------------------------------------------------------------------------
+
+
+def _digests(rows: DataFrame, mark: str) -> DataFrame:
+    return rows.select("repo_name", "doc_id", "chunk_index", F.md5(F.concat(F.lit(mark), "chunk")).alias("digest"))
+
+
+@query(
+    "index_versions",
+    f"""{_CHUNKS}, n AS (SELECT *, CAST(substring(repo_name, 4) AS INT) AS k FROM chunks)
+      SELECT repo_name, doc_id, chunk_index, md5(CASE WHEN k % 4 = 0 THEN '2' ELSE '1' END || chunk) AS digest FROM n WHERE k % 4 <> 1 AND (k % 4 <> 0 OR doc_id % 3 <> 0)""",
+)
+def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All repositories are indexed; a fourth is indexed again with fewer files, a fourth is emptied, and for a fourth the writer fails before its commit."""
+    held, rows = versions.VersionedStore(spark, f"{scratch.folder(spark)}/store"), _chunks(spark, sf_dir)
+    kind = F.substring("repo_name", 4, 9).cast("int") % 4
+    held.replace(_digests(rows, "1"), "chunks", "repo_name")
+    held.write(_digests(rows.filter(kind == 2), "lost"), "chunks", "repo_name")
+    again = _digests(rows.filter((kind == 0) & (F.col("doc_id") % 3 != 0)), "2")
+    held.replace(again, "chunks", "repo_name", rows.filter(kind.isin(0, 1)).select(F.col("repo_name").alias("part")).distinct())
+    return held.read("chunks")
+
+
+_GONE = "SELECT DISTINCT source AS name FROM documents WHERE doc_id % 7 = 0 AND lang = 'de' AND CAST(substring(source, 4) AS INT) % 2 = 1"
+
+
+@query(
+    "repos_cascade",
+    f"""{adapters.cte("queue", "repos")}, gone AS ({_GONE}), c AS ({_CHUNKS} SELECT * FROM chunks)
+      SELECT 'chunks' AS held, repo_name AS name, count(*) AS n FROM c WHERE repo_name NOT IN (SELECT name FROM gone) GROUP BY ALL
+      UNION ALL SELECT 'repos', name, count(*) FROM repos WHERE name NOT IN (SELECT name FROM gone) GROUP BY ALL
+      UNION ALL SELECT 'config', name, count(*) FROM repos WHERE type <> 'local' AND name NOT IN (SELECT name FROM gone) GROUP BY ALL
+      UNION ALL SELECT 'queue', coalesce(repo_name, 'all'), count(*) FROM queue WHERE repo_name IS NULL OR repo_name NOT IN (SELECT name FROM gone) GROUP BY ALL""",
+)
+def repos_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of repositories is deleted from chunks, catalogue, configuration and queue, twice, as after a crash."""
+    held = versions.VersionedStore(spark, f"{scratch.folder(spark)}/store")
+    repos = store(spark, sf_dir, "repos")
+    held.replace(_digests(_chunks(spark, sf_dir), ""), "chunks", "repo_name")
+    held.replace(repos, "repos")
+    held.replace(repos.filter("type <> 'local'").select("name", "type"), "config")
+    held.replace(store(spark, sf_dir, "queue"), "queue")
+    gone = spark.sql(_GONE.replace("FROM documents", "FROM {documents}").replace("AS INT", "AS int"), documents=table(spark, sf_dir, "documents"))
+    for _ in range(2):
+        versions.delete_repos(held, gone)
+
+    def counted(name: str, key: str) -> DataFrame:
+        return held.read(name).groupBy(F.coalesce(key, F.lit("all")).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("held"), "name", "n")
+
+    return counted("chunks", "repo_name").union(counted("repos", "name")).union(counted("config", "name")).union(counted("queue", "repo_name"))
