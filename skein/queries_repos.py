@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .functions import cron
 from .operators import states
 from .plans import adapters, scratch, versions
-from .queries import _CHUNKS, _STATES, _chunks, query, store, table
+from .queries import _CHUNKS, _F, _HOSTED, _M, _STATES, _chunks, query, store, table
+from .sources import listing, tree
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,3 +141,82 @@ def repos_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
         return held.read(name).groupBy(F.coalesce(key, F.lit("all")).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("held"), "name", "n")
 
     return counted("chunks", "repo_name").union(counted("repos", "name")).union(counted("config", "name")).union(counted("queue", "repo_name"))
+
+
+# --- listings and trees ----------------------------------------------------------------------------------------------
+
+#: Two hosts, which the listings of the given pages are dealt to.
+_HOSTS = "CASE WHEN id % 3 = 0 THEN 'github' ELSE 'gitlab' END AS host"
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch.folder(spark)}/listing"
+    listing.save_pages(store(spark, sf_dir, "remote").selectExpr(*_HOSTED.split(", "), "visibility", _HOSTS), path)
+    return listing.read(spark, path)
+
+
+@query("listing_pages", f"{_M} SELECT {_HOSTS}, id, full_name, visibility, last_activity_at, (last_activity_at // 500) * 500 || '-' || (last_activity_at // 500) * 500 + 499 AS page FROM (SELECT {_HOSTED}, visibility FROM remote)")
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages of both hosts, a task for each."""
+    return _listing(spark, sf_dir)
+
+
+@query("listing_recent", f"{_M} SELECT id, full_name, last_activity_at FROM (SELECT {_HOSTED} FROM remote) WHERE id % 3 > 0 AND last_activity_at >= 9200 ORDER BY last_activity_at DESC, id LIMIT 50")
+def listing_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One host's newest repositories: pages of the other host and older pages are not fetched."""
+    found = _listing(spark, sf_dir).filter("host = 'gitlab' and last_activity_at >= 9200")
+    return found.orderBy(F.desc("last_activity_at"), "id").limit(50).select("id", "full_name", "last_activity_at")
+
+
+_TREE = "SELECT source AS repo_name, doc_id, text FROM documents WHERE text IS NOT NULL AND text <> ''"
+
+
+def _written_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as a tree that Spark writes: a folder for each source, in it one for each document with one text file."""
+    root = f"{scratch.folder(spark)}/tree"
+    rows = spark.sql(_TREE.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+    rows.write.partitionBy("repo_name", "doc_id").text(root)
+    return root
+
+
+_LINES = r"regexp_replace(text || chr(10), '\r\n?', chr(10), 'g')"
+_READ = f"WITH t AS ({_TREE}), f AS (SELECT 'tree' AS repo_name, repo_name AS folder, doc_id, md5({_LINES}) AS digest, strlen(text) + 1 AS size FROM t WHERE strlen(text) < 512000)"
+
+
+def _files(rows: DataFrame) -> DataFrame:
+    part = lambda name: F.regexp_extract("file_path", f"{name}=([^/]*)/", 1)
+    return rows.select("repo_name", part("repo_name").alias("folder"), part("doc_id").cast("long").alias("doc_id"), F.md5("content").alias("digest"), "size")
+
+
+@query("tree_documents", f"{_READ} SELECT * FROM f")
+def tree_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document read back from the tree, a task for each source's folder."""
+    tree.register(spark)
+    return _files(spark.read.format("repo_tree").option("repo", "tree").load(_written_tree(spark, sf_dir)))
+
+
+@query("tree_documents_small", f"{_READ} SELECT * FROM f WHERE folder = 'src3' AND size <= 1500")
+def tree_documents_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small files of one folder: other folders are not entered, larger files not opened."""
+    tree.register(spark)
+    rows = spark.read.format("repo_tree").option("repo", "tree").load(_written_tree(spark, sf_dir))
+    return _files(rows.filter(F.col("file_path").startswith("repo_name=src3/") & (F.col("size") <= 1500)))
+
+
+_WANTED = "SELECT CASE WHEN doc_id % 5 = 0 THEN 'no' || repo_name ELSE repo_name END AS repo, CASE WHEN doc_id % 3 = 0 THEN '/' || file_path WHEN doc_id % 3 = 1 THEN file_path ELSE 'gone/' || file_path END AS path FROM files WHERE doc_id % 2 = 0"
+
+
+@query(
+    "get_files",
+    f"""{_F}, w AS (SELECT DISTINCT *, ltrim(path, '/') AS p FROM ({_WANTED})), k AS (SELECT DISTINCT repo_name FROM files)
+      SELECT w.repo, w.path, CASE WHEN k.repo_name IS NULL OR f.doc_id IS NULL THEN 'error' ELSE 'ok' END AS status,
+        CASE WHEN k.repo_name IS NULL THEN 'Repository ''' || w.repo || ''' not found in runtime settings' WHEN f.doc_id IS NULL THEN 'File not found: ' || w.path END AS error,
+        CASE WHEN k.repo_name IS NOT NULL THEN md5(f.content) END AS digest, coalesce(CASE WHEN k.repo_name IS NOT NULL THEN f.size END, 0) AS size_bytes
+      FROM w LEFT JOIN k ON w.repo = k.repo_name LEFT JOIN files f ON f.repo_name = k.repo_name AND f.file_path = w.p""",
+)
+def get_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single files: found, missing, and of repositories that nobody knows."""
+    files = store(spark, sf_dir, "files")
+    wanted = spark.sql(_WANTED.replace("FROM files", "FROM {files}"), files=files)
+    found = tree.lookup(files, files.select(F.col("repo_name").alias("name")), wanted)
+    return found.select("repo", "path", "status", "error", F.md5("content").alias("digest"), F.coalesce("size_bytes", F.lit(0)).cast("long").alias("size_bytes"))
