@@ -17,6 +17,8 @@ from . import chunk
 SHORTEST, DEEPEST = 30, 2
 _OUT = "array<struct<chunk_type:string,chunk:string,metadata:string>>"
 _EXPORT = r"^(?:export\s+(?:default\s+)?)?(?:abstract\s+)?(?:async\s+)?"
+#: Annotations and modifiers before a declaration.
+_JAVA = r"^(?:(?:@[\w.]+(?:\([^)\n]*\))?|[a-z]+)\s+)*"
 #: What begins a declaration, by language and chunk type; the first that fits counts.
 _STARTS = {
     "javascript": {"function_declaration": _EXPORT + r"function\b\s*\*?\s*(?P<name>\w+)", "class_declaration": _EXPORT + r"class\b\s*(?P<name>\w+)", "arrow_function": r"^export\s+default\s+(?:async\s+)?(?:\([^)]*\)|\w+)\s*=>(?P<name>)"},
@@ -26,7 +28,7 @@ _STARTS = {
     },
     "tsx": {"function_declaration": _EXPORT + r"function\b\s*\*?\s*(?P<name>\w+)", "class_declaration": _EXPORT + r"class\b\s*(?P<name>\w+)"},
     "go": {"method_declaration": r"^func\s*\([^)]*\)\s*(?P<name>\w+)", "function_declaration": r"^func\s+(?P<name>\w+)", "type_declaration": r"^type\b\s*(?P<name>\w+)?"},
-    "java": {"class_declaration": r"^(?:\w+\s+)*class\s+(?P<name>\w+)", "interface_declaration": r"^(?:\w+\s+)*interface\s+(?P<name>\w+)"},
+    "java": {"class_declaration": _JAVA + r"class\s+(?P<name>\w+)", "interface_declaration": _JAVA + r"interface\s+(?P<name>\w+)"},
 }
 #: Strings and comments, whose braces do not count.
 _QUOTED = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`|//[^\n]*|/\*.*?\*/", re.S)
@@ -44,7 +46,7 @@ def python_chunks(source: str) -> list[tuple[str, str | None, int, int]]:
                 if child.decorator_list:
                     kind, first, name = "decorated_definition", child.decorator_list[0].lineno, None
                 found.append((kind, name, first - 1, (child.end_lineno or child.lineno) - 1))
-            elif depth + 2 <= DEEPEST and not isinstance(child, ast.If | ast.Try | ast.With | ast.For | ast.While):
+            elif depth + 2 <= DEEPEST and not isinstance(child, ast.If | ast.Try | ast.TryStar | ast.With | ast.AsyncWith | ast.For | ast.AsyncFor | ast.While):
                 visit(child, depth + 1)
 
     visit(ast.parse(source), 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -52,4 +52,14 @@ def consequences(merged: DataFrame) -> DataFrame:
 def setup_mode(has_admin: DataFrame, has_config: DataFrame) -> DataFrame:
     """(mode): configured with both an administrator and a configuration, admin with the latter only, else full."""
     admin, config = (d.agg((F.count(F.lit(1)) > 0).alias(n)) for d, n in ((has_admin, "admin"), (has_config, "config")))
-    return admin.join(F.broadcast(config)).select(F.when(F.col("admin") & F.col("config"), "configured").when(F.col("config"), "admin").otherwise("full").alias("mode"))
+    return admin.join(F.broadcast(config)).select(_mode(F.col("admin"), F.col("config")).alias("mode"))
+
+
+def setup_modes(rows: DataFrame, by: str, admin: Column, config: Column) -> DataFrame:
+    """(by, mode) for each group of rows: as ``setup_mode``, by whether any row is an administrator or a configuration."""
+    found = rows.groupBy(by).agg(F.bool_or(F.coalesce(admin, F.lit(False))).alias("_admin"), F.bool_or(F.coalesce(config, F.lit(False))).alias("_config"))
+    return found.select(by, _mode(F.col("_admin"), F.col("_config")).alias("mode"))
+
+
+def _mode(admin: Column, config: Column) -> Column:
+    return F.when(admin & config, "configured").when(config, "admin").otherwise("full")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import globs, paths, text, vectors
 from .model import EXCLUDES, LANGUAGES, TEXT_SUFFIXES
 from .operators import catalog, chunk, embed, jobs, memory, search, stats, syntax
-from .plans import adapters, index, scratch, settings
+from .plans import adapters, scratch, settings
 from .streaming import queue
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -497,19 +496,33 @@ def memory_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", memory.metadata_kind(F.col("m")).alias("kind"), memory.normalize_metadata(F.col("m")).alias("metadata"))
 
 
-_LAYERS = [("model", 1, None), ("model", 2, ""), ("model", 3, "small"), ("dims", 1, "1024"), ("dims", 3, "1536"), ("key", 2, "k2"), ("key", 3, "k3"), ("base_url", 1, None)]
-_LAYERS_SQL = "WITH l(key, rank, value) AS (VALUES " + ", ".join(f"('{k}', {r}, {'NULL' if v is None else repr(v)})" for k, r, v in _LAYERS) + ")"
+#: Layers of settings, the first event first: some are missing, some empty.
+_LAYERS = "SELECT concat('u', CAST(user_id AS varchar(20)), '.', event_type) AS key, event_id AS rank, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE props END AS value FROM events"
 
 
-@query("settings_resolve", f"{_LAYERS_SQL} SELECT key, arg_min(value, rank) AS value FROM l WHERE nullif(value, '') IS NOT NULL GROUP BY key")
+def _from_events(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(sql.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+
+
+@query("settings_resolve", f"SELECT key, arg_min(value, rank) AS value FROM ({_LAYERS}) WHERE nullif(value, '') IS NOT NULL GROUP BY key")
 def settings_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settings.resolve(spark.createDataFrame(_LAYERS, "key string, rank int, value string"))
+    return settings.resolve(_from_events(spark, sf_dir, _LAYERS))
+
+
+_DEFAULTS = "SELECT concat('u', CAST(user_id AS varchar(20))) AS key, min_by(CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END, event_id) AS value FROM events WHERE user_id % 7 > 0 GROUP BY user_id"
+_CURRENT = "SELECT concat('u', CAST(user_id AS varchar(20))) AS key, max_by(CASE WHEN event_id % 5 = 1 THEN NULL ELSE event_type END, event_id) AS value FROM events GROUP BY user_id"
+_DUCK_BY = (("min_by(CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END, event_id)", "list(CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END ORDER BY event_id)[1]"), ("max_by(CASE WHEN event_id % 5 = 1 THEN NULL ELSE event_type END, event_id)", "list(CASE WHEN event_id % 5 = 1 THEN NULL ELSE event_type END ORDER BY event_id)[-1]"))
 
 
-@query("override_diff", f"{_LAYERS_SQL} SELECT c.key, c.value, d.value AS default_value FROM l c LEFT JOIN (SELECT * FROM l WHERE rank = 3) d ON c.key = d.key WHERE c.rank = 1 AND c.value IS DISTINCT FROM d.value")
+def _duck(sql: str) -> str:
+    for ours, theirs in _DUCK_BY:
+        sql = sql.replace(ours, theirs)
+    return sql
+
+
+@query("override_diff", _duck(f"SELECT c.key, c.value, d.value AS default_value FROM ({_CURRENT}) c LEFT JOIN ({_DEFAULTS}) d ON c.key = d.key WHERE c.value IS DISTINCT FROM d.value"))
 def override_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_LAYERS, "key string, rank int, value string")
-    return settings.overrides(rows.filter("rank = 1"), rows.filter("rank = 3"))
+    return settings.overrides(_from_events(spark, sf_dir, _CURRENT), _from_events(spark, sf_dir, _DEFAULTS))
 
 
 @query(
@@ -531,17 +544,20 @@ _PY = "import os|||def top_@@(a):|    return 'a value long enough'|||class C@@:|
 _GO = "package x||func (s *S) Do@@(a int) error {|\treturn nil // } is no end|}|"
 _SOURCE_COLUMNS = [
     "source AS repo_name", "doc_id", "concat('d', CAST(doc_id AS varchar(20)), CASE doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.go' ELSE '.txt' END) AS file_path",
-    f"""replace(replace(CASE doc_id % 3 WHEN 0 THEN '{_PY.replace("'", '"')}' WHEN 1 THEN '{_GO}' ELSE concat(left(text, 1500), '!') END, '@@', CAST(doc_id AS varchar(20))), '|', chr(10)) AS content""",
+    f"""replace(replace(CASE doc_id % 3 WHEN 0 THEN '{_PY.replace("'", '"')}' WHEN 1 THEN '{_GO}' ELSE concat(text, '!') END, '@@', CAST(doc_id AS varchar(20))), '|', chr(10)) AS content""",
 ]
 
 
+_SOURCES = f"WITH files AS (SELECT {', '.join(_SOURCE_COLUMNS)} FROM documents)"
+
+
 @query(
     "syntax_chunks",
-    f"""WITH s AS (SELECT {", ".join(_SOURCE_COLUMNS)} FROM documents), l AS (SELECT *, string_split(content, chr(10)) AS lines FROM s),
+    f"""{_CHUNKS.replace(adapters.cte("files"), _SOURCES)}, l AS (SELECT *, string_split(content, chr(10)) AS lines FROM files),
       d AS (SELECT repo_name, file_path, 0 AS chunk_index, 'function_definition' AS chunk_type, array_to_string(lines[4:5], chr(10)) AS chunk, '{{"name": "top_' || doc_id || '", "start_line": 3}}' AS metadata FROM l WHERE doc_id % 3 = 0
         UNION ALL SELECT repo_name, file_path, 1, 'class_definition', array_to_string(lines[8:9], chr(10)), '{{"name": "C' || doc_id || '", "start_line": 7}}' FROM l WHERE doc_id % 3 = 0
         UNION ALL SELECT repo_name, file_path, 0, 'method_declaration', array_to_string(lines[3:5], chr(10)), '{{"name": "Do' || doc_id || '", "start_line": 2}}' FROM l WHERE doc_id % 3 = 1
-        UNION ALL SELECT repo_name, file_path, k, 'text', CASE WHEN k = 0 THEN content ELSE substring(content, 1401) END, '{{"start_line":0}}' FROM l, range(2) r(k) WHERE doc_id % 3 = 2 AND k * 1400 < length(content))
+        UNION ALL SELECT repo_name, file_path, chunk_index, 'text', chunk, '{{"start_line":0}}' FROM chunks WHERE doc_id % 3 = 2)
       SELECT repo_name, file_path, CAST(chunk_index AS INT) AS chunk_index, chunk_type, md5(chunk) AS digest, metadata FROM d""",
 )
 def syntax_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -563,11 +579,8 @@ def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.with_embeddings(rows, _md5_client).select("repo_name", "doc_id", "chunk_index", *[F.col("embedding")[k].cast("int").alias(f"v{k}") for k in range(4)])
 
 
-#: Name, texts, refusals before the client answers (-1: always), message; then sizes of calls, waits, and what comes of it.
-_RETRIES = [
-    ("one batch", 4, 0, "429", "4", "", "4 vectors"), ("halved", 4, 1, "429", "4,2,2", "", "4 vectors"), ("halved unevenly", 3, 1, "Rate limit", "3,1,2", "", "3 vectors"),
-    ("given up", 1, -1, "429", "1,1,1,1,1", "1,2,4,8", "error"), ("no rate limit", 2, -1, "bad key", "2", "", "error"), ("batches", 45, 0, "429", "20,20,5", "", "45 vectors"), ("nothing", 0, 0, "429", "", "", "0 vectors"),
-]
+#: Calls that a client refuses: how many before it answers (-1: always), and with what message, by document.
+_RETRIES = "SELECT CAST(doc_id AS varchar(20)) AS name, CAST(n_chars % 46 AS int) AS texts, CAST(doc_id % 3 AS int) - 1 AS refusals, CASE WHEN doc_id % 5 = 0 THEN 'bad key' WHEN doc_id % 2 = 0 THEN '429' ELSE 'Rate limit' END AS message FROM documents"
 
 
 def _retry(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -590,9 +603,20 @@ def _retry(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["name", "calls", "waits", "outcome"])
 
 
-@query("embed_retry", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{c}', '{w}', '{o}')" for n, _, _, _, c, w, o in _RETRIES) + ") t(name, calls, waits, outcome)")
+_PARTS = "[least(20, texts - 20 * k) for k in range(0, (texts + 19) // 20)]"
+
+
+@query(
+    "embed_retry",
+    f"""WITH r AS (SELECT *, {_PARTS} AS b, message <> 'bad key' AS limited FROM ({_RETRIES})), s AS (SELECT *, b[1] AS n, [b[1] // (1 << k) for k in range(0, 6) if b[1] // (1 << k) > 0] AS down FROM r)
+      SELECT name, CASE WHEN texts = 0 THEN '' WHEN refusals = 0 THEN array_to_string(b, ',') WHEN NOT limited THEN CAST(n AS VARCHAR) WHEN refusals < 0 THEN array_to_string(down || [1, 1, 1, 1], ',')
+          WHEN n = 1 THEN '1,1' ELSE array_to_string([n, n // 2, n - n // 2] || b[2:], ',') END AS calls,
+        CASE WHEN texts = 0 OR NOT limited OR refusals = 0 THEN '' WHEN refusals < 0 THEN '1,2,4,8' WHEN n = 1 THEN '1' ELSE '' END AS waits,
+        CASE WHEN texts = 0 OR refusals = 0 OR (refusals = 1 AND limited) THEN texts || ' vectors' ELSE 'error' END AS outcome FROM s""",
+)
 def embed_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:4] for r in _RETRIES], "name string, texts int, refusals int, message string")
+    """The calls and waits for a document's number of texts, with a client that refuses some."""
+    rows = spark.sql(_RETRIES.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
     return rows.mapInPandas(_retry, "name string, calls string, waits string, outcome string")
 
 
@@ -612,52 +636,17 @@ def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.search(rows.select("memory_id", "user_id").join(vectors_, "memory_id"), wanted, "u3", 10)
 
 
-#: A small tree: what is kept, and what is not.
-_KEPT = {".github/ci.yml": "on: push", "src/__init__.py": "", "_u.md": "# u", "src/m.py": "def top(a):\n    return 'long enough to be a chunk'\n", "a/crlf.txt": "a\nb\nc"}
-_LOST = {".env": "x", "foo.lock/a.md": "no", "node_modules/z.js": "no", "dist/x.js": "no", "notes.tar.gz": "no", "big.txt": "x" * 512_001}
-
-
-def _tree(spark: SparkSession, lost: tuple[str, ...] = ()) -> str:
-    root = f"{scratch.folder(spark)}/tree"
-    for path, content in (_KEPT | _LOST).items():
-        if path not in lost:
-            os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
-            with open(f"{root}/{path}", "w", newline="") as f:
-                f.write(content.replace("\n", "\r\n") if "crlf" in path else content)
-    return root
-
-
-@query("tree_scan", "SELECT 'r' AS repo_name, p AS file_path, md5(replace(c, '|', chr(10))) AS digest FROM (VALUES " + ", ".join("('{}', '{}')".format(p, c.replace("'", "''").replace("\n", "|")) for p, c in _KEPT.items()) + ") t(p, c)")
-def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.scan(spark, _tree(spark), "r").select("repo_name", "file_path", F.md5("content").alias("digest"))
-
-
-@query(
-    "index_replace",
-    """SELECT * FROM (VALUES ('one', '_u.md', 0, 'text'), ('one', 'src/m.py', 0, 'function_definition'), ('one', 'a/crlf.txt', 0, 'text'),
-      ('two', '_u.md', 0, 'text'), ('two', 'src/m.py', 0, 'function_definition'), ('two', 'a/crlf.txt', 0, 'text'), ('two', '.github/ci.yml', 0, 'text')) t(repo_name, file_path, chunk_index, chunk_type)""",
-)
-def index_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two repositories are indexed; one loses a file and is indexed again, the other stays as it was."""
-    out, tree = f"{scratch.folder(spark)}/chunks", _tree(spark)
-    for repo, path in (("one", tree), ("two", tree), ("one", _tree(spark, (".github/ci.yml",)))):
-        states = index.index_repo(spark, path, repo, out).collect()
-        if states[-1]["status"] != "indexed":
-            raise RuntimeError(states[-1]["error_message"])
-    return spark.read.parquet(out).select("repo_name", "file_path", "chunk_index", "chunk_type")
-
-
 @query(
     "queue_stream",
     f"""{adapters.cte("queue", "repos")} SELECT CAST(row_number() OVER (ORDER BY min(q.requested_at), r.name) AS INT) AS place, r.name FROM queue q JOIN repos r ON q.repo_name IS NULL OR q.repo_name = r.name
       WHERE q.processed_at IS NULL GROUP BY r.name""",
 )
 def queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pending requests go through the stream in one file; the repositories in the order in which they are handled."""
+    """The pending requests go through the stream in one batch; the repositories in the order in which they are handled."""
     base = scratch.folder(spark)
-    store(spark, sf_dir, "queue").filter("processed_at IS NULL").select("id", "repo_name", "requested_at").coalesce(1).write.json(f"{base}/requests")
+    store(spark, sf_dir, "queue").filter("processed_at IS NULL").select("id", "repo_name", "requested_at").write.json(f"{base}/requests")
     handled: list[str] = []
-    queue.consume(spark, f"{base}/requests", f"{base}/acknowledged", store(spark, sf_dir, "repos").select("name"), handled.append).awaitTermination()
+    queue.consume(spark, f"{base}/requests", f"{base}/acknowledged", store(spark, sf_dir, "repos").select("name"), handled.append, files_per_batch=1 << 30).awaitTermination()
     return spark.createDataFrame([(k + 1, name) for k, name in enumerate(handled)], "place int, name string")
 
 
@@ -797,35 +786,47 @@ def index_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.progress(_chunks(spark, sf_dir))
 
 
-_KEPT_SETTINGS = [(1, '{"model":"small","dims":"8"}'), (2, '{"model":"large"}'), (3, None)]
-_NEW_SETTINGS = [(1, '{"dims":"16"}'), (2, "{}"), (4, '{"key":"k"}')]
-_AFTER = [(1, "dims", "16"), (2, "model", "large"), (4, "key", "k")]
+_EMPTY = "concat(chr(123), chr(125))"
+
 
+def _json(key: str, value: str) -> str:
+    return f"concat(chr(123), '\"{key}\":\"', {value}, '\"', chr(125))"
 
-@query("settings_put", "SELECT * FROM (VALUES " + ", ".join(map(repr, _AFTER)) + ") t(id, key, value)")
+
+_STORED = f"SELECT user_id AS id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE {_json('model', 'min(event_type)')} END AS settings FROM events WHERE user_id % 3 < 2 GROUP BY user_id"
+_PUT = f"SELECT user_id AS id, CASE WHEN user_id % 2 = 0 THEN {_EMPTY} ELSE {_json('dims', 'CAST(count(*) AS varchar(20))')} END AS settings FROM events WHERE user_id % 3 > 0 GROUP BY user_id"
+
+
+@query(
+    "settings_put",
+    f"""WITH o AS ({_STORED}), n AS ({_PUT}), b AS (SELECT id, CASE WHEN n.settings <> {_EMPTY} THEN n.settings ELSE o.settings END AS settings FROM o FULL JOIN n USING (id))
+      SELECT id, unnest(json_keys(settings)) AS key, json_extract_string(settings, '$.' || unnest(json_keys(settings))) AS value FROM b WHERE settings IS NOT NULL""",
+)
 def settings_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request is stored as it is, an empty one falls back; read back from JSON."""
-    kept, new = (spark.createDataFrame(r, "id int, settings string") for r in (_KEPT_SETTINGS, _NEW_SETTINGS))
-    once = settings.put(kept, new)
+    once = settings.put(_from_events(spark, sf_dir, _STORED), _from_events(spark, sf_dir, _PUT))
     return settings.decode(settings.encode(settings.decode(once)))
 
 
-_NOW = [("embeddings_model", "small", "large"), ("embeddings_dims", "1536", None), ("key", "k1", "k2"), ("base_url", None, None)]
+_NOW = "SELECT concat('embeddings_', CASE event_type WHEN 'view' THEN 'model' WHEN 'click' THEN 'dims' ELSE event_type END) AS key, CAST(count(*) AS varchar(20)) AS value FROM events GROUP BY event_type"
+_OVER = "SELECT concat('embeddings_', CASE event_type WHEN 'view' THEN 'model' WHEN 'click' THEN 'dims' ELSE event_type END) AS key, CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'click' THEN CAST(count(*) AS varchar(20)) ELSE CAST(count(DISTINCT user_id) AS varchar(20)) END AS value FROM events GROUP BY event_type"
 
 
-@query("settings_effective", "SELECT * FROM (VALUES ('embeddings_model', 'large', true, true, false), ('embeddings_dims', '1536', false, true, false), ('key', 'k2', true, true, false), ('base_url', NULL, false, true, false)) t(key, value, changed, requires_reindex, requires_vector_reset)")
+@query(
+    "settings_effective",
+    f"""WITH m AS (SELECT c.key, coalesce(o.value, c.value) AS value, coalesce(o.value, c.value) IS DISTINCT FROM c.value AS changed FROM ({_NOW}) c LEFT JOIN ({_OVER}) o USING (key))
+      SELECT *, (SELECT bool_or(changed AND key IN ('embeddings_provider', 'embeddings_model', 'embeddings_dims')) FROM m) AS requires_reindex, (SELECT bool_or(changed AND key = 'embeddings_dims') FROM m) AS requires_vector_reset FROM m""",
+)
 def settings_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_NOW, "key string, value string, o string")
-    merged = settings.effective(rows.select("key", "value"), rows.select("key", F.col("o").alias("value")))
-    return merged.join(F.broadcast(settings.consequences(merged)))
+    merged = settings.effective(_from_events(spark, sf_dir, _NOW), _from_events(spark, sf_dir, _OVER))
+    return merged.join(F.broadcast(settings.consequences(merged)))  # one row
 
 
-@query("setup_modes", "SELECT * FROM (VALUES ('both', 'configured'), ('config only', 'admin'), ('admin only', 'full'), ('none', 'full')) t(state, mode)")
+@query("setup_modes", "SELECT event_type AS state, CASE WHEN count(*) FILTER (user_id % 10 = 1) > 0 AND count(*) FILTER (value > 400) > 0 THEN 'configured' WHEN count(*) FILTER (value > 400) > 0 THEN 'admin' ELSE 'full' END AS mode FROM events GROUP BY event_type")
 def setup_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some, none = spark.range(1), spark.range(0)
-    cases = {"both": (some, some), "config only": (none, some), "admin only": (some, none), "none": (none, none)}
-    parts = [settings.setup_mode(*pair).select(F.lit(name).alias("state"), "mode") for name, pair in cases.items()]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    """How a service starts for each kind of event: with an administrator among its users, and a configuration among its values."""
+    events = table(spark, sf_dir, "events")
+    return settings.setup_modes(events, "event_type", F.col("user_id") % 10 == 1, F.col("value") > 400).select(F.col("event_type").alias("state"), "mode")
 
 
 @query(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .functions import cron
 from .operators import states
-from .plans import adapters, scratch, versions
+from .model import IndexSettings
+from .plans import adapters, index, scratch, versions
 from .queries import _CHUNKS, _F, _HOSTED, _M, _STATES, _chunks, query, store, table
 from .sources import listing, tree
 
@@ -220,3 +221,30 @@ def get_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = spark.sql(_WANTED.replace("FROM files", "FROM {files}"), files=files)
     found = tree.lookup(files, files.select(F.col("repo_name").alias("name")), wanted)
     return found.select("repo", "path", "status", "error", F.md5("content").alias("digest"), F.coalesce("size_bytes", F.lit(0)).cast("long").alias("size_bytes"))
+
+
+@query("tree_scan", f"{_READ} SELECT * FROM f WHERE folder NOT IN ('src1', 'src5') AND doc_id NOT BETWEEN 10 AND 19")
+def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree without two sources and without ten documents: what is excluded is not entered."""
+    tree.register(spark)
+    excludes = "**/repo_name=src1/**\nrepo_name=src5\n**/doc_id=1[0-9]/**"
+    return _files(spark.read.format("repo_tree").option("repo", "tree").option("excludes", excludes).load(_written_tree(spark, sf_dir)))
+
+
+_WHOLE_FILES = "WITH files AS (SELECT 'one' AS repo_name, source, doc_id, '' AS file_path, text || chr(10) AS content FROM documents WHERE text <> '' AND strlen(text) < 512000 UNION ALL SELECT 'two', source, doc_id, '', text || chr(10) FROM documents WHERE text <> '' AND strlen(text) < 512000)"
+
+
+@query(
+    "index_replace",
+    f"""{_CHUNKS.replace(adapters.cte("files"), _WHOLE_FILES.replace("text || chr(10)", _LINES)).replace("PARTITION BY doc_id", "PARTITION BY repo_name, doc_id")}
+      SELECT c.repo_name, c.doc_id, chunk_index, md5(chunk) AS digest FROM chunks c JOIN documents d USING (doc_id) WHERE c.repo_name = 'two' OR d.source <> 'src2'""",
+)
+def index_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree is indexed as two repositories; one loses a folder and is indexed again, the other stays as it was."""
+    out, root = f"{scratch.folder(spark)}/chunks", _written_tree(spark, sf_dir)
+    for repo, excludes in (("one", ()), ("two", ()), ("one", ("repo_name=src2",))):
+        states_ = index.index_repo(spark, root, repo, out, settings=IndexSettings(excludes=excludes)).collect()
+        if states_[-1]["status"] != "indexed":
+            raise RuntimeError(states_[-1]["error_message"])
+    rows = spark.read.parquet(out)
+    return rows.select("repo_name", F.regexp_extract("file_path", "doc_id=([^/]*)/", 1).cast("long").alias("doc_id"), "chunk_index", F.md5("content").alias("digest"))
