@@ -17,6 +17,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 from .staging import stage
 
 #: Words and code points of one shard, and code points of the shards that are broadcast together.
-SHARD_WORDS, SHARD_POINTS, BLOCK_POINTS = 1 << 17, 1 << 21, 1 << 23
-#: States that one step of the walk holds; more are split and put on the stack.
-HELD = 1 << 19
+SHARD_WORDS, SHARD_POINTS, BLOCK_POINTS = 1 << 17, 1 << 20, 1 << 22
+#: Edges that one step of the walk holds, about; more are split and put on the stack. A state without an error looks at so many.
+HELD, EDGES = 1 << 17, 32
 #: One deletion in so many runs, chosen by CRC-32.
 DELETED = 31
 _SHIFT = np.int64(21)  # bits of a code point
@@ -114,7 +115,7 @@ class Shard:
     """A shard as an executor uses it."""
 
     def __init__(self, row: dict) -> None:
-        self.words, self.counts = row["words"], np.asarray(row["counts"], np.int64)
+        self.words, self.counts = row["words"], row["counts"]
         self.edges, self.ends = np.frombuffer(row["edges"], np.int64), np.frombuffer(row["ends"], np.int32)
         self.children = np.searchsorted(self.edges, np.arange(len(self.ends) + 1, dtype=np.int64) << _SHIFT).astype(np.int32)
 
@@ -150,7 +151,7 @@ def neighbours(words: list[str], shard: Shard, held: int = HELD) -> tuple[np.nda
     stack = [(0, np.arange(n), np.zeros(n, np.int64), np.full(n, EXACT, np.int8))]
     while stack:
         d, word, node, state = stack.pop()
-        if len(word) > held:
+        if len(word) > 1 and len(word) + EDGES * np.count_nonzero(state & EXACT) > held:
             half = len(word) // 2
             stack += [(d, word[half:], node[half:], state[half:]), (d, word[:half], node[:half], state[:half])]
             continue
@@ -209,7 +210,7 @@ def _search(shards: Broadcast, frames: Iterator[pd.DataFrame]) -> Iterator[pd.Da
         first = order[np.concatenate(([True], i[order][1:] != i[order][:-1]))]
         yield pd.DataFrame({
             "word": [words[k] for k in i[first]], "n_near": np.bincount(i, minlength=len(words))[i[first]],
-            "best_n": n[first], "best": [block[s].words[k] for s, k in zip(shard[first], j[first], strict=True)],
+            "best_n": n[first], "best": [block[s].words[k].as_py() for s, k in zip(shard[first].tolist(), j[first].tolist(), strict=True)],
         })
 
 
@@ -231,8 +232,11 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     words = vocabulary.select("word").repartition(max(parts, spark.sparkContext.defaultParallelism), "word")
     found = []
     for firsts in blocks:
-        rows = shards.filter(F.col("first").between(firsts[0], firsts[-1])).orderBy("first").toArrow().to_pydict()
-        shared = spark.sparkContext.broadcast([{k: rows[k][x] for k in rows} for x in range(len(firsts))])
+        rows = shards.filter(F.col("first").between(firsts[0], firsts[-1])).orderBy("first").toArrow().to_batches(1)
+        # Copies, as a slice would be sent with all that it is a slice of.
+        block = [{"words": pa.concat_arrays([r["words"][0].values]), "counts": r["counts"][0].values.to_numpy().copy(), "edges": r["edges"][0].as_py(), "ends": r["ends"][0].as_py()} for r in rows]
+        shared = spark.sparkContext.broadcast(block)
+        del rows, block
         found.append(stage(words.mapInPandas(partial(_search, shared), NEAR), "near"))
         shared.destroy()
     if not found:
