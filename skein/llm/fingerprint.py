@@ -28,6 +28,8 @@ FIRST_TOUCHED = 0x300
 #: Leading, vowel and trailing jamo, and syllables, as insides of regex classes; the first of each, and trailing jamo with none.
 _L, _V, _T, _S = (rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ((0x1100, 0x1112), (0x1161, 0x1175), (0x11A8, 0x11C2), (0xAC00, 0xD7A3)))
 _FIRST_L, _FIRST_V, _NO_T, _FIRST_S, _TRAILING = 0x1100, 0x1161, 0x11A7, 0xAC00, 28
+#: No character decomposes into more than so many marks and a base, so that of a class's marks no later one can join; a run of more characters is folded class by class.
+JOINING, LONG_RUN = 4, 64
 ROWS_PER_RANGE, COARSE = 4000, 256
 #: So many repeated fingerprints (24 bytes each) are broadcast at most; beyond it they are joined by a shuffle.
 BROADCAST_DIGESTS = 200_000
@@ -118,7 +120,7 @@ def nfc(text: Column) -> Column:
     none, zero = F.lit(""), F.lit(0)
 
     def step(acc: Column, m: Column) -> Column:
-        free = (acc["tail"] == "") | ((m["cls"] > 0) & (acc["last"] < m["cls"]))
+        free = ~m["rest"] & ((acc["tail"] == "") | ((m["cls"] > 0) & (acc["last"] < m["cls"])))
         joined = F.when((acc["head"] != "") & free, up(acc["head"], m["ch"])).otherwise("")
         return F.transform(F.array(joined), lambda j: after(acc, m, j))[0]
 
@@ -130,13 +132,26 @@ def nfc(text: Column) -> Column:
             .otherwise(state(acc["out"], acc["head"], F.concat(acc["tail"], m["ch"]), m["cls"]))
         )
 
+    mark = _spans({ord(c) for c in classes})
+    item = lambda x: F.struct(x["cls"].alias("cls"), x["ch"].alias("ch"), F.lit(False).alias("rest"))
+
+    def leading(run: Column) -> Column:
+        """Marks of one class in order: one by one, but as one string from where none can join any more."""
+        rest = F.struct(run[0]["cls"].alias("cls"), F.array_join(F.transform(F.slice(run, JOINING + 1, F.size(run)), lambda x: x["ch"]), "").alias("ch"), F.lit(True).alias("rest"))
+        some = F.transform(F.slice(run, 1, JOINING), item)
+        return F.when(F.size(run) > JOINING, F.concat(some, F.array(rest))).otherwise(some)
+
+    def by_class(marks: Column) -> Column:
+        kinds = F.array_distinct(F.transform(marks, lambda x: x["cls"]))
+        return F.flatten(F.transform(kinds, lambda k: F.transform(F.array(F.filter(marks, lambda x: x["cls"] == k)), leading)[0]))
+
     def compose(cluster: Column) -> Column:
         plain = F.array_join(F.transform(chars(cluster), down), "")
-        ranked = F.transform(chars(plain), lambda c: F.struct(rank(c).alias("cls"), c.alias("ch")))
-        # Marks are ordered by class between characters of class 0, which keep their places.
-        segment = lambda r, i: F.size(F.filter(F.slice(ranked, 1, i + 1), lambda x: x["cls"] == 0))
-        marks = F.transform(ranked, lambda r, i: F.struct(segment(r, i).alias("seg"), r["cls"].alias("cls"), i.alias("i"), r["ch"].alias("ch")))
-        done = F.aggregate(F.array_sort(marks), state(none, none, none, zero), step)
+        # Marks are ordered by class between characters of class 0, which keep their places; long runs of marks class by class.
+        segments = F.regexp_extract_all(plain, F.lit(rf"(?s)([^{mark}][{mark}]*+|[{mark}]++)"), F.lit(1))
+        ordered = lambda s: F.array_sort(F.transform(chars(s), lambda c, i: F.struct(rank(c).alias("cls"), i.alias("i"), c.alias("ch"))))
+        items = lambda s: F.when(F.length(s) > LONG_RUN, by_class(ordered(s))).otherwise(F.transform(ordered(s), item))
+        done = F.aggregate(F.flatten(F.transform(segments, items)), state(none, none, none, zero), step)
         return F.concat(done["out"], done["head"], done["tail"])
 
     # Jamo are neither marks nor joined by one, so that they can be composed first.

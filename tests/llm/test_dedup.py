@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -191,3 +193,16 @@ def test_word_kernel():
     start, end, h, woff = bytetext.words(data, off)
     assert woff.tolist() == [0, 2, 2, 2, 4, 5] and h[0] == h[2] and h[1] == h[3] and h[0] != h[1]
     assert [data[s:e].tobytes() for s, e in zip(start, end, strict=True)] == [b"The", b"cat", b"the", b"CAT", b"x"]
+
+
+def test_long_runs_of_marks(spark):
+    """Runs of combining marks of any length: class by class beyond a bound, and in time that does not grow with their square."""
+    rng = random.Random(2)
+    marks = [chr(c) for c in range(0x300, 0x370)] + ["̣", "़", "ְ", "゙"]
+    texts = ["a" + "".join(rng.choice(marks) for _ in range(n)) for n in (1, 5, 63, 64, 65, 300, 100_000)]
+    texts += ["ế́" + "́" * 200 + "s" + "̣" * 100 + "̇" * 90, "́" * 80 + "x", "ẹ" + "̂" * 70, "ে" + "া" * 500]
+    texts += ["".join(rng.choice([*marks, *"aeiouAE ạẹ"]) for _ in range(400)) for _ in range(20)]
+    began = time.monotonic()
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(fingerprint.nfc(F.col("t"))).collect()]
+    assert got == [unicodedata.normalize("NFC", t) for t in texts]
+    assert time.monotonic() - began < 90
