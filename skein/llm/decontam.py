@@ -10,13 +10,13 @@ The masks follow from this rule and miss no overlap that counts: the best overla
 of its ends sums to more than zero, and read from the end n equal words come with fewer than n / 2 substitutions.  All
 ways in which its last ``SEED`` equal words (fewer for an item that needs fewer) can lie under that bound are looked up.
 
-The benchmark is a table of any size and stays one: items of equal words are grouped, their seeds are rows, and seeds meet
+The benchmark is a table of any size and stays one: items of equal words are compared once, their seeds are rows, and seeds meet
 by a join.  Only a bit filter of the seeds travels to the tasks that scan the documents, of ``2 ** FILTER_BITS`` bits at
 most; a fuller one lets more documents into the join and changes no result.  Documents stay where they are: only words
 and hits of those that may hold a seed are written, equal texts once.
 
 Defined results: items of fewer than six words match where all their words follow each other, items without a word
-match nothing; items with equal words count as the one of the least item_id; null or empty texts contain nothing; rows that share a doc_id are
+match nothing; items with equal words are compared once and reported each; null or empty texts contain nothing; rows that share a doc_id are
 compared each; an empty table on either side gives no overlaps; further columns are ignored.
 """
 
@@ -196,7 +196,7 @@ def _step(acc: Column, same: Column) -> Column:
 
 
 def _best_overlaps(pairs: DataFrame) -> DataFrame:
-    """(text_key, item_id, matched, item_words, start_word): the best counting overlap of each text and item.
+    """(text_key, item, matched, item_words, start_word): the best counting overlap of each text and item.
 
     ``pairs`` has words of a text and of an item, and how far the item is shifted over the text; equal overlaps go by the least shift.
     """
@@ -204,18 +204,18 @@ def _best_overlaps(pairs: DataFrame) -> DataFrame:
     size = F.least(F.size("words"), F.col("shift") + n) - first
     same = F.zip_with(F.slice("words", first + 1, size), F.slice("of_item", first - F.col("shift") + 1, size), lambda x, y: x == y)
     zero = F.struct(*[F.lit(0).alias(name) for name in ("at", "run", "start", "equal", "best", "matched", "begin")])
-    laid = pairs.select("text_key", "item", "item_id", "shift", first.alias("first"), n.alias("item_words"), F.aggregate(same, zero, _step).alias("o"))
+    laid = pairs.select("text_key", "item", "shift", first.alias("first"), n.alias("item_words"), F.aggregate(same, zero, _step).alias("o"))
     enough = F.when(F.col("item_words") < SHORTEST, F.col("item_words")).otherwise(F.least(F.lit(MATCHED), F.ceil(F.col("item_words") * SHARE)))
-    order = F.struct((-F.col("o.matched")).alias("less"), "shift", (F.col("first") + F.col("o.begin")).alias("start_word"), "item_words", "item_id")
+    order = F.struct((-F.col("o.matched")).alias("less"), "shift", (F.col("first") + F.col("o.begin")).alias("start_word"), "item_words")
     best = laid.filter(F.col("o.matched") >= enough).groupBy("text_key", "item").agg(F.min(order).alias("b"))
-    return best.select("text_key", "b.item_id", (-F.col("b.less")).alias("matched"), "b.item_words", "b.start_word")
+    return best.select("text_key", "item", (-F.col("b.less")).alias("matched"), "b.item_words", "b.start_word")
 
 
-def _overlaps(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_key) of the rows that may overlap, and the overlaps of their texts; a text's key is its MD5."""
+def _overlaps(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, text_key) of the rows that may overlap, the overlaps of their texts with items, and (item, item_id); a text's key is its MD5, an item's its words."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = rows.mapInArrow(_item_words, "item_id long, item string, of_item array<long>").filter(F.size("of_item") > 0)
-    items = stage(items.groupBy("item").agg(F.min("item_id").alias("item_id"), F.first("of_item").alias("of_item")), "items")
+    known = stage(rows.mapInArrow(_item_words, "item_id long, item string, of_item array<long>").filter(F.size("of_item") > 0), "items")
+    items = stage(known.groupBy("item").agg(F.first("of_item").alias("of_item")), "kinds")
     table = stage(items.select("item", "of_item").mapInArrow(_item_seeds, "mask int, seed long, item string, place int"), "seeds")
     masks = sorted(r["mask"] for r in table.select("mask").distinct().collect())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -224,13 +224,13 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFra
     hits = texts.select("text_key", F.explode("hits").alias("hit")).select("text_key", "hit.*")
     shifts = hits.join(table, ["mask", "seed"]).select("text_key", "item", (F.col("at") - F.col("place")).alias("shift")).distinct()
     pairs = shifts.join(items, "item").join(texts.select("text_key", "words"), "text_key")
-    return found.select("doc_id", "text_key"), _best_overlaps(pairs)
+    return found.select("doc_id", "text_key"), _best_overlaps(pairs), known.select("item", "item_id").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, matched, item_words, start_word for each pair of a document and an item that overlap."""
-    rows, overlaps = _overlaps(docs, benchmark)
-    return rows.join(overlaps, "text_key").select("doc_id", "item_id", "matched", "item_words", "start_word")
+    """doc_id, item_id, matched, item_words, start_word for each pair of a document and an item that overlap, items of equal words each."""
+    rows, overlaps, members = _overlaps(docs, benchmark)
+    return rows.join(overlaps.join(members, "item"), "text_key").select("doc_id", "item_id", "matched", "item_words", "start_word")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
