@@ -327,25 +327,47 @@ SHAPES = {
 }
 
 
+@pytest.mark.parametrize("prior", [True, False])
 @pytest.mark.parametrize("shape", SHAPES)
-def test_articles_of_other_shapes(shape):
-    """Weights of given pages, on other pages whose articles were rebuilt: the words of the article, and no others."""
+def test_articles_of_other_shapes(shape, prior):
+    """Weights of given pages, with and without names that begin below zero, on other pages whose articles were rebuilt: the words of the article, and no others."""
     pages = [r[0] for r in duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet' ORDER BY page_id").fetchall()]
     counts: Counter = Counter()
     for page in pages[:150]:
         counts += html_extract.count(page)
-    weights, found = html_extract.Weights(counts), []
+    weights, found = html_extract.Weights(counts, prior), []
     for page in pages[150:]:
         before, article, after = re.split(r"<article>|</article>", page)
         article = SHAPES[shape](article)
         words = [w for x in re.split(r"</?(?:p|h1|h2|li|ul|div|table|tr|td)\b[^>]*>", article) for w in html.unescape(re.sub(r"<[^>]+>", "", x)).split()]
-        mark = "div" if shape == "unmarked" else "article"
-        got = html_extract.extract(f"{before}<{mark}>{article}</{mark}>{after}", weights).split()
-        found.append(2 * sum((Counter(words) & Counter(got)).values()) / (len(words) + len(got)))
+        for mark in ("div", "article"):
+            got = html_extract.extract(f"{before}<{mark}>{article}</{mark}>{after}", weights).split()
+            found.append(2 * sum((Counter(words) & Counter(got)).values()) / (len(words) + len(got)))
     assert np.mean(found) > 0.95
 
 
-@pytest.mark.parametrize("page", ["<a " * 200_000, '<a "' * 100_000 + ">", "<div>" * 100_000, "<!--" * 100_000, "<script " * 100_000, "<x '>'" * 100_000, "<p><b>" * 50_000, "<" * 200_000 + ">"])
+def test_weights_and_the_scan_decide():
+    """Learned weights find the articles of pages that they were not fitted to, without any list as well; uniform ones do not."""
+    pages = [r[0] for r in duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet' ORDER BY page_id").fetchall()]
+    counts: Counter = Counter()
+    for page in pages[:100]:
+        counts += html_extract.count(page)
+    rest = pages[100:]
+    learned, bare, uniform = ([html_extract.extract(p, w) for p in rest] for w in (html_extract.Weights(counts), html_extract.Weights(counts, prior=False), html_extract.Uniform()))
+    for page, own, plain, all_ in zip(rest, learned, bare, uniform, strict=True):
+        words = html.unescape(re.sub(r"<[^>]+>", " ", re.search(r"<article>(.*)</article>", page, re.S)[1])).split()
+        assert own.split() == words and all_ != own
+        assert 2 * sum((Counter(words) & Counter(plain.split())).values()) >= 0.98 * (len(words) + len(plain.split()))
+    # The run ends where an unnamed block of few words follows, though each of its words scores above zero by itself.
+    weights = html_extract.Weights(Counter())
+    text = "<div><h1>Some title</h1>" + "<p>A paragraph of prose with more than ten words in it, as here.</p>" * 3 + "</div>"
+    page = html_extract.Page(f"{text}<ul><li>One</li></ul><ul><li>Two</li></ul>")
+    score = html_extract.scores(page, weights)
+    _, end = html_extract.region(score)
+    assert end < len(score) and all(s > 0 for s, n in zip(score, page.words, strict=True) if n) and sum(page.words[end:]) == 2
+
+
+@pytest.mark.parametrize("page", ["<ul><li><ol>" + "<b>" * 80_000 + "<li></li>" * 80_000, "".join(f"<div class=c{k}>" for k in range(50_000)), "<a " * 200_000, '<a "' * 100_000 + ">", "<div>" * 100_000, "<!--" * 100_000, "<script " * 100_000, "<x '>'" * 100_000, "<p><b>" * 50_000, "<" * 200_000 + ">"])
 def test_odd_markup_is_read_in_linear_time(page):
     weights, began = html_extract.Weights(Counter()), time.process_time()
     html_extract.extract(page, weights)
