@@ -1,6 +1,6 @@
 """An inverted file of vectors: every row lies in the partition of its nearest centroid, and a search reads the nearest lists.
 
-``path/rows`` is partitioned by ``list`` and ``path/centroids`` has a row for each list.  Centroids are fitted on a bounded
+``path/rows`` is partitioned by ``list``, ``path/centroids`` has a row for each list, ``path/schema`` the columns.  Centroids are fitted on a bounded
 sample, every row is assigned.  Rows without a direction (null or zero vectors, or another number of components) lie in
 list -1, which only a search of all lists reads: they have no similarity and come last there.
 """
@@ -114,6 +114,7 @@ class InvertedFile:
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
         dealt = rows.withColumn("list", assign(F.col(vector), centres)).hint("rebalance", "list")
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("list").parquet(f"{path}/rows")
+        dealt.limit(0).write.mode("overwrite").parquet(f"{path}/schema")  # a table without rows has no file to tell it
         return cls(spark, path, key, vector)
 
     @cached_property
@@ -124,7 +125,7 @@ class InvertedFile:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/rows")
+        return self.spark.read.schema(self.spark.read.parquet(f"{self.path}/schema").schema).parquet(f"{self.path}/rows")
 
     def lists(self, query: Sequence[float], probes: int) -> list[int]:
         """The nearest lists of a query, the nearest first."""

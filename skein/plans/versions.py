@@ -90,16 +90,15 @@ class VersionedStore:
 
     def vacuum(self, table: str) -> int:
         """Delete the folders of stale versions, once no reader that began earlier is left; the number of folders."""
-        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/data/{table}")
-        system = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        gone = {r["version"] for r in self.stale(table).toLocalIterator()}
+        jvm = self.spark.sparkContext._jvm
+        folder = F.regexp_replace(F.input_file_name(), "/[^/]*$", "")
+        found = self.spark.read.parquet(f"{self.base}/data/{table}").select(self._part().alias("part"), F.col("_version").alias("version"), folder.alias("folder")).distinct()
+        gone = found.join(self.current(table).select("part", "version"), ["part", "version"], "left_anti").select("folder").distinct()
         done = 0
-        for part in system.listStatus(root):
-            if part.isDirectory():
-                for version in system.listStatus(part.getPath()):
-                    if version.getPath().getName().removeprefix("_version=") in gone:
-                        system.delete(version.getPath(), True)
-                        done += 1
+        for row in gone.toLocalIterator():
+            target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["folder"]))
+            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            done += 1
         return done
 
 

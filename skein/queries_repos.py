@@ -150,10 +150,10 @@ def repos_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HOSTS = "CASE WHEN id % 3 = 0 THEN 'github' ELSE 'gitlab' END AS host"
 
 
-def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _listing(spark: SparkSession, sf_dir: str, **options: str) -> DataFrame:
     path = f"{scratch.folder(spark)}/listing"
     listing.save_pages(store(spark, sf_dir, "remote").selectExpr(*_HOSTED.split(", "), "visibility", _HOSTS), path)
-    return listing.read(spark, path)
+    return listing.read(spark, path, **options)
 
 
 @query("listing_pages", f"{_M} SELECT {_HOSTS}, id, full_name, visibility, last_activity_at, (last_activity_at // 500) * 500 || '-' || (last_activity_at // 500) * 500 + 499 AS page FROM (SELECT {_HOSTED}, visibility FROM remote)")
@@ -165,7 +165,7 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("listing_recent", f"{_M} SELECT id, full_name, last_activity_at FROM (SELECT {_HOSTED} FROM remote) WHERE id % 3 > 0 AND last_activity_at >= 9200 ORDER BY last_activity_at DESC, id LIMIT 50")
 def listing_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One host's newest repositories: pages of the other host and older pages are not fetched."""
-    found = _listing(spark, sf_dir).filter("host = 'gitlab' and last_activity_at >= 9200")
+    found = _listing(spark, sf_dir, pushdown="true").filter("host = 'gitlab' and last_activity_at >= 9200")
     return found.orderBy(F.desc("last_activity_at"), "id").limit(50).select("id", "full_name", "last_activity_at")
 
 
@@ -200,7 +200,7 @@ def tree_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_documents_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small files of one folder: other folders are not entered, larger files not opened."""
     tree.register(spark)
-    rows = spark.read.format("repo_tree").option("repo", "tree").load(_written_tree(spark, sf_dir))
+    rows = spark.read.format("repo_tree").option("repo", "tree").option("pushdown", "true").load(_written_tree(spark, sf_dir))
     return _files(rows.filter(F.col("file_path").startswith("repo_name=src3/") & (F.col("size") <= 1500)))
 
 

@@ -1,9 +1,13 @@
 """Data source ``remote_listing``: hosted listings of repositories, a partition for each page.
 
-Options: ``transport``, ``module:class`` of what fetches pages, with whatever options it takes; ``host`` to choose one host.
-A listing is ordered by last activity, newest first, and a transport tells the span of activity of each of its pages, so
-that a filter on host or last activity, pushed down to the source, keeps pages from being fetched at all; Spark applies
-it to the rows once more.  Needs ``spark.sql.python.filterPushdown.enabled``, which ``read`` sets for its session.
+Options: ``transport``, ``module:class`` of what fetches pages, with whatever options it takes; ``host`` to choose one host;
+``pushdown``.  A listing is ordered by last activity, newest first, and a transport tells the span of activity of each of its
+pages, so that with ``pushdown`` a filter on host or last activity keeps pages from being fetched at all; Spark applies it
+to the rows once more.
+
+Spark keeps what was pushed to a source with the DataFrame that was loaded, so that a second use of the same DataFrame, or two
+uses in one plan, would see the pages of one filter only.  ``pushdown`` is therefore off unless it is asked for, and a
+DataFrame that was read with it is for one use; ``read`` it anew for another.
 """
 
 from __future__ import annotations
@@ -78,6 +82,7 @@ class _Reader(DataSourceReader):
         self.hosts: set[str] | None = {options["host"]} if options.get("host") else None
         self.least: int | None = None
         self.most: int | None = None
+        self.pushdown = options.get("pushdown", "false").lower() == "true"
 
     def _narrow(self, hosts: set[str]) -> None:
         self.hosts = hosts if self.hosts is None else self.hosts & hosts
@@ -85,7 +90,7 @@ class _Reader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
         """Take what chooses pages; all filters go back, as a page holds rows on either side of a bound."""
         for f in filters:
-            match f:
+            match f if self.pushdown else None:
                 case EqualTo(("host",), value):
                     self._narrow({value})
                 case In(("host",), values):

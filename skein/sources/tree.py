@@ -4,9 +4,10 @@ Options: ``path`` (a folder that all executors see), ``repo`` (its name), ``excl
 ``folders_per_partition``.  Folders that match an exclusion are not entered; files pass by suffix and size; line ends become
 line feeds and broken UTF-8 becomes U+FFFD; unreadable files are skipped.
 
-The driver lists the root only; each folder in it is walked by a task.  Filters on ``file_path`` (equal, one of, a prefix)
-and ``size`` are pushed down (with ``spark.sql.python.filterPushdown.enabled``, which ``register`` sets): folders that cannot
-hold a match are not entered, and files that do not match are not opened.
+The driver lists the root only; each folder in it is walked by a task.  With the option ``pushdown`` filters on ``file_path``
+(equal, one of, a prefix) and ``size`` are pushed down: folders that cannot hold a match are not entered, and files that
+do not match are not opened.  Spark keeps what was pushed with the DataFrame that was loaded, so that one which was loaded with
+``pushdown`` is for one use in one plan.
 """
 
 from __future__ import annotations
@@ -115,12 +116,13 @@ class _Reader(DataSourceReader):
         self.globs = [g for g in (x.strip() for x in options.get("excludes", "\n".join(EXCLUDES)).split("\n")) if g]
         self.max_kb = int(options.get("max_kb", 500))
         self.batch = int(options.get("folders_per_partition", 1))
-        self.wanted = Wanted()
+        self.wanted, self.pushdown = Wanted(), options.get("pushdown", "false").lower() == "true"
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
         """Take what chooses files; Spark applies all filters to the rows again."""
         for pushed in filters:
-            self.wanted.take(pushed)
+            if self.pushdown:
+                self.wanted.take(pushed)
             yield pushed
 
     def partitions(self) -> list[InputPartition]:
