@@ -28,13 +28,17 @@ def cosine_to(a: Column, vector: Sequence[float]) -> Column:
 
 
 def to_text(vector: Column) -> Column:
-    """``[v,...]`` with ten decimals."""
-    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.format_string("%.10f", x.cast("double"))), ","), F.lit("]"))
+    """``[v,...]`` with ten decimals, halves to the even one."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.format_string("%.10f", F.bround(x.cast("double"), 10))), ","), F.lit("]"))
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, n, mean): all rows count; the mean is taken over present vectors, partial sums before the shuffle."""
-    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    cells = df.select(key, F.posexplode(vector).alias("pos", "value")).groupBy(key, "pos").agg(F.avg(F.col("value").cast("double")).alias("value"))
-    means = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("cells"))
-    return n.join(means.select(key, F.transform("cells", lambda c: c["value"]).alias("mean")), key, "left")
+    """(key, n, mean): all rows count; the mean is taken over present vectors, partial sums before the shuffle.
+
+    Rows are counted at the first place of their vectors, and those without a place by themselves; a key without any vector has no mean.
+    """
+    cells = df.select(key, F.posexplode_outer(vector).alias("pos", "value")).groupBy(key, "pos").agg(F.avg(F.col("value").cast("double")).alias("value"), F.count(F.lit(1)).alias("rows"))
+    placed = F.when(F.col("pos").isNotNull(), F.struct("pos", "value"))
+    counted = F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("rows")).otherwise(0))
+    means = cells.groupBy(key).agg(counted.alias("n"), F.array_sort(F.collect_list(placed)).alias("cells"))
+    return means.select(key, "n", F.when(F.size("cells") > 0, F.transform("cells", lambda c: c["value"])).alias("mean"))

@@ -131,4 +131,4 @@ def apply_states(repos: DataFrame, transitions: DataFrame) -> DataFrame:
 def with_tokens(repos: DataFrame, tokens: DataFrame) -> DataFrame:
     """Repositories of a configuration file take the token of their type where they have none; others keep what they have."""
     given = tokens.select(F.col("type").alias("_type"), F.col("token").alias("_token"))
-    return repos.join(F.broadcast(given), F.col("type") == F.col("_type"), "left").withColumn("token", F.coalesce(F.nullif("token", F.lit("")), "_token")).drop("_type", "_token")
+    return repos.join(given, F.col("type") == F.col("_type"), "left").withColumn("token", F.coalesce(F.nullif("token", F.lit("")), "_token")).drop("_type", "_token")

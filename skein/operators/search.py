@@ -120,3 +120,8 @@ def unified(words: str, groups: DataFrame, memories: DataFrame, jobs: DataFrame,
     parts = [d.select(F.lit(kind).alias("kind"), F.col("place").cast("int").alias("place"), "key", F.col("score").cast("double").alias("score")) for kind, d in (("repo", groups), ("memory", memories), ("job", jobs), ("edge", edges))]
     out = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
     return out if words.strip() else out.limit(0)
+
+
+def decoded(results: DataFrame, metadata: str = "metadata") -> DataFrame:
+    """Results with their metadata as a variant: a JSON text is decoded, a broken or missing one is null."""
+    return results.withColumn(metadata, F.try_parse_json(metadata))

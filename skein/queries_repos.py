@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import cron
-from .operators import states
-from .model import IndexSettings
+from .functions import cron, globs, text, vectors
+from .operators import catalog, chunk, embed, memory, search, states
+from .model import EXAMPLE_EXCLUDES, IndexSettings
 from .plans import adapters, index, scratch, versions
-from .queries import _CHUNKS, _F, _HOSTED, _M, _STATES, _chunks, query, store, table
+from .queries import _CHUNKS, _F, _HOSTED, _M, _R, _STATES, _chunks, _first, query, store, table
+from .sources import catalog as hosted
 from .sources import listing, tree
 
 
@@ -248,3 +249,101 @@ def index_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
             raise RuntimeError(states_[-1]["error_message"])
     rows = spark.read.parquet(out)
     return rows.select("repo_name", F.regexp_extract("file_path", "doc_id=([^/]*)/", 1).cast("long").alias("doc_id"), "chunk_index", F.md5("content").alias("digest"))
+
+
+# --- small operators over the given tables ---------------------------------------------------------------------------
+
+
+@query("local_paths", f"{_R} SELECT name, CASE WHEN type = 'local' THEN coalesce(nullif(CASE WHEN total_chunks % 2 = 0 THEN '/own/' || name ELSE '' END, ''), '/repos/' || name) ELSE '/cache/' || name END AS path FROM repos")
+def local_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repos = store(spark, sf_dir, "repos")
+    own = F.when(F.col("total_chunks") % 2 == 0, F.concat(F.lit("/own/"), "name")).otherwise("")
+    return repos.select("name", catalog.local_path(F.col("type"), own, F.col("name")).alias("path"))
+
+
+#: What a host's listing says of the given pages; much is left out, as hosts do.
+_GITHUB = "id, full_name, CASE WHEN id % 4 = 0 THEN 'dev' END AS default_branch, CASE WHEN id % 3 = 0 THEN true END AS private, CASE WHEN id % 2 = 0 THEN CAST(id % 97 AS INT) END AS stargazers_count, 'T' || id AS updated_at"
+_GITLAB = "id, CASE WHEN id % 2 = 0 THEN full_name ELSE '' END AS path_with_namespace, 'n' || id AS name, CASE WHEN id % 3 = 0 THEN 'public' WHEN id % 3 = 1 THEN 'internal' END AS visibility, CASE WHEN id % 5 = 0 THEN 'x/y' ELSE '' END AS forked_from_project"
+
+
+def _hosted_json(spark: SparkSession, sf_dir: str, columns: str) -> str:
+    path = f"{scratch.folder(spark)}/hosted"
+    spark.sql(f"SELECT {columns} FROM {{remote}}", remote=store(spark, sf_dir, "remote")).write.json(path)
+    return path
+
+
+@query("listing_github", f"{_M} SELECT id, full_name, coalesce(default_branch, 'main') AS default_branch, coalesce(private, false) AS private, coalesce(stargazers_count, 0) AS stars, false AS fork FROM (SELECT {_GITHUB} FROM remote)")
+def listing_github(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved listing with its gaps filled."""
+    return hosted.github(spark, _hosted_json(spark, sf_dir, _GITHUB)).select("id", "full_name", "default_branch", "private", "stars", "fork")
+
+
+@query("listing_gitlab", f"{_M} SELECT id, coalesce(nullif(path_with_namespace, ''), name) AS full_name, coalesce(visibility, 'private') <> 'public' AS private, forked_from_project <> '' AS fork FROM (SELECT {_GITLAB} FROM remote)")
+def listing_gitlab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosted.gitlab(spark, _hosted_json(spark, sf_dir, _GITLAB)).select("id", "full_name", "private", "fork")
+
+
+@query("vector_literals", "SELECT vec_id, '[' || array_to_string(list_transform(CAST(embedding AS DOUBLE[]), lambda x: printf('%.10f', x)), ',') || ']' AS literal FROM embeddings")
+def vector_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", vectors.to_text(F.col("embedding")).alias("literal"))
+
+
+_TOKEN = "CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 3 = 1 THEN concat('t$', CAST(page_id AS varchar(20))) END"
+
+
+@query("token_urls", f"SELECT page_id, CASE WHEN coalesce({_TOKEN}, '') = '' THEN url ELSE regexp_replace(url, '^(https?://)([^/@]*@)?', '\\1oauth2:' || {_TOKEN} || '@') END AS url FROM pages")
+def token_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(f"SELECT page_id, url, {_TOKEN} AS token FROM {{pages}}", pages=table(spark, sf_dir, "pages"))
+    return rows.select("page_id", text.inject_token(F.col("url"), F.col("token")).alias("url"))
+
+
+@query("text_lines", "SELECT doc_id, len(l) AS n, md5(array_to_string(l, '|')) AS digest FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM documents)")
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings that are typed one a line, here the lines of every document."""
+    found = table(spark, sf_dir, "documents").select("doc_id", text.lines(F.col("text")).alias("l"))
+    return found.select("doc_id", F.size("l").cast("long").alias("n"), F.md5(F.array_join("l", "|")).alias("digest"))
+
+
+_TOOL = "concat(CASE event_type WHEN 'view' THEN 'repo_' WHEN 'click' THEN 'memory_' WHEN 'error' THEN 'job_' ELSE 'my_job_' END, CAST(event_id % 7 AS varchar(20)))"
+
+
+@query("tool_groups", f"SELECT g, count(*) AS n, count(DISTINCT tool) AS tools FROM (SELECT {_TOOL} AS tool, CASE event_type WHEN 'view' THEN 'repo' WHEN 'click' THEN 'memory' WHEN 'error' THEN 'job' ELSE 'other' END AS g FROM events) GROUP BY g")
+def tool_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(f"SELECT {_TOOL} AS tool FROM {{events}}", events=table(spark, sf_dir, "events"))
+    return rows.groupBy(text.tool_group(F.col("tool")).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tool").alias("tools"))
+
+
+@query(
+    "memory_changes",
+    f"""{adapters.cte("memories")} SELECT memory_id, user_id, memory FROM (SELECT memory_id, user_id, memory FROM memories UNION ALL SELECT 'new-' || memory_id, CASE WHEN role = 'user' THEN user_id ELSE 'default' END, concat('+ ', memory) FROM memories WHERE role IN ('user', 'assistant'))
+      WHERE memory_id <> '3-1'""",
+)
+def memory_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories are added, those without a user to the default one, and one is deleted."""
+    rows = store(spark, sf_dir, "memories").select("memory_id", "user_id", "memory", "role")
+    new = rows.filter("role in ('user', 'assistant')").select(F.concat(F.lit("new-"), "memory_id").alias("memory_id"), F.when(F.col("role") == "user", F.col("user_id")).alias("user_id"), F.concat(F.lit("+ "), "memory").alias("memory"))
+    return memory.remove(memory.add(rows.drop("role"), new), "3-1")
+
+
+@query("glob_exclude_example", f"{_F} SELECT doc_id, regexp_matches(path, '[.](class|jar|war|iml|map|pyc|lock)$|[.]min[.]js$|(^|/)(target|build|dist|node_modules|[.]idea|[.]git)/|(^|/)[.](project|classpath)$') AS excluded FROM (SELECT doc_id, {{path}} AS path FROM files)".replace("{path}", "CASE doc_id % 5 WHEN 0 THEN 'target/a.txt' WHEN 1 THEN 'src/A.class' WHEN 2 THEN 'src/.project' WHEN 3 THEN 'targets/a.txt' ELSE file_path END"))
+def glob_exclude_example(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exclusions of the example, for Java and Angular as well."""
+    path = F.expr("CASE doc_id % 5 WHEN 0 THEN 'target/a.txt' WHEN 1 THEN 'src/A.class' WHEN 2 THEN 'src/.project' WHEN 3 THEN 'targets/a.txt' ELSE file_path END")
+    return store(spark, sf_dir, "files").select("doc_id", globs.excluded(path, EXAMPLE_EXCLUDES).alias("excluded"))
+
+
+@query(
+    "search_results",
+    f"""{_CHUNKS}, t AS (SELECT doc_id, chunk_index, repo_name, file_path, start, chunk, doc_id * 1000 + chunk_index AS id FROM chunks),
+      ws AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(chunk), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS word FROM t),
+      c AS (SELECT id, CAST('0x' || md5(word)[1:2] AS INT) % 16 AS place, count(*) AS n FROM ws GROUP BY ALL), v AS (SELECT id, sum(n * n)::DOUBLE AS nn FROM c GROUP BY id),
+      d AS (SELECT a.id, sum(a.n * q.n)::DOUBLE AS dot FROM c a JOIN c q ON a.place = q.place WHERE q.id = 3000 GROUP BY a.id)
+      SELECT repo_name, file_path, md5(chunk) AS digest, start AS start_line, round(coalesce(dot, 0) / sqrt(nn * (SELECT nn FROM v WHERE id = 3000)), 4) AS score FROM t LEFT JOIN v USING (id) LEFT JOIN d USING (id)
+      ORDER BY coalesce(dot, 0) / sqrt(nn * (SELECT nn FROM v WHERE id = 3000)) DESC NULLS LAST, id LIMIT 10""",
+)
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten chunks nearest to a chunk, with their content and decoded metadata."""
+    rows = _chunks(spark, sf_dir).withColumn("id", F.col("doc_id") * 1000 + F.col("chunk_index")).withColumn("metadata", chunk.metadata(F.lit(None).cast("string"), F.col("start")))
+    found = rows.select("id", "repo_name", "file_path", F.col("chunk").alias("content"), "metadata").join(embed.hashed_columns(rows, "id", "chunk"), "id")
+    best = search.decoded(search.top_k(found, _first(found.filter("id = 3000"), "embedding"), 10, keys=("id",)))
+    return best.select("repo_name", "file_path", F.md5("content").alias("digest"), F.try_variant_get("metadata", "$.start_line", "int").alias("start_line"), "score")
