@@ -375,9 +375,14 @@ def extract(text: str, weights: Weights) -> str:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Weights:
-    """Weights from a bounded sample of labelled pages: rows, not ids, are what the bound counts."""
-    marked = pages.select("page_id", "html").filter(F.lower("html").rlike(r"<(article|main)\b"))
-    rows = marked.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample).select("html")
+    """Weights from a bounded sample of labelled pages, each of which counts once however often it is there.
+
+    Ids and hashes of pages are ranked; only the pages that they choose are shuffled.
+    """
+    marked = pages.filter(F.lower("html").rlike(r"<(article|main)\b")).select("page_id", F.xxhash64("html").alias("hash"), "html")
+    chosen = marked.select(F.col("page_id").alias("id"), F.col("hash").alias("of")).distinct().orderBy(F.xxhash64("id"), "id", "of").limit(sample)
+    rows = marked.join(F.broadcast(chosen), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("of")), "left_semi")
+    rows = rows.groupBy("page_id", "hash").agg(F.first("html").alias("html")).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
