@@ -21,8 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sampling
 from .bytetext import text_slices
-from .sampling import sample_ids
 
 SAMPLE = 400
 #: Two coins have 0.25; a text with less than this is of no language that was learned.
@@ -157,7 +157,7 @@ class Model:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on a bounded sample of the labelled rows of ``docs`` (doc_id, text, lang)."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = known.join(F.broadcast(sample_ids(known, "lang", sample)), "doc_id", "left_semi").select("doc_id", "lang", "text")
+    rows = known.join(F.broadcast(sampling.sample(known, "lang", sample)), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")
     got = rows.mapInArrow(_vectors, "doc_id long, lang string, at binary, freq binary").toPandas().sort_values(["lang", "doc_id"])
     if not len(got):
         return None

@@ -9,16 +9,15 @@ from pyspark.sql import functions as F
 SHARES = 64
 
 
-def sample_ids(rows: DataFrame, label: str, most: int) -> DataFrame:
-    """The doc_ids of at most ``most`` rows of each label of ``rows`` (doc_id, label), those of the smallest hashes.
+def sample(rows: DataFrame, label: str, most: int) -> DataFrame:
+    """(doc_id, label) of at most ``most`` rows of each label of ``rows`` (doc_id, label), those of the smallest hashes of doc_id.
 
-    An id stands for all its rows, whatever their labels, and they count as many; an id with more rows than ``most`` is in
-    no sample, nor is a null id.
+    An id stands for all its rows of the label, and they count as many; an id with more than ``most`` of them is in no
+    sample, nor is a null id.
     """
-    ids = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.collect_set(label).alias(label)).filter(F.col("rows") <= most)
-    ids = ids.select("doc_id", "rows", F.explode(label).alias(label)).withColumn("hash", F.xxhash64("doc_id"))
-    ids = ids.withColumn("share", F.pmod("hash", F.lit(SHARES)))
+    ids = rows.filter("doc_id is not null").groupBy("doc_id", label).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") <= most)
+    ids = ids.withColumn("hash", F.xxhash64("doc_id")).withColumn("share", F.pmod("hash", F.lit(SHARES)))
     for keys in ([label, "share"], [label]):
         order = Window.partitionBy(*keys).orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
         ids = ids.withColumn("n", F.sum("rows").over(order)).filter(F.col("n") <= most)
-    return ids.select("doc_id").distinct()
+    return ids.select("doc_id", label)

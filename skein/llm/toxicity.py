@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sampling
 from .bytetext import mix, prefix_hash, span_hash, text_slices
-from .sampling import sample_ids
 
 SAMPLE, MIN_DOCS, STEPS, THRESHOLD, PENALTY = 1200, 5, 300, 0.3, 2e-4
 #: Standard deviations that make a feature worth a weight, and the intercept that the fit starts from.
@@ -135,8 +135,8 @@ def fit(h: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, y: np.ndarray,
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on a bounded sample of ``labelled`` (doc_id, text, toxic); a label weighs as much as in all its rows."""
     rows = labelled.filter("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), F.col("text").cast("string").alias("text"))
-    ids = sample_ids(rows, "toxic", sample)
-    got = rows.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, toxic int, h binary, s binary, n int").toPandas()
+    ids = sampling.sample(rows, "toxic", sample)
+    got = rows.join(F.broadcast(ids), ["doc_id", "toxic"], "left_semi").select("doc_id", "toxic", "text").mapInArrow(_bags, "doc_id long, toxic int, h binary, s binary, n int").toPandas()
     if not len(got):
         return None
     got = got.sort_values(["doc_id", "toxic"])

@@ -411,8 +411,8 @@ def test_samples_are_bounded_in_rows(spark):
     """One doc_id repeated many times does not bring all its rows into a sample, whatever its labels."""
     rows = spark.range(100_000).selectExpr("7L AS doc_id", "if(id % 2 = 0, 'a', 'b') AS label").union(spark.range(100, 400).selectExpr("id AS doc_id", "if(id % 3 = 0, 'a', 'b') AS label"))
     rows = rows.union(spark.range(40).selectExpr("8L AS doc_id", "'a' AS label")).union(spark.range(5).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'a' AS label"))
-    ids = sampling.sample_ids(rows, "label", 50)
-    taken = rows.join(ids, "doc_id", "left_semi").groupBy("label").count().collect()
+    ids = sampling.sample(rows, "label", 50)
+    taken = rows.join(ids, ["doc_id", "label"], "left_semi").groupBy("label").count().collect()
     assert {r["label"] for r in taken} == {"a", "b"} and all(0 < r["count"] <= 50 for r in taken)
-    every = sampling.sample_ids(spark.range(30).selectExpr("id AS doc_id", "'a' AS label"), "label", 50)
+    every = sampling.sample(spark.range(30).selectExpr("id AS doc_id", "'a' AS label"), "label", 50)
     assert every.count() == 30
