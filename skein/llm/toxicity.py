@@ -136,7 +136,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on a bounded sample of ``labelled`` (doc_id, text, toxic); a label weighs as much as in all its rows."""
     rows = labelled.filter("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), F.col("text").cast("string").alias("text"))
     ids = sampling.sample(rows, "toxic", sample)
-    got = rows.join(F.broadcast(ids), ["doc_id", "toxic"], "left_semi").select("doc_id", "toxic", "text").mapInArrow(_bags, "doc_id long, toxic int, h binary, s binary, n int").toPandas()
+    # The first join needs the documents' side only, so that it comes before their texts are shuffled to the labels.
+    some = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    got = some.join(F.broadcast(ids), ["doc_id", "toxic"], "left_semi").select("doc_id", "toxic", "text").mapInArrow(_bags, "doc_id long, toxic int, h binary, s binary, n int").toPandas()
     if not len(got):
         return None
     got = got.sort_values(["doc_id", "toxic"])
