@@ -1,16 +1,17 @@
 """A run-length index over short phrases: the Burrows-Wheeler transform as runs, with suffix positions at run ends.
 
-Built with array operations inside one task over a bounded set of phrases.  Queries walk the transform from right to
-left (LF steps on runs only), all phrases in lockstep, and stream the matching statistics against the index: at every
-step the row of the current suffix is known, and the rows with the same ``depth`` bytes in front of them are its match
-interval.
+Built with array operations inside one task over a bounded set of phrases.  Only what lies at the borders of runs is
+kept: where the first suffix of a run starts, where the last suffix of the run before it starts, and how many symbols the
+two have in common.  Within a run all suffixes follow the same symbol, so that the neighbour of any other suffix is that of
+the suffix one symbol longer, moved by one, and their match is one symbol shorter.  A pass over the text from sample to
+sample therefore streams the matching statistics of every position (nearest earlier suffix in order, length of the match)
+without a suffix array.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-
 def suffix_order(text: np.ndarray, longest: int) -> np.ndarray:
     """Suffixes of ``text`` (bytes + 1, 0 as separator) in order; no two have more than ``longest`` symbols in common."""
     n = len(text)
@@ -18,7 +19,7 @@ def suffix_order(text: np.ndarray, longest: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(7):
         key = key * 257 + padded[j : j + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = np.zeros(n, np.int64)
 
     def number(order: np.ndarray, new: np.ndarray, base: np.ndarray | int) -> np.ndarray:
@@ -38,7 +39,7 @@ def suffix_order(text: np.ndarray, longest: int) -> np.ndarray:
         suffix = order[at]
         follow = np.where(suffix + h < n, rank[np.minimum(suffix + h, n - 1)] + 1, 0)
         pair = group[at] * (n + 2) + follow
-        sort = np.argsort(pair, kind="stable")
+        sort = np.argsort(pair)
         suffix, pair = suffix[sort], pair[sort]
         order[at] = suffix
         head = pair // (n + 2)
@@ -52,79 +53,79 @@ def suffix_order(text: np.ndarray, longest: int) -> np.ndarray:
     return order
 
 
+def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many symbols the suffixes at ``a`` and ``b`` (never the same) have in common, seven at a time."""
+    n = len(text)
+    padded = np.concatenate((text, np.full(14, -1)))
+    word = np.zeros(n + 7, np.int64)
+    for j in range(7):
+        word = word * 258 + padded[j : j + n + 7] + 1
+    common = np.zeros(len(a), np.int64)
+    live = np.arange(len(a))
+    for width, symbols in ((7, word), (1, padded)):
+        run = live
+        while len(run):
+            x, y = np.minimum(a[run] + common[run], n), np.minimum(b[run] + common[run], n)
+            run = run[(symbols[x] == symbols[y]) & (x != y)]
+            common[run] += width
+    return common
+
+
 class RunLengthIndex:
-    """Phrases (concatenated bytes, lengths) with a document number each; intervals of rows share ``depth`` bytes."""
+    """Distinct phrases (concatenated bytes, lengths) as runs of their transform, each sampled at its border."""
 
-    def __init__(self, data: np.ndarray, size: np.ndarray, doc: np.ndarray, depth: int) -> None:
-        m = len(size)
-        first = np.concatenate(([0], np.cumsum(size + 1)))  # each phrase follows its separator
-        text = np.zeros(first[-1] + 1, np.int64)
+    def __init__(self, data: np.ndarray, size: np.ndarray) -> None:
+        self.size = size
+        self.first = np.concatenate(([0], np.cumsum(size + 1)))  # each phrase follows its separator
+        text = np.zeros(self.first[-1] + 1, np.int64)
         inside = np.ones(len(text), bool)
-        inside[first] = False
+        inside[self.first] = False
         text[inside] = data.astype(np.int64) + 1
         order = suffix_order(text, 2 * int(size.max(initial=0)) + 3)
         bwt = text[order - 1]
-        # Runs: heads, first rows, and for each symbol the number of its rows before a run.
-        self.start = np.flatnonzero(np.concatenate(([True], bwt[1:] != bwt[:-1])))
-        self.head = bwt[self.start]
-        length = np.diff(np.append(self.start, len(bwt)))
-        self.sample = order[self.start + length - 1]  # the sampled run ends
-        by = np.argsort(self.head, kind="stable")
-        seen = np.cumsum(length[by]) - length[by]
-        self.before = np.zeros(len(by), np.int64)
-        self.before[by] = seen  # rows of smaller symbols plus those of the same symbol in earlier runs: C + rank
-        self.rows = len(bwt)
-        self.phrases = m
-        # Boundaries between rows that differ within their first ``depth`` bytes, and the least document of each interval.
-        place = np.zeros(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        phrase = np.searchsorted(first, order, "right") - 1
-        room = first[np.minimum(phrase + 1, m)] - order
-        long = room >= depth
-        new = np.ones(len(order), bool)
-        new[1:] = ~(long[1:] & long[:-1] & (self._common(order, text, place) >= depth))
-        self.interval = np.flatnonzero(new)
-        owner = np.where(phrase < m, doc[np.minimum(phrase, m - 1)], np.iinfo(np.int64).max) if m else np.full(len(order), np.iinfo(np.int64).max)
-        self.least = np.minimum.reduceat(owner, self.interval)
-        self.depth = depth
-        self.last_row = place[first[1:]]  # the row of the separator behind each phrase
+        bwt[order == 0] = -1  # nothing is before the whole text
+        start = np.flatnonzero(np.concatenate(([True], bwt[1:] != bwt[:-1])))
+        del bwt
+        begin, end = order[start], order[start - 1]  # the first row of a run, the last of the run before
+        del order
+        common = common_prefix(text, begin[1:], end[1:])
+        by = np.argsort(begin)
+        #: Sampled positions in text order, their neighbours in suffix order, and the lengths of these matches.
+        self.at = begin[by]
+        self.other = np.concatenate(([-1], end[1:]))[by]
+        self.common = np.concatenate(([0], common))[by]
+        self.symbols = len(text)
+
+    @property
+    def runs(self) -> int:
+        return len(self.at)
 
-    @staticmethod
-    def _common(order: np.ndarray, text: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Common prefixes of neighbouring rows, up to 64 symbols, eight bytes at a time."""
-        n = len(text)
-        padded = np.concatenate((text, np.full(72, -1)))
-        word = np.zeros(n + 65, np.int64)
-        for j in range(7):
-            word = word * 257 + padded[j : j + n + 65] + 1
-        a, b = order[:-1], order[1:]
-        common = np.zeros(len(a), np.int64)
-        live = np.arange(len(a))
-        for step in range(0, 56, 7):
-            live = live[word[np.minimum(a[live] + step, n + 64)] == word[np.minimum(b[live] + step, n + 64)]]
-            common[live] = step + 7
-            if step == 42:  # 49 symbols are equal: the fiftieth decides
-                live = live[padded[a[live] + 49] == padded[b[live] + 49]]
-                common[live] = 50
-                break
-        return common
+    def stream(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each text position the suffix before it in order, and the length of their match (0 or less: none)."""
+        here = np.arange(self.symbols)
+        reach = np.diff(np.append(self.at, self.symbols))
+        return np.repeat(self.other - self.at, reach) + here, np.repeat(self.common + self.at, reach) - here
 
-    def lf(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of the suffixes one symbol longer, and that symbol; only the runs are read."""
-        run = np.searchsorted(self.start, row, "right") - 1
-        return self.before[run] + row - self.start[run], self.head[run]
+    def least(self, doc: np.ndarray, depth: int) -> np.ndarray:
+        """For each window of ``depth`` bytes of each phrase in turn, the least document of a phrase that has these bytes.
 
-    def stream(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each window of ``depth`` bytes of each phrase the least document with these bytes; and offsets."""
-        count = np.maximum(size - self.depth + 1, 0)
-        off = np.concatenate(([0], np.cumsum(count)))
-        out = np.zeros(off[-1], np.int64)
-        live = np.arange(self.phrases)
-        row = self.last_row.copy()
-        for step in range(1, int(size.max(initial=0)) + 1):
-            live = live[size[live] >= step]
-            row[live], _ = self.lf(row[live])
-            if step >= self.depth:
-                at = off[live] + size[live] - step
-                out[at] = self.least[np.searchsorted(self.interval, row[live], "right") - 1]
-        return out, off
+        Windows with equal bytes are neighbours in suffix order: their matches of ``depth`` symbols or more link them to
+        chains, and a chain is answered once.
+        """
+        count = np.maximum(self.size - depth + 1, 0)
+        cum = np.cumsum(count) - count
+        window = np.repeat(self.first[:-1] + 1 - cum, count) + np.arange(int(count.sum()))
+        other, length = self.stream()
+        linked = np.flatnonzero(length[window] >= depth)
+        slot = np.zeros(self.symbols, np.int64)
+        slot[window] = np.arange(len(window))
+        chain = np.arange(len(window))
+        chain[linked] = slot[other[window[linked]]]
+        while len(linked):
+            further = chain[chain[linked]]
+            moved = further != chain[linked]
+            chain[linked] = further
+            linked = linked[moved]
+        out = np.full(len(window), np.iinfo(np.int64).max)
+        np.minimum.at(out, chain, np.repeat(doc, count))
+        return out[chain]

@@ -4,15 +4,17 @@ How the index is distributed.  Every 50-byte window has one anchor, the least-ha
 the window alone; neighbouring windows with the same anchor form a phrase, so equal windows always lie in phrases of
 equal anchors.  As in prefix-free parsing, a phrase that occurs many times enters the dictionary once:
 
-1. blocks of documents send each distinct phrase once (anchor, content hash, least document) to the anchor's bucket;
-2. a bucket answers with the least document of each phrase, and marks anchors with more than one phrase;
-3. for those only, blocks send the phrase bytes; a bucket builds a run-length index over its dictionary, streams the
-   phrases' matching statistics and answers with the least document for each window;
-4. blocks mark the windows that a smaller document has.
+1. blocks of documents tell the anchor's bucket each distinct phrase once (anchor, content hash, least document);
+2. a bucket asks the block of the least document for the bytes of each phrase that matters: one that several documents
+   have, or whose anchor has other phrases as well;
+3. that block sends the bytes, once for all blocks that have the phrase;
+4. the bucket builds run-length indexes over its dictionary, in slices of whole anchors, streams the matching statistics of
+   all phrases, and answers each block with the least document for each window;
+5. blocks mark the windows that a smaller document has.  Nothing is removed but by an answer of an index.
 
 A hot passage is one phrase for each block, never one row for each document, and no step holds more than a block or a
-bucket.  Messages carry 32 bits of the anchor besides those of its bucket (anchors that meet only send more bytes to step 3)
-and 48 bits of the content hash; documents are numbers as narrow as a message allows.  Only filled buckets get messages.
+bucket.  Messages carry 32 bits of the anchor besides those of its bucket (anchors that meet only share a slice) and 48
+bits of the content hash; documents are numbers as narrow as a message allows.  Only filled buckets get messages.
 
 Defined results: null text is empty and keeps nothing to remove; texts under 50 bytes are kept; rows with equal doc_id
 do not remove from each other; a null doc_id is larger than any other; further columns stay untouched.
@@ -36,10 +38,12 @@ from .rlindex import RunLengthIndex
 
 WINDOW, ANCHOR = 50, 20
 BLOCK_BYTES = 6 << 20
+SLICE_BYTES = 1 << 20
 _LAST = np.iinfo(np.int64).max
 _PHRASES = "_bucket int, _block int, base long, mins binary, keys binary, lo binary, multi binary"
-_DICT = "_bucket int, _block int, base long, idx binary, lo binary, sizes binary, data binary"
-_REPLY = "_block int, bucket int, kind int, base long, idx binary, vals binary, cut binary, edge binary"
+_ASK = "_block int, bucket int, idx binary"
+_DICT = "_bucket int, _block int, more binary, data binary"
+_REPLY = "_block int, bucket int, base long, idx binary, whole binary, vals binary"
 
 
 def phrases(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -153,86 +157,100 @@ def _splice(ids: tuple[int, bytes], *between: bytes) -> tuple:
     return (ids[0], *between, ids[1])
 
 
-def _answer_phrases(table: pa.Table) -> pa.Table:
-    """For each block: the entries that matter (in other documents too, or of an anchor with several phrases)."""
-    bucket = table.column("_bucket")[0].as_py()
-    rows = table.select(["_block", "base", "mins", "keys", "lo", "multi"]).to_pylist()
-    sizes = [len(r["mins"]) // 4 for r in rows]
-    cut = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-    anchor = np.concatenate([np.frombuffer(r["mins"], "<u4") for r in rows])
-    key = np.concatenate([_unpack48(r["keys"]) for r in rows])
-    lo = np.concatenate([_unpack_ids(r["base"], r["lo"], n) for r, n in zip(rows, sizes, strict=True)])
-    multi = np.concatenate([np.unpackbits(np.frombuffer(r["multi"], np.uint8), count=n).astype(bool) for r, n in zip(rows, sizes, strict=True)])
-    blocks = [r["_block"] for r in rows]
-    del rows
-    order = np.lexsort((key, anchor))
-    a, k = anchor[order], key[order]
-    new_a = np.concatenate(([True], a[1:] != a[:-1]))
-    new_k = new_a | np.concatenate(([True], k[1:] != k[:-1]))
-    at = np.flatnonzero(new_k)
-    group = np.cumsum(new_k) - 1
-    least = np.minimum.reduceat(lo[order], at)
-    many = np.logical_or.reduceat(multi[order], at) | (np.diff(np.append(at, len(order))) > 1)
-    at_a = np.flatnonzero(new_a[at])
-    kinds = np.diff(np.append(at_a, len(at)))
-    edge_of = np.repeat(kinds > 1, kinds)
-    least_all, many_all, edge_all = np.zeros(len(order), np.int64), np.zeros(len(order), bool), np.zeros(len(order), bool)
-    least_all[order], many_all[order], edge_all[order] = least[group], many[group], edge_of[group]
-    out = []
-    for i, block in enumerate(blocks):
-        s = slice(cut[i], cut[i + 1])
-        idx = np.flatnonzero(many_all[s] | edge_all[s])
-        if len(idx):
-            out.append((block, bucket, 0, *_splice(_pack_ids(least_all[s][idx]), idx.astype("<u4").tobytes()), b"", np.packbits(edge_all[s][idx]).tobytes()))
-    return _table(_REPLY, out)
+class _Bucket:
+    """What blocks told of a bucket's phrases, and the dictionary of those that matter, in order of anchors.
+
+    It depends on the messages alone, not on their order, so that every step finds the same numbers and owners.
+    """
+
+    def __init__(self, table: pa.Table) -> None:
+        rows = sorted(table.select(["_block", "base", "mins", "keys", "lo", "multi"]).to_pylist(), key=lambda r: r["_block"])
+        sizes = [len(r["mins"]) // 4 for r in rows]
+        self.number = table.column("_bucket")[0].as_py()
+        self.blocks = [r["_block"] for r in rows]
+        self.cut = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        anchor = np.concatenate([np.frombuffer(r["mins"], "<u4") for r in rows])
+        key = np.concatenate([_unpack48(r["keys"]) for r in rows])
+        self.lo = np.concatenate([_unpack_ids(r["base"], r["lo"], n) for r, n in zip(rows, sizes, strict=True)])
+        self.multi = np.concatenate([np.unpackbits(np.frombuffer(r["multi"], np.uint8), count=n).astype(bool) for r, n in zip(rows, sizes, strict=True)])
+        del rows
+        order = np.lexsort((key, anchor))
+        a, k = anchor[order], key[order]
+        new_a = np.concatenate(([True], a[1:] != a[:-1]))
+        new_k = new_a | np.concatenate(([True], k[1:] != k[:-1]))
+        at = np.flatnonzero(new_k)
+        group = np.cumsum(new_k) - 1
+        least = np.minimum.reduceat(self.lo[order], at)
+        many = np.logical_or.reduceat(self.multi[order], at) | (np.diff(np.append(at, len(order))) > 1)
+        kinds = np.diff(np.append(np.flatnonzero(new_a[at]), len(at)))
+        matters = many | np.repeat(kinds > 1, kinds)
+        #: Dictionary number of each entry, or -1; least document and anchor of each number.
+        self.phrase = np.full(len(order), -1)
+        self.phrase[order] = np.where(matters, np.cumsum(matters) - 1, -1)[group]
+        self.least, self.anchor = least[matters], a[at][matters]
+        # The first entry that has a phrase's least document owns it.
+        holds = np.flatnonzero(matters[group] & (self.lo[order] == least[group]))
+        own = group[holds]
+        self.owned = np.sort(order[holds[np.concatenate(([True], own[1:] != own[:-1]))[: len(own)]]])
+
+    def of_block(self, i: int, entries: np.ndarray) -> np.ndarray:
+        """Those of the sorted ``entries`` that are of the i-th block, counted from its first."""
+        lo, hi = np.searchsorted(entries, self.cut[i : i + 2])
+        return entries[lo:hi] - self.cut[i]
+
+
+def _ask(table: pa.Table) -> pa.Table:
+    bucket = _Bucket(table)
+    asked = [(block, bucket.of_block(i, bucket.owned)) for i, block in enumerate(bucket.blocks)]
+    return _table(_ASK, [(block, bucket.number, idx.astype("<u4").tobytes()) for block, idx in asked if len(idx)])
 
 
 def _send_bytes(buckets: int):
-    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+    def run(texts: pa.Table, asks: pa.Table) -> pa.Table:
         rows = []
-        if len(texts) and len(replies):
+        if len(texts) and len(asks):
             number = texts.column("_block")[0].as_py()
             b = _Block(texts, buckets)
-            for r in replies.select(["bucket", "idx", "edge"]).to_pylist():
-                idx = np.frombuffer(r["idx"], "<u4").astype(np.int64)
-                edge = np.unpackbits(np.frombuffer(r["edge"], np.uint8), count=len(idx)).astype(bool)
-                idx = idx[edge]
-                if not len(idx):
-                    continue
-                entry = b.cuts[r["bucket"]][0] + idx
-                start, size = b.first[b.sample[entry]].astype(np.int64), b.more[b.sample[entry]].astype(np.int64) + WINDOW
-                rows.append((r["bucket"], number, *_splice(_pack_ids(b.lo[entry]), idx.astype("<u4").tobytes()), size.astype("<u2").tobytes(), b.data[_ragged(start, size)].tobytes()))
+            for r in asks.select(["bucket", "idx"]).to_pylist():
+                entry = b.sample[b.cuts[r["bucket"]][0] + np.frombuffer(r["idx"], "<u4").astype(np.int64)]
+                more = b.more[entry]
+                rows.append((r["bucket"], number, more.tobytes(), b.data[_ragged(b.first[entry].astype(np.int64), more.astype(np.int64) + WINDOW)].tobytes()))
         return _table(_DICT, rows)
 
     return run
 
 
-def _answer_windows(table: pa.Table) -> pa.Table:
-    """Build the bucket's index over its distinct phrases and stream them: least documents for each window."""
-    bucket = table.column("_bucket")[0].as_py()
-    rows = table.to_pylist()
-    size = np.concatenate([np.frombuffer(r["sizes"], "<u2") for r in rows]).astype(np.int64)
-    lo = np.concatenate([_unpack_ids(r["base"], r["lo"], len(r["sizes"]) // 2) for r in rows])
-    raw = b"".join(r.pop("data") for r in rows)
-    start = np.cumsum(size) - size
-    number: dict[bytes, int] = {}
-    which = np.fromiter((number.setdefault(raw[s : s + n], len(number)) for s, n in zip(start.tolist(), size.tolist(), strict=True)), np.int64, len(size))
-    del raw, start
-    doc = np.full(len(number), _LAST, np.int64)
-    np.minimum.at(doc, which, lo)
-    distinct = np.fromiter(map(len, number), np.int64, len(number))
-    text = np.frombuffer(b"".join(number), np.uint8)
-    number.clear()
-    index = RunLengthIndex(text, distinct, doc, WINDOW)
-    least, off = index.stream(distinct)
-    del index
-    out, at = [], 0
-    for r in rows:
-        n = len(r["sizes"]) // 2
-        own = which[at : at + n]
-        count = np.diff(off)[own]
-        out.append((r["_block"], bucket, 1, *_splice(_pack_ids(least[_ragged(off[own], count)]), r["idx"]), count.astype("<u2").tobytes(), b""))
-        at += n
+def _answer_windows(told: pa.Table, sent: pa.Table) -> pa.Table:
+    """Index the bucket's dictionary and stream it: for each block the least documents of its phrases' windows."""
+    if not len(told) or not len(sent):
+        return _table(_REPLY, [])
+    bucket = _Bucket(told)
+    rows = sorted(sent.select(["_block", "more", "data"]).to_pylist(), key=lambda r: r["_block"])
+    more = np.concatenate([np.frombuffer(r["more"], np.uint8) for r in rows]).astype(np.int64)
+    data = np.frombuffer(b"".join(r.pop("data") for r in rows), np.uint8)
+    start = np.cumsum(more + WINDOW) - (more + WINDOW)
+    # From the owners' order to that of the dictionary.
+    order = np.argsort(bucket.phrase[bucket.owned])
+    start, size = start[order], more[order] + WINDOW
+    off = np.concatenate(([0], np.cumsum(size - WINDOW + 1)))
+    least = np.empty(off[-1], np.int64)
+    border = np.flatnonzero(np.concatenate(([True], bucket.anchor[1:] != bucket.anchor[:-1], [True])))
+    part = (np.concatenate(([0], np.cumsum(size)))[border]) // SLICE_BYTES
+    cuts = np.append(border[:-1][np.concatenate(([True], part[1:-1] != part[:-2]))], border[-1])
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        index = RunLengthIndex(data[_ragged(start[x:y], size[x:y])], size[x:y])
+        least[off[x] : off[y]] = index.least(bucket.least[x:y], WINDOW)
+    lowest = np.minimum.reduceat(least, off[:-1])
+    alike = lowest == np.maximum.reduceat(least, off[:-1])
+    told_more = np.flatnonzero((bucket.phrase >= 0) & (bucket.multi | (lowest[bucket.phrase] < bucket.lo)))
+    out = []
+    for i, block in enumerate(bucket.blocks):
+        idx = bucket.of_block(i, told_more)
+        if len(idx):
+            phrase = bucket.phrase[idx + bucket.cut[i]]
+            whole, parts = alike[phrase], phrase[~alike[phrase]]
+            vals = np.concatenate((lowest[phrase[whole]], least[_ragged(off[parts], off[parts + 1] - off[parts])]))
+            out.append((block, bucket.number, *_splice(_pack_ids(vals), idx.astype("<u4").tobytes(), np.packbits(whole).tobytes())))
     return _table(_REPLY, out)
 
 
@@ -241,20 +259,23 @@ def _mark(buckets: int, names: list[str], schema: pa.Schema):
         if not len(texts):
             return schema.empty_table()
         b = _Block(texts, buckets)
-        least = b.lo.copy()
+        # Without an answer a phrase is of this document alone.
+        least = np.full(len(b.lo), _LAST)
         at, count, flat, used = np.zeros(len(least), np.int64), np.zeros(len(least), np.uint8), [], 0
         for batch in replies.to_batches(64):
             for r in batch.to_pylist():
                 idx = np.frombuffer(r["idx"], "<u4").astype(np.int64)
                 entry = b.cuts[r["bucket"]][0] + idx
-                if r["kind"] == 0:
-                    least[entry] = _unpack_ids(r["base"], r["vals"], len(idx))
-                else:
-                    own = np.frombuffer(r["cut"], "<u2").astype(np.int64)
-                    count[entry] = own
-                    at[entry] = used + np.cumsum(own) - own
-                    flat.append(_unpack_ids(r["base"], r["vals"], int(own.sum())))
-                    used += len(flat[-1])
+                whole = np.unpackbits(np.frombuffer(r["whole"], np.uint8), count=len(idx)).astype(bool)
+                parts = entry[~whole]
+                own = b.more[b.sample[parts]].astype(np.int64) + 1
+                alike = len(idx) - len(parts)
+                vals = _unpack_ids(r["base"], r["vals"], alike + int(own.sum()))
+                least[entry[whole]] = vals[:alike]
+                count[parts] = own
+                at[parts] = used + np.cumsum(own) - own
+                flat.append(vals[alike:])
+                used += len(flat[-1])
         windows = np.concatenate(flat) if flat else np.zeros(0, np.int64)
         flat.clear()
         texts_left, digests, removed, spans = [], [], [], []
@@ -310,11 +331,12 @@ def remove_repeats(docs: DataFrame, keep_columns: bool = False, figures: str = "
     if other:
         out += f", _row {row_type.simpleString()}"
     by_block = texts.groupBy("_block")
-    answers = by_block.applyInArrow(_send_phrases(buckets), _PHRASES).groupBy("_bucket").applyInArrow(_answer_phrases, _REPLY)
-    sent = by_block.cogroup(answers.groupBy("_block")).applyInArrow(_send_bytes(buckets), _DICT)
-    windows = sent.groupBy("_bucket").applyInArrow(_answer_windows, _REPLY)
+    told = by_block.applyInArrow(_send_phrases(buckets), _PHRASES).groupBy("_bucket")
+    asks = told.applyInArrow(_ask, _ASK)
+    sent = by_block.cogroup(asks.groupBy("_block")).applyInArrow(_send_bytes(buckets), _DICT)
+    answers = told.cogroup(sent.groupBy("_bucket")).applyInArrow(_answer_windows, _REPLY)
     arrow = to_arrow_schema(StructType.fromDDL(out))
-    marked = by_block.cogroup(answers.union(windows).groupBy("_block")).applyInArrow(_mark(buckets, names, arrow), out)
+    marked = by_block.cogroup(answers.groupBy("_block")).applyInArrow(_mark(buckets, names, arrow), out)
     if not keep_columns:
         return marked.drop("_row")
     return marked.select("doc_id", "text", *[F.col(f"_row.`{c}`").alias(c) for c in other], F.struct(*names[2:6]).alias(figures))

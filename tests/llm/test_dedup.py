@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -121,10 +122,22 @@ def test_index(letters):
     for p, d in phrases.items():
         for k in range(len(p) - 49):
             least[p[k : k + 50]] = min(d, least.get(p[k : k + 50], d))
-    index = RunLengthIndex(np.frombuffer(b"".join(phrases), np.uint8), size, np.array(list(phrases.values())), 50)
-    got, off = index.stream(size)
-    assert got.tolist() == [least[p[k : k + 50]] for p in phrases for k in range(len(p) - 49)] and off[-1] == len(got)
-    assert len(index.start) < index.rows or letters > 5
+    index = RunLengthIndex(np.frombuffer(b"".join(phrases), np.uint8), size)
+    got = index.least(np.array(list(phrases.values())), 50)
+    assert got.tolist() == [least[p[k : k + 50]] for p in phrases for k in range(len(p) - 49)]
+    assert index.runs < index.symbols / 2 or letters < 5
+    whole = b"\0" + b"\0".join(phrases) + b"\0"
+    order = sorted(range(len(whole)), key=lambda i: whole[i:])
+    before = dict(zip(order[1:], order[:-1], strict=True))
+    other, length = index.stream()
+    assert {i: o for i, o in enumerate(other.tolist()) if i != order[0]} == before
+    assert all(length[i] == len(os.path.commonprefix([whole[i:], whole[o:]])) for i, o in before.items())
+    for depth in (20, 50, 60):
+        by_bytes: dict[bytes, int] = {}
+        for p, d in phrases.items():
+            for k in range(len(p) - depth + 1):
+                by_bytes[p[k : k + depth]] = min(d, by_bytes.get(p[k : k + depth], d))
+        assert index.least(np.array(list(phrases.values())), depth).tolist() == [by_bytes[p[k : k + depth]] for p in phrases for k in range(len(p) - depth + 1)]
     text = np.append(rng.integers(1, 1 + letters, 300), 0)
     assert suffix_order(text, 301).tolist() == sorted(range(301), key=lambda i: text[i:].tolist())
 
