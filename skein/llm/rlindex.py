@@ -12,43 +12,46 @@ from __future__ import annotations
 
 import numpy as np
 
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys of so many bits, and the keys in it; as one sort of numbers where key and place fit in 63 bits."""
+    place = len(key).bit_length()
+    if bits + place > 63:
+        order = np.argsort(key)
+        return order, key[order]
+    both = (key << place) | np.arange(len(key))
+    both.sort()
+    return both & ((1 << place) - 1), both >> place
+
+
 def suffix_order(text: np.ndarray, longest: int) -> np.ndarray:
     """Suffixes of ``text`` (bytes + 1, 0 as separator) in order; no two have more than ``longest`` symbols in common."""
     n = len(text)
-    padded = np.concatenate((text.astype(np.int64), np.zeros(7, np.int64)))
+    used = np.zeros(int(text.max(initial=0)) + 1, bool)
+    used[text] = True
+    symbols = np.cumsum(used)  # from 1, as 0 is behind the end
+    bits, width = int(symbols[-1]).bit_length(), n.bit_length()
+    h = max(1, (63 - width) // bits)
+    padded = np.concatenate((symbols[text], np.zeros(h, np.int64)))
     key = np.zeros(n, np.int64)
-    for j in range(7):
-        key = key * 257 + padded[j : j + n]
-    order = np.argsort(key)
-    rank = np.zeros(n, np.int64)
-
-    def number(order: np.ndarray, new: np.ndarray, base: np.ndarray | int) -> np.ndarray:
-        first = np.flatnonzero(new)
-        return base + np.repeat(first, np.diff(np.append(first, len(order))))
-
-    sorted_key = key[order]
-    rank[order] = number(order, np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])), 0)
-    h = 7
-    while h < longest:
-        # Ranks are the place of a group's first suffix; only suffixes in groups of two or more are sorted again.
-        group = rank[order]
-        single = np.concatenate(([True], group[1:] != group[:-1])) & np.concatenate((group[1:] != group[:-1], [True]))
-        at = np.flatnonzero(~single)
-        if not len(at):
-            break
+    for j in range(h):
+        key = (key << bits) | padded[j : j + n]
+    order, key = _sorted(key, h * bits)
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    rank = np.empty(n, np.int64)
+    # Ranks are the place of a group's first suffix; only suffixes in groups of two or more are sorted again.
+    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    at = np.flatnonzero(~(new & np.append(new[1:], True)))
+    while h < longest and len(at):
         suffix = order[at]
+        group = rank[suffix]
         follow = np.where(suffix + h < n, rank[np.minimum(suffix + h, n - 1)] + 1, 0)
-        pair = group[at] * (n + 2) + follow
-        sort = np.argsort(pair)
-        suffix, pair = suffix[sort], pair[sort]
+        sort, pair = _sorted((group << width) | follow, 2 * width)
+        suffix = suffix[sort]
         order[at] = suffix
-        head = pair // (n + 2)
         new = np.concatenate(([True], pair[1:] != pair[:-1]))
-        old = np.concatenate(([True], head[1:] != head[:-1]))
-        start = np.flatnonzero(old)
-        within = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
-        lead = np.flatnonzero(new)
-        rank[suffix] = head + np.repeat(within[lead], np.diff(np.append(lead, len(at))))
+        # Groups lie side by side in ``at`` as in the order, and sorting keeps each in its places.
+        rank[suffix] = at[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        at = at[~(new & np.append(new[1:], True))]
         h *= 2
     return order
 
@@ -56,18 +59,18 @@ def suffix_order(text: np.ndarray, longest: int) -> np.ndarray:
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many symbols the suffixes at ``a`` and ``b`` (never the same) have in common, seven at a time."""
     n = len(text)
-    padded = np.concatenate((text, np.full(14, -1)))
-    word = np.zeros(n + 7, np.int64)
+    padded = np.concatenate((text + 1, np.zeros(7, np.int64)))
+    word = np.zeros(n + 1, np.int64)
     for j in range(7):
-        word = word * 258 + padded[j : j + n + 7] + 1
+        word = (word << 9) | padded[j : j + n + 1]
     common = np.zeros(len(a), np.int64)
     live = np.arange(len(a))
-    for width, symbols in ((7, word), (1, padded)):
-        run = live
-        while len(run):
-            x, y = np.minimum(a[run] + common[run], n), np.minimum(b[run] + common[run], n)
-            run = run[(symbols[x] == symbols[y]) & (x != y)]
-            common[run] += width
+    while len(live):
+        live = live[word[a[live] + common[live]] == word[b[live] + common[live]]]
+        common[live] += 7
+    for width in (4, 2, 1):  # the rest is under seven
+        word_of = word >> (9 * (7 - width))
+        common += width * (word_of[np.minimum(a + common, n)] == word_of[np.minimum(b + common, n)])
     return common
 
 
