@@ -60,3 +60,47 @@ def test_progress_adds_up(spark, tmp_path):
     assert len(rows) == 3 and sum(r["files"] for r in rows) == 39 and sum(r["chunks"] for r in rows) == written.count()
     assert {r["batch"]: r["chunks"] for r in rows} == {r["batch"]: r["count"] for r in written.groupBy("batch").count().collect()}
     assert all(r["calls"] == -(-r["chunks"] // 20) and r["elapsed_ms"] >= 0 for r in rows)
+
+
+def test_slices_of_many_files_lose_no_rows(spark, tmp_path):
+    """Files of one slice whose times go backwards are one batch; sessions and jobs that share a bucket keep apart."""
+    rows = spark.range(1200).selectExpr("concat('s', id % 600) AS token_hash", "id AS user_id", "if(id < 600, 'open', 'close') AS action", "timestamp'2024-01-01' + make_dt_interval(0, 0, id) AS at")
+    backwards = rows.repartitionByRange(12, F.desc("at"))
+    with replay.keyed_state(spark):
+        replay.replayed(backwards, "at", str(tmp_path), lambda stream, cp: replay.append_batches(sessions.lives(stream), str(tmp_path / "changes"), cp))
+    now = {r["token_hash"]: (r["user_id"], r["how"], r["ended_at"]) for r in sessions.current(spark.read.schema(sessions.OUT).parquet(str(tmp_path / "changes"))).collect()}
+    assert now == {f"s{k}": (k, "closed", T0 + timedelta(minutes=600 + k)) for k in range(600)}
+
+
+def test_jobs_that_share_a_bucket(spark, tmp_path):
+    """Jobs of files whose times go backwards, and a job of no name: last state, first time, number of transitions, stale ones."""
+    rows = spark.range(1200).selectExpr("if(id % 600 = 0, NULL, concat('j', id % 600)) AS job_id", "timestamp'2024-01-01' + make_dt_interval(0, 0, id * 5) AS created_at", "id AS event_id", "if(id >= 600 AND id % 2 = 0, 'done', 'running') AS status", "'t' AS tool", "CAST(NULL AS string) AS error_message", "concat('p', id) AS params")
+    with replay.keyed_state(spark):
+        replay.replayed(rows.repartitionByRange(12, F.desc("created_at")), "created_at", str(tmp_path), lambda stream, cp: replay.append_batches(jobs.states(stream), str(tmp_path / "changes"), cp))
+    now = {r["job_id"]: (r["status"], r["stale"], r["transitions"], r["params"], r["error_message"], r["first_at"]) for r in jobs.current(spark.read.schema(jobs.OUT).parquet(str(tmp_path / "changes"))).collect()}
+    last = 1199 * 5
+    for k in range(600):
+        done, at = k % 2 == 0, (600 + k) * 5
+        assert now[f"j{k}" if k else None] == ("done" if done else "running", not done and at + 1440 <= last, 2, f"p{600 + k}", None, T0 + timedelta(minutes=5 * k)), k
+    assert len(now) == 600
+
+
+def test_progress_has_a_batch_for_each_part(spark, tmp_path):
+    """Parts of many files are as many batches as there are parts."""
+    from skein import queries
+
+    files = spark.range(400).selectExpr("id AS doc_id", "repeat('x', CAST(id AS int)) AS text", "concat('src', id % 3) AS source", "'de' AS lang", "id AS n_chars")
+    files.repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, watch = [], progress.watch
+
+    def counted(*args, **more):
+        found = watch(*args, **more)
+        seen.append(found.count())
+        return found
+
+    progress.watch = counted
+    try:
+        steps = queries.QUERIES["index_progress_stream"](spark, str(tmp_path)).orderBy("step").collect()
+    finally:
+        progress.watch = watch
+    assert seen == [1, 1, 1, 1] and [r["files"] for r in steps] == [99, 100, 100, 100] and all(r["timed"] for r in steps)
