@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from .streaming import progress, replay, sessions
     f"{_J} SELECT *, status IN ('pending', 'running') AND updated_at < (SELECT max(created_at) FROM jobs) - INTERVAL 1 DAY AS stale FROM ({_LATEST})",
 )
 def job_states_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transitions in four spans of time, a restart after two: the last state of each job, and the jobs that were lost."""
+    """Transitions in four spans of time, a restart after each: the last state of each job, and the jobs that were lost."""
     base, rows = scratch.folder(spark), store(spark, sf_dir, "jobs").filter("created_at is not null")
 
     def start(stream: DataFrame, checkpoint: str):
@@ -43,7 +45,7 @@ def _session_events(events: DataFrame) -> DataFrame:
         CASE WHEN closed_at IS NOT NULL THEN 'closed' WHEN expires_at <= t THEN 'expired' ELSE 'live' END AS how FROM j, n""",
 )
 def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions opened, closed and expired while the stream is read, with a restart between."""
+    """Sessions opened, closed and expired while the stream is read, with a restart after each fourth of the time."""
     base, events = scratch.folder(spark), table(spark, sf_dir, "events").filter("ts is not null")
 
     def start(stream: DataFrame, checkpoint: str):
@@ -61,15 +63,15 @@ def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT CAST(row_number() OVER (ORDER BY part) AS INT) AS step, files, chunks, CAST(ceil(chunks / 20.0) AS BIGINT) AS calls, CAST(sum(chunks) OVER (ORDER BY part) AS BIGINT) AS chunks_so_far, true AS timed FROM k""",
 )
 def index_progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files come in four parts; what each micro-batch observed of them, in order, while they were cut and written."""
+    """Files come in four parts, each one micro-batch of one stream; what it observed of them, in order, while they were cut and written."""
     base, files = scratch.folder(spark), store(spark, sf_dir, "files").select("repo_name", "file_path", "content", "doc_id")
+    runs = []
     for part in range(4):
+        # A part may be several files; they are one batch, cut and written by as many tasks as there are.
         files.filter(F.col("doc_id") % 4 == part).write.parquet(f"{base}/input/part={part}")
-    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/input/*")
-    # A part may be several files, and so several batches: their rows are added up by part.
-    rows = progress.watch(spark, stream, f"{base}/chunks", f"{base}/checkpoint")
-    by_part = spark.read.parquet(f"{base}/chunks").groupBy("batch").agg(F.min(F.col("doc_id") % 4).alias("part"))
-    steps = rows.join(by_part, "batch").groupBy("part").agg(F.sum("files").alias("files"), F.sum("chunks").alias("chunks"), F.min("elapsed_ms").alias("since"), F.max("elapsed_ms").alias("until"))
+        stream = spark.readStream.schema(files.schema).parquet(f"{base}/input/*")
+        runs.append(progress.watch(spark, stream, f"{base}/chunks", f"{base}/checkpoint").withColumn("part", F.lit(part)))
+    steps = reduce(DataFrame.union, runs).groupBy("part").agg(F.sum("files").alias("files"), F.sum("chunks").alias("chunks"), F.min("elapsed_ms").alias("since"), F.max("elapsed_ms").alias("until"))
     order = Window.orderBy("part")  # four rows
     so_far = F.sum("chunks").over(order)
     return steps.select(F.row_number().over(order).alias("step"), "files", "chunks", F.ceil(F.col("chunks") / 20).alias("calls"), so_far.alias("chunks_so_far"), (F.col("until") >= F.col("since")).alias("timed"))
