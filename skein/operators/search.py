@@ -6,15 +6,19 @@ from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors
 
 #: So many queries are broadcast at most, or meet the rows in one task; pairs that a task reads before it drops the far ones.
 BLOCK_QUERIES, HELD_PAIRS = 4096, 1 << 17
+#: Rows and queries that meet in one matrix product; by how much it may differ from a similarity; squared lengths whose products are numbers.
+GROUP_ROWS, GROUP_QUERIES, SLACK, LENGTHS = 1 << 13, 1 << 10, 1e-9, (1e-140, 1e140)
 
 
 def in_repos(column: Column, repos: Sequence[str] | None) -> Column:
@@ -69,17 +73,74 @@ def _first_k(k: int, key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         yield from cut(parts).to_batches()
 
 
+def _nearest(k: int, key: str, vector: str, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    """(query_id, key, similarity) of the k nearest rows of each query of one group of rows and queries that have a direction.
+
+    One matrix product finds who can be among them; their similarity is then summed in the order that ``vectors.cosine`` has, so that
+    equal vectors tie.
+    """
+    if not len(rows) or not len(queries):
+        return pd.DataFrame({"query_id": queries["query_id"], key: rows[key], "similarity": np.zeros(0)}).iloc[:0]
+    rows = rows.sort_values(key, ignore_index=True)
+    # Of rows with one vector only those of the k smallest keys can be near to anything.
+    same = pd.Series([v.tobytes() for v in rows[vector]])
+    rows = rows[same.groupby(same, sort=False).cumcount() < k]
+    x, q = (np.stack(c.to_list()).astype(np.float64) for c in (rows[vector], queries["query"]))
+
+    def summed(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(i))
+        for d in range(a.shape[1]):
+            total += a[i, d] * b[j, d]
+        return total
+
+    xx, qq = (summed(m, m, np.arange(len(m)), np.arange(len(m))) for m in (x, q))
+    near = (q / np.sqrt(qq)[:, None]) @ (x / np.sqrt(xx)[:, None]).T
+    least = np.partition(near, -k, axis=1)[:, -k] if k < len(x) else np.full(len(q), -2.0)
+    of, row = np.nonzero(near >= (least - SLACK)[:, None])
+    exact = summed(q, x, of, row) / np.sqrt(qq[of] * xx[row])
+    at = np.lexsort((row, -exact, of))
+    of, row, exact = of[at], row[at], exact[at]
+    at = np.arange(len(of)) - np.searchsorted(of, of) < k
+    return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[of[at]], key: rows[key].to_numpy()[row[at]], "similarity": exact[at]})
+
+
 def top_k_batch(chunks: DataFrame, queries: DataFrame, k: int = 4, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, key, score): the k nearest rows of a stated set of queries (query_id, query).
 
-    A few queries are broadcast; more are dealt into blocks of about ``BLOCK_QUERIES``, each met by each part of the rows in
-    a task of its own.  A task hands on the k nearest rows of each of its queries only.
+    Rows and queries with a direction meet in groups of bounded size, each a matrix product, which hands on the k nearest rows of
+    each of its queries only.  The others (null or zero vectors, components that are null or not finite, other lengths) are few
+    and are compared pair by pair; of equal ones among the rows the k first count, as no query tells them apart.
     """
-    n = queries.count()
-    side = F.broadcast(queries) if n <= BLOCK_QUERIES else queries.repartition(-(-n // BLOCK_QUERIES)).hint("shuffle_replicate_nl")
-    pairs = chunks.crossJoin(side).select("query_id", key, vectors.cosine(F.col(vector), F.col("query")).alias("similarity"))
+    sizes = queries.groupBy(F.size("query").alias("dims")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dims")).collect()  # a row for each length
+    dims, n, rows = sizes[0]["dims"] if sizes else 0, sum(r["n"] for r in sizes), chunks.select(key, vector)
+
+    def plain(name: str, of: Column) -> Column:
+        finite = F.forall(name, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+        return F.coalesce(of.isNotNull() & (F.size(name) == dims) & finite & vectors.dot(F.col(name), F.col(name)).between(*LENGTHS), F.lit(False))
+
+    good, asked = rows.filter(plain(vector, F.col(key))), queries.select("query_id", "query").filter(plain("query", F.col("query_id")))
+    odd, rest = rows.filter(~plain(vector, F.col(key))), queries.select("query_id", "query").filter(~plain("query", F.col("query_id")))
+    odd = odd.withColumn("_copy", F.row_number().over(Window.partitionBy(vector).orderBy(key))).filter(F.col("_copy") <= k).drop("_copy")
+
+    def compared(some: DataFrame, by: DataFrame) -> DataFrame:
+        side = F.broadcast(by) if n <= BLOCK_QUERIES else by.repartition(-(-n // BLOCK_QUERIES)).hint("shuffle_replicate_nl")
+        pairs = some.crossJoin(side).select("query_id", key, vectors.cosine(F.col(vector), F.col("query")).alias("similarity"))
+        return pairs.mapInArrow(partial(_first_k, k, key), pairs.schema)
+
+    row_parts, query_parts = (max(1, -(-m // size)) for m, size in ((chunks.count(), GROUP_ROWS), (n, GROUP_QUERIES)))
+
+    def dealt(d: DataFrame, by: str, own: str, parts: int, other: str, others: int) -> GroupedData:
+        each = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        return d.withColumn(own, F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).withColumn(other, each).groupBy("_row_part", "_query_part")
+
+    kernel, schema = partial(_nearest, k, key, vector), T.StructType([queries.schema["query_id"], rows.schema[key], T.StructField("similarity", T.DoubleType())])
+
+    def nearest(r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        return kernel(r, q)
+
+    near = dealt(good, key, "_row_part", row_parts, "_query_part", query_parts).cogroup(dealt(asked, "query_id", "_query_part", query_parts, "_row_part", row_parts)).applyInPandas(nearest, schema)
+    near = near.union(compared(odd, asked)).union(compared(good.union(odd), rest))
     order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), key)
-    near = pairs.mapInArrow(partial(_first_k, k, key), pairs.schema)
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", key, F.round("similarity", 4).alias("score"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,3 +27,28 @@ def test_batch_in_blocks(spark, monkeypatch, block):
         first = sorted(ps, key=lambda p: (p.s is None, -(float("inf") if p.s is None or p.s != p.s else p.s), -1 if p.vec_id is None else p.vec_id))[:4]
         expected |= {(q, r, p.vec_id, str(None if p.s is None else round(p.s, 4))) for r, p in enumerate(first, 1)}
     assert {(r["query_id"], r["rank"], r["vec_id"], str(r["score"])) for r in got.collect()} == expected and len(expected) == 4 * queries.count()
+
+
+def test_groups_of_a_batch_find_what_pairs_find(spark, monkeypatch):
+    """Copies, null and zero vectors, other lengths, null and infinite components, tiny and huge ones, null keys: as pair by pair, in groups of a few rows."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from skein.functions import vectors
+    from skein.operators import search
+
+    rng = np.random.default_rng(3)
+    plain = [[float(x) for x in v] for v in np.round(rng.normal(size=(150, 4)), 1)]
+    odd = [None, [0.0] * 4, [1.0, None, 1.0, 1.0], [1.0, 2.0], [float("nan"), 1.0, 1.0, 1.0], [float("inf"), 1.0, 1.0, 1.0], [1e-200] * 4, [1e200] * 4, []]
+    given = [(i, v) for i, v in enumerate(plain + [plain[0]] * 40 + [[2 * x for x in plain[1]]] * 9 + odd * 6)] + [(None, plain[2])]
+    rows = spark.createDataFrame(given, "vec_id long, embedding array<double>")
+    asked = rows.filter("vec_id % 3 = 0 or vec_id between 199 and 210").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    monkeypatch.setattr(search, "GROUP_ROWS", 16)
+    monkeypatch.setattr(search, "GROUP_QUERIES", 8)
+    pairs = rows.crossJoin(asked).select("query_id", "vec_id", vectors.cosine(F.col("embedding"), F.col("query")).alias("s"))
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("s"), "vec_id")
+    wanted = pairs.withColumn("rank", F.row_number().over(order)).filter("rank <= 4").select("query_id", "rank", "vec_id", F.round("s", 4).alias("score"))
+    found = search.top_k_batch(rows, asked, 4)
+    show = lambda d: sorted(map(str, d.collect()))
+    assert show(found) == show(wanted)
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().toString()
