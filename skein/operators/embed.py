@@ -57,13 +57,19 @@ def hashing_client(dims: int = 64) -> Client:
     """Deterministic vectors: counts of words in hashed places with hashed signs, of length one."""
     import hashlib
     import re
+    from functools import lru_cache
+
+    @lru_cache(maxsize=1 << 16)
+    def place(word: str) -> int:
+        """The place of a word, and ``dims`` more where its sign is positive."""
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        return h % dims + dims * (h >> 63)
 
     def run(texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), dims))
         for row, text in zip(out, texts, strict=True):
-            for word in re.findall(r"\w+", text.lower()):
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                row[h % dims] += 1 if h >> 63 else -1
+            counts = np.bincount([place(word) for word in re.findall(r"\w+", text.lower())] or [0, dims], minlength=2 * dims)
+            row += counts[dims:] - counts[:dims]
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm == 0, 1, norm)).tolist()
 
